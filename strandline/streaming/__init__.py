@@ -1,0 +1,5 @@
+"""Empty on purpose: every operator of this library works on bounded tables.
+
+Time only enters as an ordering and as 7 / 30 day window frames, so there is no
+watermark, trigger or state to express.
+"""
