@@ -220,7 +220,7 @@ _fill("k5_fill_rows_narrow", 32)
     "training_rows_multi",
     events_sql(_CUSTOMER_SQL + f"""
     , w AS (SELECT column1, i, id, (max(i) OVER (PARTITION BY column1) - i) // 254 AS chunk FROM word),
-    r AS (SELECT column1, chunk, {hash_sql('column1', 'chunk')} AS doc_id, list(id ORDER BY i) AS ids
+    r AS (SELECT column1, chunk, column1 || '/' || chunk AS doc_id, list(id ORDER BY i) AS ids
           FROM w GROUP BY column1, chunk HAVING count(*) > 48),
     h AS (SELECT *, {_hashes_sql(0)} AS h0, {_hashes_sql(1)} AS h1, {_hashes_sql(2)} AS h2 FROM r),
     n AS (SELECT *, len(list_filter(h0, lambda x: x < {_CUT})) AS n0, len(list_filter(h1, lambda x: x < {_CUT})) AS n1,

@@ -42,27 +42,21 @@ def mask_multi(
     def draws(round_: int) -> Column:
         return F.transform("__ids", lambda _, i: hash32(seed, F.col(key), round_, i))
 
-    def enough(hashes: Column) -> Column:
-        return F.size(F.filter(hashes, lambda h: h < cut)) >= 2
-
-    picked = F.struct(F.col("__first").alias("hashes"), (F.get(F.array_sort("__first"), 1) + 1).alias("cut"))
+    # Smallest two of the first round; the sort inside the lambda runs for hardly any row.
+    picked = F.transform("__first", lambda h: h <= F.get(F.array_sort("__first"), 1))
     for round_ in reversed(range(rounds)):
-        hashes = F.col("__first") if round_ == 0 else draws(round_)
-        picked = F.when(enough(hashes), F.struct(hashes.alias("hashes"), cut.alias("cut"))).otherwise(picked)
-
-    def by_hash(chosen, kept) -> Column:
-        pick = F.col("__pick")
-        return F.zip_with("__ids", pick["hashes"], lambda t, h: F.when(h < pick["cut"], chosen(t)).otherwise(kept(t)))
+        hits = F.transform(F.col("__first") if round_ == 0 else draws(round_), lambda h: h < cut)
+        picked = F.when(F.size(F.filter(hits, lambda hit: hit)) >= 2, hits).otherwise(picked)
 
     rows = (
         df.withColumn("__ids", F.slice(ids, 1, room))
         .filter(F.size(ids) > min_tokens - 2)
         .withColumn("__first", draws(0))
-        .withColumn("__pick", picked)
-        .withColumn("__labels", by_hash(lambda t: t, lambda t: F.lit(IGNORE)))
-        .withColumn(ids, by_hash(lambda t: F.lit(MASK), lambda t: t))
+        .withColumn("__hits", picked)
+        .withColumn("__labels", F.zip_with("__ids", "__hits", lambda t, hit: F.when(hit, t).otherwise(F.lit(IGNORE))))
+        .withColumn(ids, F.zip_with("__ids", "__hits", lambda t, hit: F.when(hit, F.lit(MASK)).otherwise(t)))
     )
-    return _with_labels(pad_sequence(rows, ids, max_len), max_len).drop("__ids", "__first", "__pick")
+    return _with_labels(pad_sequence(rows, ids, max_len), max_len).drop("__ids", "__first", "__hits")
 
 
 def _with_labels(df: DataFrame, max_len: int) -> DataFrame:
@@ -72,23 +66,25 @@ def _with_labels(df: DataFrame, max_len: int) -> DataFrame:
     return df.withColumn("labels", labels).drop("__labels")
 
 
-def _replace_chosen(df: DataFrame, chosen, key: str, ids: str, vocab_size: int, seed: int) -> DataFrame:
-    """Of the chosen ids 80% become [MASK], 10% a random id, 10% stay; labels hold them all.
+def _replace_chosen(df: DataFrame, hits: Column, key: str, ids: str, vocab_size: int, seed: int) -> DataFrame:
+    """Of the hit ids 80% become [MASK], 10% a random id, 10% stay; labels hold them all.
 
-    ``chosen(id, position)`` is a condition; special ids are never chosen.
+    ``hits`` is an array of conditions beside the ids; special ids are never taken. It goes
+    into the lambda zipped to the ids: read from outside, it would be made again per id.
     """
 
-    def at(t: Column, i: Column) -> Column:
+    def at(x: Column, i: Column) -> Column:
+        t = x["id"]
         branch = draw(seed, "branch", F.col(key), i)
         random_id = F.floor(draw(seed, "id", F.col(key), i) * vocab_size).cast("int")
         new = F.when(branch < 0.8, F.lit(MASK)).when(branch < 0.9, random_id).otherwise(t)
-        hit = (t >= len(SPECIAL_PIECES)) & chosen(t, i)
-        return F.when(hit, F.struct(new.alias("id"), t.alias("label"))).otherwise(
+        return F.when((t >= len(SPECIAL_PIECES)) & x["hit"], F.struct(new.alias("id"), t.alias("label"))).otherwise(
             F.struct(t.alias("id"), F.lit(IGNORE).alias("label"))
         )
 
+    zipped = F.zip_with(ids, hits, lambda t, hit: F.struct(t.alias("id"), hit.alias("hit")))
     return (
-        df.withColumn("__pairs", F.transform(ids, at))
+        df.withColumn("__pairs", F.transform(zipped, at))
         .withColumn(ids, F.transform("__pairs", lambda x: x["id"]))
         .withColumn("labels", F.transform("__pairs", lambda x: x["label"]))
         .drop("__pairs")
@@ -99,7 +95,8 @@ def mask_tokens(
     df: DataFrame, key: str, vocab_size: int, ids: str = "input_ids", p: float = TOKEN_MASK_PROBABILITY, seed: int = SEED
 ) -> DataFrame:
     """Choose every id by itself."""
-    return _replace_chosen(df, lambda _, i: draw(seed, "token", F.col(key), i) < p, key, ids, vocab_size, seed)
+    hits = F.transform(ids, lambda _, i: draw(seed, "token", F.col(key), i) < p)
+    return _replace_chosen(df, hits, key, ids, vocab_size, seed)
 
 
 def mask_words(
@@ -111,15 +108,18 @@ def mask_words(
     p: float = MASK_PROBABILITY,
     seed: int = SEED,
 ) -> DataFrame:
-    """Choose whole words: a first piece together with its continuation pieces."""
-    starts = F.transform(pieces, lambda x: F.when(x.startswith(CONTINUATION), 0).otherwise(1))
+    """Choose whole words: a first piece together with its continuation pieces.
+
+    For rows of model width: numbering the words copies an array per piece.
+    """
 
-    def word_number(i: Column) -> Column:
-        return F.aggregate(F.slice("__starts", 1, i + 1), F.lit(0), lambda n, s: n + s)
+    def number(numbers: Column, piece: Column) -> Column:
+        last = F.coalesce(F.get(numbers, F.size(numbers) - 1), F.lit(0))
+        return F.concat(numbers, F.array(last + F.when(piece.startswith(CONTINUATION), 0).otherwise(1)))
 
-    rows = df.withColumn("__starts", starts)
-    rows = rows.withColumn("__hits", F.transform("__starts", lambda _, i: draw(seed, "word", F.col(key), word_number(i)) < p))
-    return _replace_chosen(rows, lambda _, i: F.get("__hits", i), key, ids, vocab_size, seed).drop("__starts", "__hits")
+    numbers = F.aggregate(pieces, F.array().cast("array<int>"), number)
+    hits = F.transform(numbers, lambda word: draw(seed, "word", F.col(key), word) < p)
+    return _replace_chosen(df, hits, key, ids, vocab_size, seed)
 
 
 def fill_rows(df: DataFrame, history: str = "history_ids", targets: str = "target_ids", max_len: int = WIDTH) -> DataFrame:

@@ -80,7 +80,7 @@ def train_wordpiece(
         one_by_one = room - len(made) <= candidates
         merges = best[:1] if one_by_one else _independent(words, best)
         made.update(dict.fromkeys(_joined(a, b) for a, b in merges))
-        words = words.withColumn("pieces", _merge(F.col("pieces"), merges))
+        words = _merge(words, merges)
         rounds += 1
         if rounds % checkpoint_every == 0:
             words = reliable_checkpoint(words)
@@ -170,19 +170,18 @@ def _known(ranks: Column, keys: Column) -> Column:
     return F.filter(F.transform(keys, lambda k: ranks[k]), lambda r: r.isNotNull())
 
 
-def _merge(pieces: Column, merges: list[tuple[str, str]]) -> Column:
+def _merge(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """Each word holds at most one of the pairs: find it, then join it from left to right."""
     chosen = F.array(*[F.lit(" ".join(pair)) for pair in merges])
-    hit = F.get(F.array_intersect(_pairs(pieces), chosen), 0)
-    left, right = F.substring_index(hit, " ", 1), F.substring_index(hit, " ", -1)
-    product = F.concat(left, F.substring(right, len(CONTINUATION) + 1, 1_000_000))
+    pieces = F.col("pieces")
+    left, right = F.substring_index("__hit", " ", 1), F.substring_index("__hit", " ", -1)
 
     def step(done: Column, piece: Column) -> Column:
         ends = (F.get(done, F.size(done) - 1) == left) & (piece == right)
+        product = F.concat(left, F.substring(right, len(CONTINUATION) + 1, 1_000_000))
         joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(product))
         return F.when(ends, joined).otherwise(F.concat(done, F.array(piece)))
 
-    merged = F.aggregate(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), F.slice(pieces, 1, 1), step
-    )
-    return F.when(hit.isNull(), pieces).otherwise(merged)
+    merged = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), F.slice(pieces, 1, 1), step)
+    found = words.withColumn("__hit", F.get(F.array_intersect(_pairs(pieces), chosen), 0))
+    return found.select("freq", F.when(F.col("__hit").isNull(), pieces).otherwise(merged).alias("pieces"))

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.constants import CHUNK, SEED
-from strandline.functions.hashing import hash32
 from strandline.functions.text import clean_event, strip_underscores
 from strandline.operators.encoding import chunk_parts_from_end, copy_labels, decode, encode, pad_sequence
 from strandline.operators.events import Route, default_time, route_events
@@ -42,7 +41,7 @@ def training_rows(
     texts = to_text(customer_sequences(routed, customer=customer, **options))
     ids = encode(texts, vocab, subword=subword).select(customer, "part", "input_ids")
     chunks = chunk_parts_from_end(ids, customer, size=CHUNK)
-    rows = split(chunks, customer).withColumn("row_key", hash32(F.col(customer), F.col("chunk")))
+    rows = split(chunks, customer).withColumn("row_key", F.concat_ws("/", customer, "chunk"))
     if masking == "multi":
         masked = mask_multi(rows, "row_key", seed=seed)
     else:
