@@ -1,5 +1,6 @@
 """Word and subword vocabularies as tables (piece, id, freq)."""
 
+import heapq
 import unicodedata
 
 import pandas as pd
@@ -52,45 +53,46 @@ def train_wordpiece(
     min_frequency: int = MIN_FREQUENCY,
     limit_alphabet: int = MAX_VOCABULARY,
     specials: tuple[str, ...] = SPECIAL_PIECES,
-    candidates: int = 64,
-    checkpoint_every: int = 4,
 ) -> DataFrame:
-    """Subword vocabulary by merging the most frequent neighbouring pieces.
+    """Subword vocabulary: single characters, then merges of frequent neighbours.
 
-    The corpus is reduced to a table of distinct words first, which Spark keeps; only the
-    best ``candidates`` pairs of a round reach the driver. A round merges each of them that
-    is independent of all better ones: no word holds it next to a better pair or next to
-    the piece a better pair makes. Such merges give the same pieces as one at a time. When
-    the cap comes near, only the best pair is merged.
+    The textbook way merges the one most frequent pair per round. Here a round merges every
+    pair that beats all pairs it overlaps with, wherever it occurs: nothing that the
+    textbook way merges earlier can touch it, so it will be merged there with the same
+    count. Thousands of merges then take some dozens of rounds over the table of distinct
+    words. (A piece that arises from two different pairs can still shift a close race.)
+    Once the cap is reached, only pairs more frequent than the last piece inside matter.
+
+    ``freq`` is how often the piece occurred when it came in. At most ``vocab_size``
+    pieces pass through the driver.
     """
-    words = _nfc_words(word_counts(df, text))
-    words = reliable_checkpoint(_limit_alphabet(words, limit_alphabet).select("freq", _initial_pieces().alias("pieces")))
+    words = _limit_alphabet(_nfc_words(word_counts(df, text)), limit_alphabet)
+    words = reliable_checkpoint(words.select("freq", _initial_pieces().alias("pieces")))
     alphabet = (
-        words.select(F.explode("pieces").alias("piece"))
-        .select(F.explode(F.array("piece", _bare(F.col("piece")))).alias("piece"))
-        .distinct()
+        words.select(F.explode("pieces").alias("piece"), "freq")
+        .select(F.inline(F.array(_weighted(F.col("piece"), F.col("freq")), _weighted(_bare(F.col("piece")), F.lit(0)))))
+        .groupBy("piece")
+        .agg(F.sum("freq").alias("freq"))
     )
     room = vocab_size - len(specials) - alphabet.count()
-    made: dict[str, None] = {}
-    rounds = 0
-    while room > len(made):
-        best = _best_pairs(words, min_frequency, candidates)
-        if not best:
+    made: dict[str, int] = {}
+    bar = min_frequency
+    while room > 0:
+        merges = _local_best(words, bar, room)
+        if not merges:
             break
-        one_by_one = room - len(made) <= candidates
-        merges = best[:1] if one_by_one else _independent(words, best)
-        made.update(dict.fromkeys(_joined(a, b) for a, b in merges))
-        words = _merge(words, merges)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            words = reliable_checkpoint(words)
-    used = words.select(F.explode("pieces").alias("piece"), "freq").groupBy("piece").agg(F.sum("freq").alias("used"))
-    pieces = alphabet
-    if made:
-        merged = df.sparkSession.createDataFrame([(p,) for p in made], "piece string")
-        pieces = pieces.unionByName(merged).distinct()
-    pieces = pieces.join(used, "piece", "left").select("piece", F.coalesce("used", F.lit(0)).alias("freq"))
-    return _numbered(pieces, specials)
+        for left, right, n in merges:
+            made.setdefault(left + right.removeprefix(CONTINUATION), n)
+        if len(made) >= room:
+            bar = max(min_frequency, heapq.nlargest(room, made.values())[-1])
+        words = reliable_checkpoint(_merge(words, [(left, right) for left, right, _ in merges]))
+    kept = sorted(made.items(), key=lambda item: (-item[1], item[0]))[: max(room, 0)]
+    pieces = alphabet.unionByName(df.sparkSession.createDataFrame(kept, "piece string, freq long"))
+    return _numbered(pieces.groupBy("piece").agg(F.max("freq").alias("freq")), specials)
+
+
+def _weighted(piece: Column, freq: Column) -> Column:
+    return F.struct(piece.alias("piece"), freq.cast("long").alias("freq"))
 
 
 def _nfc_words(words: DataFrame) -> DataFrame:
@@ -129,59 +131,53 @@ def _bare(piece: Column) -> Column:
     return F.when(piece.startswith(CONTINUATION) & (F.length(piece) > 2), F.substring(piece, 3, 1)).otherwise(piece)
 
 
-def _pairs(pieces: Column) -> Column:
-    """Neighbours as 'left right': pieces hold no white space."""
-    return F.transform(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda right, i: F.concat_ws(" ", F.get(pieces, i), right),
+def _local_best(words: DataFrame, bar: int, limit: int) -> list[tuple[str, str, int]]:
+    """Pairs of at least ``bar`` occurrences that are better than every pair they overlap."""
+    n = F.size("pieces")
+    triple = F.transform(
+        F.sequence(F.lit(1), n - 1),
+        lambda i: F.struct(
+            F.get("pieces", i - 2).alias("before"), F.get("pieces", i - 1).alias("left"), F.get("pieces", i).alias("right")
+        ),
     )
-
-
-def _joined(left: str, right: str) -> str:
-    return left + right.removeprefix(CONTINUATION)
-
-
-def _best_pairs(words: DataFrame, min_frequency: int, n: int) -> list[tuple[str, str]]:
-    counts = words.select(F.explode(_pairs(F.col("pieces"))).alias("pair"), "freq").groupBy("pair").agg(
-        F.sum("freq").alias("n")
+    triples = (
+        words.filter(n > 1)
+        .select(F.explode(triple).alias("t"), "freq")
+        .groupBy("t.before", "t.left", "t.right")
+        .agg(F.sum("freq").alias("n"))
     )
-    best = counts.filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "pair").limit(n)
-    return [tuple(row.pair.split(" ")) for row in best.collect()]
-
-
-def _independent(words: DataFrame, best: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The pairs, best first, that share no word with a better pair or what it makes."""
-    rank_of_pair = _ranks({" ".join(pair): i for i, pair in enumerate(best)})
-    rank_of_piece = _ranks({_joined(*pair): i for i, pair in reversed(list(enumerate(best)))})
-    present = words.select(
-        _known(rank_of_pair, _pairs(F.col("pieces"))).alias("pairs"), _known(rank_of_piece, F.col("pieces")).alias("made")
-    ).filter(F.size("pairs") > 0)
-    first = F.array_min(F.concat("pairs", "made"))
-    blocked = present.select(F.explode(F.filter("pairs", lambda p: p > first)).alias("rank")).distinct()
-    taken = {row.rank for row in blocked.collect()}  # ranks: at most as many as candidates
-    return [pair for i, pair in enumerate(best) if i not in taken]
-
-
-def _ranks(ranks: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for item in ranks.items() for x in item])
-
-
-def _known(ranks: Column, keys: Column) -> Column:
-    return F.filter(F.transform(keys, lambda k: ranks[k]), lambda r: r.isNotNull())
+    pairs = triples.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= bar)
+    rank = F.struct((-F.col("n")).alias("less"), "left", "right")
+    first = pairs.select(F.col("left").alias("before"), F.col("right").alias("left"), rank.alias("first"))
+    second = pairs.select("left", "right", rank.alias("second"))
+    overlaps = triples.select("before", "left", "right").join(first, ["before", "left"]).join(second, ["left", "right"])
+    worse = F.greatest("first", "second")
+    beaten = overlaps.filter(F.col("first") != F.col("second")).select(worse["left"].alias("left"), worse["right"].alias("right"))
+    best = pairs.join(beaten, ["left", "right"], "left_anti").orderBy(F.desc("n"), "left", "right").limit(limit)
+    return [tuple(row) for row in best.collect()]
 
 
 def _merge(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Each word holds at most one of the pairs: find it, then join it from left to right."""
-    chosen = F.array(*[F.lit(" ".join(pair)) for pair in merges])
-    pieces = F.col("pieces")
-    left, right = F.substring_index("__hit", " ", 1), F.substring_index("__hit", " ", -1)
-
-    def step(done: Column, piece: Column) -> Column:
-        ends = (F.get(done, F.size(done) - 1) == left) & (piece == right)
-        product = F.concat(left, F.substring(right, len(CONTINUATION) + 1, 1_000_000))
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(product))
-        return F.when(ends, joined).otherwise(F.concat(done, F.array(piece)))
-
-    merged = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), F.slice(pieces, 1, 1), step)
-    found = words.withColumn("__hit", F.get(F.array_intersect(_pairs(pieces), chosen), 0))
-    return found.select("freq", F.when(F.col("__hit").isNull(), pieces).otherwise(merged).alias("pieces"))
+    """Join the pairs in every word, from left to right; whole words have nothing left to join."""
+    lookup = words.sparkSession.sparkContext.broadcast(set(merges))
+    mark = len(CONTINUATION)
+
+    @F.pandas_udf("string")
+    def join_pairs(texts: pd.Series) -> pd.Series:
+        pairs = lookup.value
+
+        def join(text: str) -> str:
+            done, fresh = [], False
+            for piece in text.split(" "):
+                if done and not fresh and (done[-1], piece) in pairs:
+                    done[-1] += piece[mark:]
+                    fresh = True
+                else:
+                    done.append(piece)
+                    fresh = False
+            return " ".join(done)
+
+        return texts.map(join)
+
+    merged = words.select("freq", F.split(join_pairs(F.array_join("pieces", " ")), " ").alias("pieces"))
+    return merged.filter(F.size("pieces") > 1)
