@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import Catalog
+from catalog.text_queries import documents
 from catalog.views import hash_sql, words_sql
 from strandline.operators.encoding import encode, pad_sequence
 from strandline.operators.vocabulary import word_vocabulary
@@ -94,7 +95,7 @@ def saved_partitions(spark, sf):
                  CAST(least(len(ids), 254) + 2 AS int) AS used FROM ids"""),
 )
 def encoded_rows(spark, sf):
-    docs = load(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     rows = pad_sequence(encode(docs, word_vocabulary(docs, "text"), "text"))
     path = shared_folder(spark, "encoded")
     save_encoded(rows.drop("text"), path)

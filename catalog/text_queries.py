@@ -9,13 +9,13 @@ from strandline.operators.encoding import encode, encode_by_join
 from strandline.operators.sequences import customer_sequences, to_text
 from strandline.operators.vocabulary import train_wordpiece, word_vocabulary
 from strandline.plans.training_rows import vocabulary_events
-from strandline.sources.tables import load
+from strandline.sources.tables import load, spread
 
 CATALOG = Catalog()
 
 
 def documents(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", "text")
+    return spread(load(spark, sf, "documents").select("doc_id", "text"))
 
 
 def encoded_documents(spark, sf):

@@ -4,15 +4,25 @@ A draw is a pure function of (seed, row key, position), so it does not depend on
 partitioning, retries or the engine, and any SQL dialect with md5 can repeat it.
 """
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 HASH_RANGE = 2.0**32
 
 
-def hash32(*parts) -> Column:
-    """First 32 bits of the md5 of the parts joined by ':', as a long."""
+def hash_hex(*parts) -> Column:
+    """First 32 bits of the md5 of the parts joined by ':', as 8 hex digits.
+
+    Their order as text is their order as numbers, so draws compare without a conversion.
+    """
     text = F.concat_ws(":", *[_column(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.substring(F.md5(text), 1, 8)
+
+
+def hash32(*parts) -> Column:
+    """The same bits as a long."""
+    return F.conv(hash_hex(*parts), 16, 10).cast("long")
 
 
 def draw(*parts) -> Column:
@@ -20,5 +30,16 @@ def draw(*parts) -> Column:
     return hash32(*parts) / F.lit(HASH_RANGE)
 
 
+def hex_bar(share: float) -> Column:
+    """What ``hash_hex`` stays below with probability ``share``, exactly as draw() < share."""
+    bar = math.ceil(share * HASH_RANGE)
+    return F.lit(f"{bar:08x}" if bar < HASH_RANGE else "g")
+
+
+def hit(share: float, *parts) -> Column:
+    """True with probability ``share``."""
+    return hash_hex(*parts) < hex_bar(share)
+
+
 def _column(part):
     return part if isinstance(part, Column) else F.lit(part)

@@ -72,7 +72,7 @@ def _encoder(lookup, subword: bool):
 
         return texts.map(encode_text)
 
-    return encode_texts
+    return encode_texts.asNondeterministic()  # or a filter on its result would run it a second time
 
 
 def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "evnt", name: str = "input_ids") -> DataFrame:
@@ -101,7 +101,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", name: str =
         pieces = lookup.value
         return arrays.map(lambda a: [pieces.get(i, unknown) for i in a])
 
-    return df.withColumn(name, decode_ids(ids))
+    return df.withColumn(name, decode_ids.asNondeterministic()(ids))
 
 
 def _ints(value: int, times: Column) -> Column:

@@ -16,7 +16,7 @@ from strandline.constants import (
     TOKEN_MASK_PROBABILITY,
     WIDTH,
 )
-from strandline.functions.hashing import HASH_RANGE, draw, hash32
+from strandline.functions.hashing import draw, hash_hex, hex_bar, hit
 from strandline.functions.text import last_items
 from strandline.operators.encoding import pad_sequence
 
@@ -37,15 +37,14 @@ def mask_multi(
     the two ids with the smallest hashes of the first one are masked.
     """
     room = max_len - 2
-    cut = F.lit(int(p * HASH_RANGE))
 
     def draws(round_: int) -> Column:
-        return F.transform("__ids", lambda _, i: hash32(seed, F.col(key), round_, i))
+        return F.transform("__ids", lambda _, i: hash_hex(seed, F.col(key), round_, i))
 
     # Smallest two of the first round; the sort inside the lambda runs for hardly any row.
     picked = F.transform("__first", lambda h: h <= F.get(F.array_sort("__first"), 1))
     for round_ in reversed(range(rounds)):
-        hits = F.transform(F.col("__first") if round_ == 0 else draws(round_), lambda h: h < cut)
+        hits = F.transform(F.col("__first") if round_ == 0 else draws(round_), lambda h: h < hex_bar(p))
         picked = F.when(F.size(F.filter(hits, lambda hit: hit)) >= 2, hits).otherwise(picked)
 
     rows = (
@@ -75,9 +74,9 @@ def _replace_chosen(df: DataFrame, hits: Column, key: str, ids: str, vocab_size:
 
     def at(x: Column, i: Column) -> Column:
         t = x["id"]
-        branch = draw(seed, "branch", F.col(key), i)
+        branch = hash_hex(seed, "branch", F.col(key), i)
         random_id = F.floor(draw(seed, "id", F.col(key), i) * vocab_size).cast("int")
-        new = F.when(branch < 0.8, F.lit(MASK)).when(branch < 0.9, random_id).otherwise(t)
+        new = F.when(branch < hex_bar(0.8), F.lit(MASK)).when(branch < hex_bar(0.9), random_id).otherwise(t)
         return F.when((t >= len(SPECIAL_PIECES)) & x["hit"], F.struct(new.alias("id"), t.alias("label"))).otherwise(
             F.struct(t.alias("id"), F.lit(IGNORE).alias("label"))
         )
@@ -95,7 +94,7 @@ def mask_tokens(
     df: DataFrame, key: str, vocab_size: int, ids: str = "input_ids", p: float = TOKEN_MASK_PROBABILITY, seed: int = SEED
 ) -> DataFrame:
     """Choose every id by itself."""
-    hits = F.transform(ids, lambda _, i: draw(seed, "token", F.col(key), i) < p)
+    hits = F.transform(ids, lambda _, i: hit(p, seed, "token", F.col(key), i))
     return _replace_chosen(df, hits, key, ids, vocab_size, seed)
 
 
@@ -108,17 +107,17 @@ def mask_words(
     p: float = MASK_PROBABILITY,
     seed: int = SEED,
 ) -> DataFrame:
-    """Choose whole words: a first piece together with its continuation pieces.
-
-    For rows of model width: numbering the words copies an array per piece.
+    """Choose whole words: a first piece together with its continuation pieces. A row may begin
+    inside a word; that rest counts as word 0, so the first full word is word 1.
     """
+    glue = "\x01"
+    whole = F.split(F.replace(F.array_join(pieces, " "), F.lit(f" {CONTINUATION}"), F.lit(glue)), " ")
+    first = F.when(F.get(pieces, 0).startswith(CONTINUATION), 0).otherwise(1)
 
-    def number(numbers: Column, piece: Column) -> Column:
-        last = F.coalesce(F.get(numbers, F.size(numbers) - 1), F.lit(0))
-        return F.concat(numbers, F.array(last + F.when(piece.startswith(CONTINUATION), 0).otherwise(1)))
+    def hits_of(word: Column, i: Column) -> Column:
+        return F.array_repeat(hit(p, seed, "word", F.col(key), first + i), F.size(F.split(word, glue)))
 
-    numbers = F.aggregate(pieces, F.array().cast("array<int>"), number)
-    hits = F.transform(numbers, lambda word: draw(seed, "word", F.col(key), word) < p)
+    hits = F.flatten(F.transform(whole, hits_of))
     return _replace_chosen(df, hits, key, ids, vocab_size, seed)
 
 

@@ -88,15 +88,18 @@ def _exclusive_totals(per_block: DataFrame, sums: dict[str, str]) -> DataFrame:
     )
 
 
-def split_heavy(df: DataFrame, key: str, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of keys with at most ``limit`` rows, and the rows of all others.
+def heavy_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows: one narrow pass, combined before its shuffle."""
+    counts = df.groupBy(F.col(key).alias("__heavy")).agg(F.count("*").alias("__n"))
+    return reliable_checkpoint(counts.filter(F.col("__n") > limit).select("__heavy"))
 
-    One narrow pass counts the keys (combined before the shuffle). Grouping the first
-    part by key is then bounded per group; the second part is None when there are no
-    such keys, and needs a plan that never puts one key into one task.
+
+def split_heavy(df: DataFrame, key: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of all other keys, which are bounded per key, and rows of the heavy ones.
+
+    The second part is None when there are none. It needs a plan that never puts one key
+    into one task.
     """
-    heavy = df.groupBy(F.col(key).alias("__heavy")).agg(F.count("*").alias("__n"))
-    heavy = reliable_checkpoint(heavy.filter(F.col("__n") > limit).select("__heavy"))
     if heavy.isEmpty():
         return df, None
     heavy = broadcast_if_small(heavy)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.constants import SEED, TEST_SHARE, VALID_SHARE
-from strandline.functions.hashing import draw
+from strandline.functions.hashing import draw, hit
 
 
 def stratified_sample(df: DataFrame, col: str, fractions: dict, key: str, seed: int = SEED) -> DataFrame:
@@ -18,7 +18,6 @@ def split(
     df: DataFrame, key: str, test: float = TEST_SHARE, valid: float = VALID_SHARE, seed: int = SEED, name: str = "split"
 ) -> DataFrame:
     """Column with 'test', or 'valid' / 'train' for the rest. Rows with the same key stay together."""
-    first = draw(seed, "test", F.col(key))
-    second = draw(seed, "valid", F.col(key))
-    part = F.when(first < test, "test").when(second < valid, "valid").otherwise("train")
+    part = F.when(hit(test, seed, "test", F.col(key)), "test").when(hit(valid, seed, "valid", F.col(key)), "valid")
+    part = part.otherwise("train")
     return df.withColumn(name, part)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.constants import DAYS_AHEAD, DAYS_BACK, N_CLASSES, SECONDS_PER_DAY
 from strandline.operators.labels import flags, label_bit
-from strandline.operators.ordering import broadcast_if_small, split_heavy, with_position
+from strandline.operators.ordering import broadcast_if_small, heavy_keys, split_heavy, with_position
 
 PART_SIZE = 50_000
 
@@ -25,22 +25,26 @@ def sequences(
     values: tuple[str, ...] = ("evnt",),
     customer: str = CUSTOMER,
     part_size: int = PART_SIZE,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (groups, part, values): each value column as an array in event order.
 
     Null values are left out of the arrays, but a group with nothing else keeps its row.
     Customers with at most ``part_size`` events take one shuffle. The others are
-    numbered by a range partitioned sort first and then gathered part by part.
+    numbered by a range partitioned sort first and then gathered part by part. ``heavy``
+    saves the pass that looks for them: the result of ``heavy_keys`` for this ``part_size``.
     """
+    if heavy is None:
+        heavy = heavy_keys(df, customer, part_size)
     rows = df.select(
         F.col(customer).alias("__customer"),
         *[c.alias(g) for g, c in groups.items()],
         F.struct(*[F.col(c) for c in (*order, *values)]).alias("__item"),
     )
-    light, heavy = split_heavy(rows, "__customer", part_size)
+    light, big = split_heavy(rows, "__customer", heavy)
     result = _gather(light.withColumn("part", F.lit(0).cast("long")), groups, values)
-    if heavy is not None:
-        result = result.unionByName(_gather(_with_parts(heavy, list(groups), part_size), groups, values))
+    if big is not None:
+        result = result.unionByName(_gather(_with_parts(big, list(groups), part_size), groups, values))
     return result
 
 
@@ -149,6 +153,7 @@ def labelled_windows(
     customer: str = CUSTOMER,
     day: str = DAY,
     part_size: int = PART_SIZE,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (customer, day, part, x, y) from labelled events.
 
@@ -156,10 +161,12 @@ def labelled_windows(
     ``ahead`` days. ``complete_until`` leaves out days whose future passes that date.
     Customers with at most ``part_size`` events take one shuffle for everything.
     """
-    light, heavy = split_heavy(df, customer, part_size)
+    if heavy is None:
+        heavy = heavy_keys(df, customer, part_size)
+    light, big = split_heavy(df, customer, heavy)
     result = _light_windows(light, ahead, back, order, only_positive, customer, day)
-    if heavy is not None:
-        long = _heavy_windows(heavy, ahead, back, order, only_positive, customer, day, part_size)
+    if big is not None:
+        long = _heavy_windows(big, ahead, back, order, only_positive, customer, day, part_size)
         result = result.unionByName(long)
     if complete_until is not None:
         result = result.filter(F.date_add(F.col(day), ahead) <= F.lit(complete_until).cast("date"))

@@ -67,6 +67,7 @@ def train_wordpiece(
     pieces pass through the driver.
     """
     words = _limit_alphabet(_nfc_words(word_counts(df, text)), limit_alphabet)
+    words = words.repartition(df.sparkSession.sparkContext.defaultParallelism, "word")  # few bytes, much work
     words = reliable_checkpoint(words.select("freq", _initial_pieces().alias("pieces")))
     alphabet = (
         words.select(F.explode("pieces").alias("piece"), "freq")
@@ -145,6 +146,7 @@ def _local_best(words: DataFrame, bar: int, limit: int) -> list[tuple[str, str,
         .select(F.explode(triple).alias("t"), "freq")
         .groupBy("t.before", "t.left", "t.right")
         .agg(F.sum("freq").alias("n"))
+        .persist()  # read several times below; small beside the words
     )
     pairs = triples.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= bar)
     rank = F.struct((-F.col("n")).alias("less"), "left", "right")
@@ -154,7 +156,9 @@ def _local_best(words: DataFrame, bar: int, limit: int) -> list[tuple[str, str,
     worse = F.greatest("first", "second")
     beaten = overlaps.filter(F.col("first") != F.col("second")).select(worse["left"].alias("left"), worse["right"].alias("right"))
     best = pairs.join(beaten, ["left", "right"], "left_anti").orderBy(F.desc("n"), "left", "right").limit(limit)
-    return [tuple(row) for row in best.collect()]
+    found = [tuple(row) for row in best.collect()]
+    triples.unpersist()
+    return found
 
 
 def _merge(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
@@ -179,5 +183,6 @@ def _merge(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
 
         return texts.map(join)
 
-    merged = words.select("freq", F.split(join_pairs(F.array_join("pieces", " ")), " ").alias("pieces"))
+    join_once = join_pairs.asNondeterministic()  # the filter below would run it a second time
+    merged = words.select("freq", F.split(join_once(F.array_join("pieces", " ")), " ").alias("pieces"))
     return merged.filter(F.size("pieces") > 1)

@@ -7,13 +7,22 @@ from strandline.functions.text import clean_event, strip_underscores
 from strandline.operators.encoding import chunk_parts_from_end, copy_labels, decode, encode, pad_sequence
 from strandline.operators.events import Route, default_time, route_events
 from strandline.operators.masking import mask_multi, mask_tokens, mask_words
+from strandline.operators.ordering import heavy_keys
 from strandline.operators.sampling import split
-from strandline.operators.sequences import customer_sequences, month_sequences, to_text, unique_events, week_sequences
+from strandline.operators.sequences import (
+    PART_SIZE,
+    customer_sequences,
+    month_sequences,
+    to_text,
+    unique_events,
+    week_sequences,
+)
 
 
 def period_datasets(events: DataFrame, routes: dict[str, Route], **options) -> tuple[DataFrame, DataFrame]:
     """Weekly and monthly texts per customer."""
     routed = route_events(default_time(events), routes)
+    options.setdefault("heavy", heavy_keys(routed, "column1", options.get("part_size", PART_SIZE)))
     return to_text(week_sequences(routed, **options)), to_text(month_sequences(routed, **options))
 
 

@@ -13,6 +13,15 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan of few files among all cores, before work that costs more than the bytes.
+
+    A table with a split for every core, as any big one has, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_months(df: DataFrame, start: str, end: str, month: str = "part_yrmn") -> DataFrame:
     """Months start to end as ``yyyyMM``, both included; prunes folders when partitioned by it."""
     return df.filter(F.col(month).between(start, end))
