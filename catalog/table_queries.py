@@ -69,9 +69,7 @@ def sql_texts(spark, sf):
 @CATALOG.add("s5_save_table", f"SELECT * FROM ({_ORDERS_SQL}) WHERE part_yrmn BETWEEN '199612' AND '199803'")
 def saved(spark, sf):
     path = shared_folder(spark, "orders")
-    # inferring would turn '199612' into a number
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    stored = save_table(_orders(spark, sf).repartition(8), path, partition_by=("part_yrmn",))
+    stored = save_table(_orders(spark, sf), path, partition_by=("part_yrmn",))
     return scan_months(stored, "199612", "199803")
 
 

@@ -10,7 +10,6 @@ CURRENT_END_DATE = "9999-12-31"
 N_CLASSES = 7
 DAYS_AHEAD = 7
 DAYS_BACK = 30
-SECONDS_PER_DAY = 86400
 
 # Vocabulary: the special pieces take the ids 0 to 4 in this order.
 SPECIAL_PIECES = ("[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]")

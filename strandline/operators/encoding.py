@@ -17,6 +17,8 @@ from strandline.constants import (
     WIDTH,
 )
 from strandline.functions.text import last_items, spaced, spaced_words, words
+from strandline.operators.ordering import split_heavy
+from strandline.sources.shared import reliable_checkpoint
 
 
 def encode(
@@ -81,11 +83,11 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "evnt"
     Unknown words get the id of [UNK]. The words meet the vocabulary in one equi-join,
     which adaptive execution broadcasts or splits by skew.
     """
-    spread = df.select(key, F.posexplode_outer(spaced_words(F.col(text))).alias("__i", "piece"))
-    ids = spread.join(vocab.select("piece", "id"), "piece", "left")
-    item = F.when(F.col("__i").isNotNull(), F.struct("__i", F.coalesce("id", F.lit(UNK)).alias("id")))
-    gathered = ids.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    return gathered.select(key, F.transform("__items", lambda i: i["id"]).alias(name))
+    spread = df.select(F.col(key).alias("__key"), F.posexplode_outer(spaced_words(F.col(text))).alias("__i", "__word"))
+    ids = vocab.select(F.col("piece").alias("__word"), F.col("id").alias("__id"))
+    item = F.when(F.col("__i").isNotNull(), F.struct("__i", F.coalesce("__id", F.lit(UNK)).alias("__id")))
+    gathered = spread.join(ids, "__word", "left").groupBy("__key").agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    return gathered.select(F.col("__key").alias(key), F.transform("__items", lambda i: i["__id"]).alias(name))
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", name: str = "pieces", max_pieces: int = MAX_VOCABULARY) -> DataFrame:
@@ -149,9 +151,17 @@ def chunk_from_end(df: DataFrame, ids: str = "input_ids", size: int = CHUNK) ->
 def chunk_parts_from_end(df: DataFrame, key: str, part: str = "part", ids: str = "input_ids", size: int = CHUNK) -> DataFrame:
     """The same chunks for sequences stored in several parts, as if each were one row.
 
-    Only the lengths of the parts are added up per key. Every part then cuts itself on the
-    common grid, and the few pieces of a chunk, ``size`` ids at most, are joined up.
+    Sequences in one part, as nearly all are, take no shuffle. For the others the lengths
+    of the parts are added up per key; every part then cuts itself on the common grid, and
+    the few pieces of a chunk, ``size`` ids at most, are joined up.
     """
+    several = reliable_checkpoint(df.filter(F.col(part) > 0).select(F.col(key).alias("__heavy")).distinct())
+    single, rest = split_heavy(df.select(key, part, ids), key, several)
+    chunks = chunk_from_end(single.drop(part), ids, size)
+    return chunks if rest is None else chunks.unionByName(_chunk_parts(rest, key, part, ids, size))
+
+
+def _chunk_parts(df: DataFrame, key: str, part: str, ids: str, size: int) -> DataFrame:
     lengths = df.select(F.col(key).alias("__key"), F.col(part).alias("__part"), F.size(ids).alias("__n"))
     later = Window.partitionBy("__key").orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
     lengths = lengths.withColumn("__after", F.coalesce(F.sum("__n").over(later), F.lit(0))).filter("__n > 0")

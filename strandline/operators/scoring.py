@@ -3,6 +3,7 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
@@ -30,24 +31,29 @@ def fit_labels(
     """One logistic regression per class on word counts; a class seen with one value only is constant."""
     for k in range(n_classes):
         train = train.withColumn(f"__y{k}", F.col(y)[k].cast("double"))
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern=" +", toLowercase=False),
-        CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocab_size),
+    counter = Pipeline(
+        stages=[
+            RegexTokenizer(inputCol=text, outputCol="__words", pattern=" +", toLowercase=False),
+            CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocab_size),
+        ]
+    ).fit(train)
+    counted = counter.transform(train).select("__counts", *[f"__y{k}" for k in range(n_classes)])
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)  # read once per class
+    models = [
+        LogisticRegression(
+            featuresCol="__counts",
+            labelCol=f"__y{k}",
+            predictionCol=f"__pred{k}",
+            probabilityCol=f"__prob{k}",
+            rawPredictionCol=f"__raw{k}",
+            family="binomial",
+            maxIter=max_iter,
+            regParam=0.01,
+        ).fit(counted)
+        for k in range(n_classes)
     ]
-    for k in range(n_classes):
-        stages.append(
-            LogisticRegression(
-                featuresCol="__counts",
-                labelCol=f"__y{k}",
-                predictionCol=f"__pred{k}",
-                probabilityCol=f"__prob{k}",
-                rawPredictionCol=f"__raw{k}",
-                family="binomial",
-                maxIter=max_iter,
-                regParam=0.01,
-            )
-        )
-    return Pipeline(stages=stages).fit(train)
+    counted.unpersist()
+    return PipelineModel(stages=[*counter.stages, *models])
 
 
 def predict_labels(model: PipelineModel, df: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:

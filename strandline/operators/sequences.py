@@ -7,7 +7,7 @@ customer, however big, is gathered into one row or one task, and nothing is drop
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.constants import DAYS_AHEAD, DAYS_BACK, N_CLASSES, SECONDS_PER_DAY
+from strandline.constants import DAYS_AHEAD, DAYS_BACK, N_CLASSES
 from strandline.operators.labels import flags, label_bit
 from strandline.operators.ordering import broadcast_if_small, heavy_keys, split_heavy, with_position
 
@@ -117,8 +117,9 @@ def unique_events(df: DataFrame, text: str = "evnt") -> DataFrame:
     return df.select(text).dropDuplicates()
 
 
-def _seconds(day: str) -> Column:
-    return F.unix_timestamp(F.col(day).cast("timestamp"))
+def _by_day(customer: str, day: str):
+    """A customer's rows along the calendar: range frames count days, whatever the time zone."""
+    return Window.partitionBy(customer).orderBy(F.unix_date(day))
 
 
 def day_masks(df: DataFrame, customer: str = CUSTOMER, day: str = DAY, label: str = "label") -> DataFrame:
@@ -138,7 +139,7 @@ def future_labels(days: DataFrame, ahead: int = DAYS_AHEAD, customer: str = CUST
 
 
 def _future_mask(customer: str, day: str, ahead: int) -> Column:
-    frame = Window.partitionBy(customer).orderBy(_seconds(day)).rangeBetween(1, ahead * SECONDS_PER_DAY)
+    frame = _by_day(customer, day).rangeBetween(1, ahead)
     return F.coalesce(F.bit_or("day_mask").over(frame), F.lit(0))
 
 
@@ -182,7 +183,7 @@ def _light_windows(df, ahead, back, order, only_positive, customer, day) -> Data
         .agg(F.array_sort(F.collect_list(item)).alias("__items"), F.bit_or(label_bit(F.col("label"))).alias("day_mask"))
         .withColumn("__text", F.array_join(_present("__items", "evnt"), " "))
     )
-    past = Window.partitionBy(customer).orderBy(_seconds(day)).rangeBetween(-back * SECONDS_PER_DAY, 0)
+    past = _by_day(customer, day).rangeBetween(-back, 0)
     windows = days.select(
         customer,
         day,
@@ -210,9 +211,8 @@ def _heavy_windows(df, ahead, back, order, only_positive, customer, day, part_si
         F.max("__global").alias("__last"),
         F.bit_or(label_bit(F.col("label"))).alias("day_mask"),
     )
-    whole = Window.partitionBy(customer)
-    past = whole.orderBy(_seconds(day)).rangeBetween(-back * SECONDS_PER_DAY, 0)
-    origin = F.min("__first").over(whole)
+    past = _by_day(customer, day).rangeBetween(-back, 0)
+    origin = F.min("__first").over(Window.partitionBy(customer))
     targets = days.select(
         customer,
         day,

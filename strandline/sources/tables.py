@@ -50,19 +50,21 @@ def save_table(
 ) -> DataFrame:
     """Write to a path (has a '/') or a named table, and return the stored table.
 
-    ``dynamic`` replaces only the partitions that occur in ``df``.
+    ``dynamic`` replaces only the partitions that occur in ``df``. Partitioned rows are
+    rebalanced first: each folder gets few files, and adaptive execution splits a folder
+    that holds most of the rows among several tasks.
     """
     spark = df.sparkSession
-    writer = df.write.mode("overwrite" if dynamic else mode)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    writer = rows.write.mode("overwrite" if dynamic else mode)
     if dynamic:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     if "/" in target:
         writer.partitionBy(*partition_by).parquet(target)
-        return spark.read.parquet(target)
+        return spark.read.schema(df.schema).parquet(target)
     if dynamic and spark.catalog.tableExists(target):
-        df.select(*spark.table(target).columns).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).insertInto(target)
+        columns = spark.table(target).columns  # insertInto goes by position
+        rows.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(target)
     else:
         writer.partitionBy(*partition_by).saveAsTable(target)
     return spark.table(target)
