@@ -137,16 +137,16 @@ _SLOTS_SQL = MASKED_SQL + f""", tokens AS (
 """
 
 
-@CATALOG.add(
-    "e8_token_accuracy",
-    words_sql(_SLOTS_SQL + """SELECT round(avg(CAST(l = p AS int)) FILTER (WHERE l <> -100), 6) AS accuracy,
-                                round(avg(CAST(l = p AS int)), 6) AS accuracy_all FROM tokens"""),
-)
-def tokens(spark, sf):
-    rows = _predicted(spark, sf)
-    everything = token_accuracy(rows, ignore=None).select(F.col("accuracy").alias("accuracy_all"))
-    both = token_accuracy(rows).unionByName(everything, allowMissingColumns=True)
-    return both.agg(F.round(F.max("accuracy"), 6).alias("accuracy"), F.round(F.max("accuracy_all"), 6).alias("accuracy_all"))
+def _token_accuracy(name, condition, **options):
+    @CATALOG.add(
+        name, words_sql(_SLOTS_SQL + f"SELECT round(avg(CAST(l = p AS int)), 6) AS accuracy FROM tokens {condition}")
+    )
+    def run(spark, sf):
+        return _rounded(token_accuracy(_predicted(spark, sf), **options), "accuracy")
+
+
+_token_accuracy("e8_token_accuracy", "WHERE l <> -100")
+_token_accuracy("e8_token_accuracy_all", "", ignore=None)
 
 
 @CATALOG.add(

@@ -4,7 +4,17 @@ from pyspark.sql import functions as F
 
 from catalog.registry import Catalog
 from catalog.text_queries import documents, encoded_documents
-from catalog.views import ROUTES, draw_sql, events, events_sql, hash_sql, routed, words_sql
+from catalog.views import (
+    FEATURES_SQL,
+    ROUTES,
+    draw_sql,
+    events,
+    events_sql,
+    features,
+    hash_sql,
+    routed,
+    words_sql,
+)
 from strandline.functions.hashing import hash32
 from strandline.functions.text import spaced_words, strip_underscores
 from strandline.operators.encoding import (
@@ -16,9 +26,10 @@ from strandline.operators.encoding import (
     split_tail,
 )
 from strandline.operators.masking import fill_rows, mask_multi, mask_tokens, mask_words
-from strandline.operators.sequences import customer_sequences, to_text
-from strandline.operators.vocabulary import train_wordpiece, word_vocabulary
-from strandline.plans.training_rows import period_datasets, training_rows, vocabulary_events
+from strandline.operators.sequences import customer_sequences, labelled_windows, to_text
+from strandline.operators.vocabulary import word_vocabulary
+from strandline.plans.feature_rows import feature_rows
+from strandline.plans.training_rows import event_vocabulary, period_datasets, training_rows
 
 CATALOG = Catalog()
 
@@ -242,7 +253,7 @@ def multi_rows(spark, sf):
 
 @CATALOG.add("training_rows_subword")
 def subword_rows(spark, sf):
-    vocab = train_wordpiece(vocabulary_events(events(spark, sf), ROUTES), min_frequency=2)
+    vocab = event_vocabulary(events(spark, sf), ROUTES, min_frequency=2)
     plain = routed(spark, sf).withColumn("evnt", strip_underscores(F.col("evnt")))
     rows = training_rows(plain, vocab, VOCAB_SIZE, masking="words")
     return _texts(rows, *_ROW, "labels")
@@ -265,3 +276,39 @@ def periods(spark, sf):
         F.lit("month").alias("kind"), "column1", F.month("date").alias("month"), F.lit(0).alias("number"), "evnt"
     )
     return week.unionByName(month)
+
+
+@CATALOG.add(
+    "feature_rows",
+    events_sql(_CUSTOMER_SQL + f""", {FEATURES_SQL},
+    picked AS (SELECT column1, column2, x, CAST(mask <> 0 AS int) AS label, column1 || '/' || column2 AS row_key,
+                      CAST(coalesce(cust_bin1 + 1, 0) AS int) AS cust_id1, CAST(coalesce(cust_bin2 + 1, 0) AS int) AS cust_id2,
+                      CAST(coalesce(cust_bin10 + 1, 0) AS int) AS cust_id10
+               FROM frames LEFT JOIN feats USING (column1)),
+    sampled AS (SELECT * FROM picked WHERE {draw_sql('42', 'row_key')} < CASE label WHEN 0 THEN 0.25 ELSE 0.5 END),
+    toks AS (SELECT row_key, unnest(ws) AS piece, generate_subscripts(ws, 1) AS i
+             FROM (SELECT row_key, list_filter(string_split(x, ' '), lambda w: w <> '') AS ws FROM sampled)),
+    bodies AS (SELECT row_key, list(id ORDER BY i) AS ids FROM toks JOIN ev USING (piece) GROUP BY row_key),
+    b AS (SELECT s.*, coalesce(list_slice(ids, greatest(len(ids) - 253, 1), len(ids)), []) AS b
+          FROM sampled s LEFT JOIN bodies USING (row_key))
+    SELECT row_key, column1, cust_id1, cust_id2, cust_id10, CAST(label AS float) AS label,
+           CASE WHEN {draw_sql('42', "'test'", 'column1')} < 0.2 THEN 'test'
+                WHEN {draw_sql('42', "'valid'", 'column1')} < 0.1 THEN 'valid' ELSE 'train' END AS split,
+           {_padded_sql('b')} FROM b"""),
+)
+def with_features(spark, sf):
+    _, vocab = _customers(spark, sf)
+    windows = labelled_windows(routed(spark, sf), only_positive=False)
+    rows = windows.join(features(spark, sf), "column1", "left").select(
+        "column1",
+        "column2",
+        F.concat_ws("/", "column1", F.col("column2").cast("string")).alias("row_key"),
+        F.col("x").alias("evnt"),
+        F.exists("y", lambda flag: flag > 0).cast("int").alias("label"),
+        "cust_bin1",
+        "cust_bin2",
+        "cust_bin10",
+    )
+    names = {f"cust_bin{i}": f"cust_id{i}" for i in range(1, 11)}
+    encoded = feature_rows(rows, vocab, names, fractions={0: 0.25, 1: 0.5}, row_key="row_key")
+    return _texts(encoded.withColumn("label", F.col("labels")[0]), *_ROW).drop("labels", "column2")

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from catalog.registry import Catalog
 from catalog.views import ROUTES, events, events_sql, routed, words_sql
-from strandline.functions.text import clean_event, last_words, strip_underscores
+from strandline.functions.text import clean_event, last_words, spaced_words, strip_underscores
 from strandline.operators.encoding import encode, encode_by_join
+from strandline.operators.ordering import with_position
 from strandline.operators.sequences import customer_sequences, to_text
 from strandline.operators.vocabulary import train_wordpiece, word_vocabulary
-from strandline.plans.training_rows import vocabulary_events
+from strandline.plans.training_rows import event_vocabulary, vocabulary_events
 from strandline.sources.tables import load, spread
 
 CATALOG = Catalog()
@@ -76,9 +77,60 @@ def word_ids_by_join(spark, sf):
     return ids.select("doc_id", F.array_join("input_ids", " ").alias("ids"))
 
 
+# Short beginnings and inner stretches of the words, where they occur at least 20 times.
+_SHORT_PIECES_SQL = """
+, firsts AS (SELECT substr(w, 1, k) AS piece FROM (SELECT unnest(ws) AS w FROM docs), range(1, 4) r(k) WHERE length(w) >= k),
+inner_ AS (SELECT '##' || substr(w, p, k) AS piece
+           FROM (SELECT w, unnest(range(2, length(w) + 1)) AS p FROM (SELECT unnest(ws) AS w FROM docs)), range(1, 4) r(k)
+           WHERE p + k - 1 <= length(w)),
+sv AS (SELECT piece, CAST(4 + row_number() OVER (ORDER BY piece) AS int) AS id
+       FROM (SELECT piece FROM firsts UNION ALL SELECT piece FROM inner_) GROUP BY piece HAVING count(*) >= 20)
+"""
+
+
+@CATALOG.add(
+    "v5_encode_short_pieces",
+    words_sql(_SHORT_PIECES_SQL + """,
+    enc AS (
+      WITH RECURSIVE step(w, pos, ids) AS (
+        SELECT w, 1, CAST([] AS int[]) FROM (SELECT DISTINCT unnest(ws) AS w FROM docs)
+        UNION ALL
+        SELECT w, CASE WHEN a.id IS NOT NULL THEN pos + 3 WHEN b.id IS NOT NULL THEN pos + 2
+                       WHEN c.id IS NOT NULL THEN pos + 1 ELSE 100000 END,
+               CASE WHEN coalesce(a.id, b.id, c.id) IS NULL THEN CAST([0] AS int[])
+                    ELSE list_append(ids, coalesce(a.id, b.id, c.id)) END
+        FROM step
+        LEFT JOIN sv a ON a.piece = CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(w, pos, 3) AND pos + 2 <= length(w)
+        LEFT JOIN sv b ON b.piece = CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(w, pos, 2) AND pos + 1 <= length(w)
+        LEFT JOIN sv c ON c.piece = CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(w, pos, 1)
+        WHERE pos <= length(w))
+      SELECT w, ids FROM step WHERE pos > length(w)),
+    spread AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs)
+    SELECT doc_id, array_to_string(flatten(list(enc.ids ORDER BY i)), ' ') AS ids
+    FROM spread JOIN enc USING (w) GROUP BY doc_id"""),
+)
+def short_pieces(spark, sf):
+    docs = documents(spark, sf)
+    word = docs.select(F.explode(spaced_words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    sizes, places = F.array(F.lit(1), F.lit(2), F.lit(3)), F.sequence(F.lit(2), F.greatest(F.length("w"), F.lit(2)))
+    firsts = word.select("w", "n", F.explode(sizes).alias("k"), F.lit(1).alias("p"))
+    inner = word.select("w", "n", F.explode(places).alias("p")).select("w", "n", F.explode(sizes).alias("k"), "p")
+    pieces = (
+        firsts.unionByName(inner)
+        .filter("p + k - 1 <= length(w)")
+        .selectExpr("if(p > 1, '##', '') || substr(w, p, k) AS piece", "n")
+        .groupBy("piece")
+        .agg(F.sum("n").alias("n"))
+        .filter("n >= 20")
+    )
+    vocab = with_position(pieces, "piece").select("piece", (F.col("position") + 5).cast("int").alias("id"))
+    ids = encode(docs, vocab, "text", subword=True)
+    return ids.select("doc_id", F.array_join("input_ids", " ").alias("ids"))
+
+
 @CATALOG.add("v5_encode_subwords")
 def subword_ids(spark, sf):
-    vocab = train_wordpiece(vocabulary_events(events(spark, sf), ROUTES), min_frequency=2)
+    vocab = event_vocabulary(events(spark, sf), ROUTES, min_frequency=2)
     texts = to_text(customer_sequences(routed(spark, sf)))
     plain = texts.withColumn("evnt", strip_underscores(F.col("evnt")))
     ids = encode(plain, vocab, subword=True)

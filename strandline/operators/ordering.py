@@ -91,7 +91,8 @@ def _exclusive_totals(per_block: DataFrame, sums: dict[str, str]) -> DataFrame:
 def heavy_keys(df: DataFrame, key: str, limit: int) -> DataFrame:
     """Keys with more than ``limit`` rows: one narrow pass, combined before its shuffle."""
     counts = df.groupBy(F.col(key).alias("__heavy")).agg(F.count("*").alias("__n"))
-    return reliable_checkpoint(counts.filter(F.col("__n") > limit).select("__heavy"))
+    heavy = counts.filter(F.col("__n") > limit).select("__heavy")
+    return reliable_checkpoint(heavy) if heavy.count() else heavy.limit(0)
 
 
 def split_heavy(df: DataFrame, key: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame | None]:

@@ -2,12 +2,18 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.constants import SEED, TEST_SHARE, VALID_SHARE
+from strandline.constants import SAMPLE_SHARE, SEED, TEST_SHARE, VALID_SHARE
 from strandline.functions.hashing import draw, hit
 
 
-def stratified_sample(df: DataFrame, col: str, fractions: dict, key: str, seed: int = SEED) -> DataFrame:
-    """Keep about the given share of the rows of each listed class, and no others."""
+def stratified_sample(
+    df: DataFrame, col: str, fractions: dict | None, key: str, seed: int = SEED
+) -> DataFrame:
+    """Keep about the given share of the rows of each listed class, and no others.
+
+    Without ``fractions`` a tenth of the classes 0 and 1.
+    """
+    fractions = fractions or {0: SAMPLE_SHARE, 1: SAMPLE_SHARE}
     share: Column = F.lit(0.0)
     for value, fraction in fractions.items():
         share = F.when(F.col(col) == value, F.lit(float(fraction))).otherwise(share)

@@ -17,6 +17,7 @@ from strandline.operators.sequences import (
     unique_events,
     week_sequences,
 )
+from strandline.operators.vocabulary import train_wordpiece
 
 
 def period_datasets(events: DataFrame, routes: dict[str, Route], **options) -> tuple[DataFrame, DataFrame]:
@@ -33,6 +34,11 @@ def vocabulary_events(events: DataFrame, routes: dict[str, Route]) -> DataFrame:
     return unique.select(strip_underscores(F.col("evnt")).alias("evnt"))
 
 
+def event_vocabulary(events: DataFrame, routes: dict[str, Route], **options) -> DataFrame:
+    """Subword vocabulary of the event texts; each counts once, however often it happened."""
+    return train_wordpiece(vocabulary_events(events, routes), **options)
+
+
 def training_rows(
     routed: DataFrame,
     vocab: DataFrame,

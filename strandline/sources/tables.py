@@ -9,8 +9,9 @@ from strandline.operators.events import cast_columns
 ENCODED_COLUMNS = ("input_ids", "token_type_ids", "attention_mask", "labels")
 
 
-def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def load(spark: SparkSession, folder: str | None, name: str) -> DataFrame:
+    """Parquet table in a folder, or a table of the catalog when there is no folder."""
+    return spark.read.parquet(f"{folder}/{name}.parquet") if folder else spark.table(name)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -33,11 +34,25 @@ def scan_until(df: DataFrame, date_col: str, end: str) -> DataFrame:
     return df.filter(F.col(date_col) <= F.lit(day))
 
 
-def run_sql(spark: SparkSession, sql: str | list[str], views: dict[str, DataFrame] | None = None):
-    """Lazy result of one SQL text, or the list of results of several."""
+def run_sql(
+    spark: SparkSession,
+    sql: str | list[str],
+    views: dict[str, DataFrame] | None = None,
+    use_regex: bool = False,
+) -> DataFrame | list[DataFrame]:
+    """Lazy result of one SQL text, or the list of results of several.
+
+    With ``use_regex`` a back-quoted name in a SELECT list is a pattern for column names.
+    """
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
-    results = [spark.sql(text) for text in ([sql] if isinstance(sql, str) else sql)]
+    flag = "spark.sql.parser.quotedRegexColumnNames"
+    before = spark.conf.get(flag)
+    spark.conf.set(flag, str(use_regex).lower())
+    try:
+        results = [spark.sql(text) for text in ([sql] if isinstance(sql, str) else sql)]
+    finally:
+        spark.conf.set(flag, before)
     return results[0] if len(results) == 1 else results
 
 

@@ -32,6 +32,9 @@ def test_sql_lists(spark):
     one = run_sql(spark, "SELECT count(*) AS n FROM v", {"v": spark.range(3)})
     assert one.first().n == 3
     assert [d.first()[0] for d in run_sql(spark, ["SELECT 1", "SELECT 2"])] == [1, 2]
+    wide = {"v": spark.sql("SELECT 1 AS cust_1, 2 AS cust_2, 3 AS other")}
+    assert run_sql(spark, "SELECT `cust_.*` FROM v", wide, use_regex=True).columns == ["cust_1", "cust_2"]
+    assert spark.conf.get("spark.sql.parser.quotedRegexColumnNames") == "false"
 
 
 def test_export_casts(spark):
