@@ -86,8 +86,8 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "evnt"
     spread = df.select(F.col(key).alias("__key"), F.posexplode_outer(spaced_words(F.col(text))).alias("__i", "__word"))
     ids = vocab.select(F.col("piece").alias("__word"), F.col("id").alias("__id"))
     item = F.when(F.col("__i").isNotNull(), F.struct("__i", F.coalesce("__id", F.lit(UNK)).alias("__id")))
-    gathered = spread.join(ids, "__word", "left").groupBy("__key").agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    return gathered.select(F.col("__key").alias(key), F.transform("__items", lambda i: i["__id"]).alias(name))
+    gathered = spread.join(ids, "__word", "left").groupBy("__key").agg(F.sort_array(F.collect_list(item)).alias("__items"))
+    return gathered.select(F.col("__key").alias(key), F.col("__items.__id").alias(name))
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids: str = "input_ids", name: str = "pieces", max_pieces: int = MAX_VOCABULARY) -> DataFrame:
@@ -175,10 +175,10 @@ def _chunk_parts(df: DataFrame, key: str, part: str, ids: str, size: int) -> Dat
     low = F.greatest(F.lit(0).cast("long"), end - (F.col("chunk") + 1) * size)
     piece = F.slice(ids, (low + 1).cast("int"), (high - low).cast("int"))
     gathered = cut.groupBy(key, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(part), piece.alias("__ids")))).alias("__pieces")
+        F.sort_array(F.collect_list(F.struct(F.col(part), piece.alias("__ids")))).alias("__pieces")
     )
     return gathered.select(
-        key, F.col("chunk").cast("int"), F.flatten(F.transform("__pieces", lambda p: p["__ids"])).alias(ids)
+        key, F.col("chunk").cast("int"), F.flatten("__pieces.__ids").alias(ids)
     )
 
 

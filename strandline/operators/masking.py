@@ -42,7 +42,7 @@ def mask_multi(
         return F.transform("__ids", lambda _, i: hash_hex(seed, F.col(key), round_, i))
 
     # Smallest two of the first round; the sort inside the lambda runs for hardly any row.
-    picked = F.transform("__first", lambda h: h <= F.get(F.array_sort("__first"), 1))
+    picked = F.transform("__first", lambda h: h <= F.get(F.sort_array("__first"), 1))
     for round_ in reversed(range(rounds)):
         hits = F.transform(F.col("__first") if round_ == 0 else draws(round_), lambda h: h < hex_bar(p))
         picked = F.when(F.size(F.filter(hits, lambda hit: hit)) >= 2, hits).otherwise(picked)
@@ -84,8 +84,8 @@ def _replace_chosen(df: DataFrame, hits: Column, key: str, ids: str, vocab_size:
     zipped = F.zip_with(ids, hits, lambda t, hit: F.struct(t.alias("id"), hit.alias("hit")))
     return (
         df.withColumn("__pairs", F.transform(zipped, at))
-        .withColumn(ids, F.transform("__pairs", lambda x: x["id"]))
-        .withColumn("labels", F.transform("__pairs", lambda x: x["label"]))
+        .withColumn(ids, F.col("__pairs.id"))
+        .withColumn("labels", F.col("__pairs.label"))
         .drop("__pairs")
     )
 

@@ -59,12 +59,10 @@ def _with_parts(heavy: DataFrame, groups: list[str], part_size: int) -> DataFram
 
 
 def _gather(rows: DataFrame, groups: dict[str, Column], values: tuple[str, ...]) -> DataFrame:
-    gathered = rows.groupBy(*groups, "part").agg(F.array_sort(F.collect_list("__item")).alias("__items"))
-    return gathered.select(*groups, "part", *[_present("__items", v).alias(v) for v in values])
-
-
-def _present(items: str, field: str) -> Column:
-    return F.filter(F.transform(items, lambda item: item[field]), lambda v: v.isNotNull())
+    """Lists do not shrink before the shuffle, so plain rows are shuffled and gathered after it."""
+    gathered = rows.repartition(*groups, "part").groupBy(*groups, "part")
+    items = gathered.agg(F.sort_array(F.collect_list("__item")).alias("__items"))
+    return items.select(*groups, "part", *[F.array_compact(f"__items.{v}").alias(v) for v in values])
 
 
 def to_text(df: DataFrame, col: str = "evnt") -> DataFrame:
@@ -72,9 +70,17 @@ def to_text(df: DataFrame, col: str = "evnt") -> DataFrame:
     return df.withColumn(col, F.array_join(col, " "))
 
 
-def day_sequences(df: DataFrame, values: tuple[str, ...] = ("evnt",), customer: str = CUSTOMER, day: str = DAY, **options) -> DataFrame:
+def day_sequences(
+    df: DataFrame,
+    values: tuple[str, ...] = ("evnt",),
+    order: tuple[str, ...] = ORDER,
+    customer: str = CUSTOMER,
+    day: str = DAY,
+    **options,
+) -> DataFrame:
     groups = {customer: F.col(customer), day: F.col(day)}
-    return sequences(df, groups, values=values, customer=customer, **options)
+    inside = tuple(c for c in order if c != day)
+    return sequences(df, groups, inside, values, customer, **options)
 
 
 def week_sequences(df: DataFrame, iso: bool = False, customer: str = CUSTOMER, day: str = DAY, **options) -> DataFrame:
@@ -176,12 +182,12 @@ def labelled_windows(
 
 def _light_windows(df, ahead, back, order, only_positive, customer, day) -> DataFrame:
     """Grouping and both frames share the one exchange by customer."""
-    item = F.struct(*[F.col(c) for c in (*order, "evnt")])
+    item = F.struct(*[F.col(c) for c in (*order, "evnt") if c != day])
     days = (
         df.repartition(customer)
         .groupBy(customer, day)
-        .agg(F.array_sort(F.collect_list(item)).alias("__items"), F.bit_or(label_bit(F.col("label"))).alias("day_mask"))
-        .withColumn("__text", F.array_join(_present("__items", "evnt"), " "))
+        .agg(F.sort_array(F.collect_list(item)).alias("__items"), F.bit_or(label_bit(F.col("label"))).alias("day_mask"))
+        .withColumn("__text", F.array_join("__items.evnt", " "))
     )
     past = _by_day(customer, day).rangeBetween(-back, 0)
     windows = days.select(
@@ -230,7 +236,7 @@ def _heavy_windows(df, ahead, back, order, only_positive, customer, day, part_si
         placed.join(broadcast_if_small(origins), own)
         .withColumn("__block", F.floor(inside / F.lit(part_size)))
         .groupBy("__owner", "__block")
-        .agg(F.array_sort(F.collect_list("__item")).alias("__items"))
+        .agg(F.sort_array(F.collect_list("__item")).alias("__items"))
     )
     pieces = targets.withColumn(
         "__wanted",
@@ -241,12 +247,11 @@ def _heavy_windows(df, ahead, back, order, only_positive, customer, day, part_si
     low = F.greatest(F.col("__from") - block_start, F.lit(0))
     high = F.least(F.col("__to") - block_start, F.lit(part_size - 1))
     clipped = F.slice("__items", (low + 1).cast("int"), (high - low + 1).cast("int"))
-    events = F.filter(F.transform(clipped, lambda i: i["evnt"]), lambda e: e.isNotNull())
     return met.select(
         customer,
         day,
         (F.col("__wanted") - F.floor(F.col("__from") / part_size)).alias("part"),
-        F.array_join(events, " ").alias("x"),
+        F.array_join(clipped["evnt"], " ").alias("x"),
         "mask",
     )
 

@@ -118,7 +118,7 @@ def _limit_alphabet(words: DataFrame, limit: int) -> DataFrame:
     ranked = with_position(chars, F.col("n").desc(), F.col("char"))
     kept = ranked.filter(F.col("position") < limit).select("char")
     spread = words.select("word", "freq", F.posexplode(_chars("word")).alias("i", "char")).join(kept, "char")
-    letters = F.array_sort(F.collect_list(F.struct("i", "char")))
+    letters = F.sort_array(F.collect_list(F.struct("i", "char")))
     return spread.groupBy("word", "freq").agg(F.array_join(F.transform(letters, lambda x: x["char"]), "").alias("word2")).select(
         F.col("word2").alias("word"), "freq"
     )
