@@ -124,7 +124,8 @@ def mask_words(
 def fill_rows(df: DataFrame, history: str = "history_ids", targets: str = "target_ids", max_len: int = WIDTH) -> DataFrame:
     """History, one [MASK] per target piece, [SEP]; labels: the target ids and the [SEP].
 
-    A history that is too long loses its oldest ids, so masks and labels stay in line.
+    A history that is too long loses its oldest ids, so masks and labels stay in line. Targets
+    wider than the whole row lose their last ids.
     """
     m = F.least(F.size(targets), F.lit(max_len - 2))
     rows = df.withColumn("__goal", F.slice(targets, 1, m)).withColumn("__past", last_items(F.col(history), F.lit(max_len - 2) - m))
