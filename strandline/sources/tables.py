@@ -78,8 +78,14 @@ def save_table(
         writer.partitionBy(*partition_by).parquet(target)
         return spark.read.schema(df.schema).parquet(target)
     if dynamic and spark.catalog.tableExists(target):
-        columns = spark.table(target).columns  # insertInto goes by position
-        rows.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(target)
+        columns = spark.table(target).columns  # insertInto goes by position, and by the session's mode
+        flag = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(flag)
+        spark.conf.set(flag, "dynamic")
+        try:
+            rows.select(*columns).write.insertInto(target, overwrite=True)
+        finally:
+            spark.conf.set(flag, before)
     else:
         writer.partitionBy(*partition_by).saveAsTable(target)
     return spark.table(target)

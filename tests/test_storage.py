@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from strandline.sources.batches import make_batches, write_batches
 from strandline.sources.shared import shared_folder
-from strandline.sources.tables import export_typed, run_sql, save_encoded, save_table, spread
+from strandline.sources.tables import export_typed, load, run_sql, save_encoded, save_table, spread
 
 
 def test_round_trip_keeps_types(spark):
@@ -21,6 +21,14 @@ def test_dynamic_overwrite_leaves_other_partitions(spark):
     assert sorted(map(tuple, stored.collect())) == [(1, "x"), (9, "y")]
 
 
+def test_named_tables(spark):
+    first = spark.sql("SELECT 'x' AS p, 1 AS a UNION ALL SELECT 'y', 2")
+    assert sorted(map(tuple, save_table(first, "named", "overwrite", ("p",)).select("p", "a").collect())) == [("x", 1), ("y", 2)]
+    second = save_table(spark.sql("SELECT 'y' AS p, 9 AS a"), "named", partition_by=("p",), dynamic=True)
+    assert sorted(map(tuple, second.select("p", "a").collect())) == [("x", 1), ("y", 9)]
+    assert load(spark, None, "named").count() == 2
+
+
 def test_saving_over_a_table_needs_a_word(spark):
     path = shared_folder(spark, "t")
     save_table(spark.range(1).toDF("a"), path)
