@@ -144,8 +144,8 @@ def chunk_from_end(df: DataFrame, ids: str = "input_ids", size: int = CHUNK) ->
         return F.slice(ids, low + 1, high - low)
 
     others = [c for c in df.columns if c != ids]
-    chunks = F.transform(F.sequence(F.lit(0), count - 1), piece)
-    return df.filter(n > 0).select(*others, F.posexplode(chunks).alias("chunk", ids))
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), piece))  # null gives no rows
+    return df.select(*others, F.posexplode(chunks).alias("chunk", ids))
 
 
 def chunk_parts_from_end(df: DataFrame, key: str, part: str = "part", ids: str = "input_ids", size: int = CHUNK) -> DataFrame:

@@ -7,8 +7,17 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators.ordering import with_position, with_running_totals
-from strandline.operators.sequences import customer_sequences, day_sequences, history, labelled_windows, week_sequences
+from strandline.operators.ordering import heavy_keys, with_position, with_running_totals
+from strandline.operators.sequences import (
+    customer_sequences,
+    day_sequences,
+    history,
+    label_counts,
+    label_customers,
+    labelled_windows,
+    month_sequences,
+    week_sequences,
+)
 
 START = datetime.date(2023, 11, 20)
 SCHEMA = "column1 long, column2 date, column3 string, event_id long, evnt string, label int"
@@ -110,6 +119,27 @@ def test_day_and_customer_sequences(events, rows, part_size):
     assert max(len(r.evnt) for v in customers.values() for r in v) <= part_size
 
 
+@pytest.mark.parametrize("make", [week_sequences, month_sequences])
+def test_periods_in_parts_join_up(events, make):
+    keys = [c for c in make(events).columns if c not in ("part", "evnt")]
+    whole_rows = {k: v[0].evnt for k, v in whole(make(events), *keys).items()}
+    cut = whole(make(events, part_size=30, heavy=heavy_keys(events, "column1", 30)), *keys)
+    assert {k: [e for r in v for e in r.evnt] for k, v in cut.items()} == whole_rows
+    assert max(len(v) for v in cut.values()) > 1
+
+
+def test_counts_by_label(spark, events, rows):
+    want = {}
+    for r in rows:
+        if r[0] is not None:
+            want.setdefault(r[5], []).append(r[0])
+    assert {r.label: r.cnt for r in label_counts(events, "label").collect()} == {k: len(v) for k, v in want.items()}
+    exact = {r.label: r.cnt for r in label_customers(events, "label").collect()}
+    assert exact == {k: len(set(v)) for k, v in want.items()}
+    rough = {r.label: r.cnt for r in label_customers(events, "label", approximate=True).collect()}
+    assert all(abs(rough[k] - n) <= 0.15 * n + 1 for k, n in exact.items())
+
+
 def test_frame_edges(spark):
     """7 and 30 days count, 8 and 31 do not; today is in the text and not in the flags."""
     day = datetime.date(2024, 3, 31)
