@@ -1,6 +1,5 @@
 """The folder all executors share: checkpoints and tables that outlive a task."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,23 +7,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path for a scratch table, under the session's checkpoint folder."""
-    _ensure_checkpoint_folder(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with files that survive the loss of an executor."""
-    _ensure_checkpoint_folder(df.sparkSession)
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def _ensure_checkpoint_folder(spark: SparkSession) -> None:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: columnar, so readers prune columns."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder; there is no default, since a local one would be lost with its machine."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local"):
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="run-checkpoint-")
-    context.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()

@@ -20,6 +20,7 @@ def spark():
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="run-warehouse-"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-checkpoint-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
