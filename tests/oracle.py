@@ -17,7 +17,7 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 DUCK_TO_SPARK = {
     "BIGINT": "bigint", "INTEGER": "int", "SMALLINT": "smallint", "VARCHAR": "string", "DOUBLE": "double",
-    "FLOAT": "float", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "HUGEINT": "bigint",
+    "FLOAT": "float", "DATE": "date", "TIMESTAMP": "timestamp_ntz", "HUGEINT": "bigint", "BOOLEAN": "boolean",
 }
 
 
