@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog.registry import Catalog
-from strandline.llm import exact_dedup, mixing, simhash
+from strandline.llm import exact_dedup, mixing, pii, simhash, toxicity, warc
 
 CATALOG = Catalog()
 
@@ -121,3 +121,35 @@ FROM norm WINDOW same AS (PARTITION BY norm ORDER BY n_points DESC, doc_id)"""
 @CATALOG.add("op9_exact_duplicates", EXACT_SQL)
 def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+# 4: personal data
+
+
+@CATALOG.add("op4_personal_data")
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
+# 5: WARC
+
+
+@CATALOG.add("op5_warc_archives")
+def op5_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# 7: toxicity
+
+
+def toxicity_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    return toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@CATALOG.add("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), toxicity_lexicon(spark, sf_dir))
