@@ -26,13 +26,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Labelled rows to learn from at most: those with the smallest hashes of their ``doc_id``.
 TRAIN_ROWS = 12_000
 MAX_TERMS = 4_000
-#: A term is found in so many different toxic texts, and its log odds are so many standard errors above none.
-MIN_TOXIC = 4
-MIN_SIGMA = 3.5
+#: A term's counts in toxic and clean texts differ by a log-likelihood ratio of so much: a chance of 1 in 10 million.
+MIN_RATIO = 28.0
 STEM_LETTERS = (4, 5, 6, 7)
+#: A longer term that stands in this part of the texts of a shorter one is the better name for them.
+SAME_TEXTS = 0.9
 DEFAULT_EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum")
 
-# Letters that look like a Latin one, and signs written for a letter. i stands for i and l.
+# Letters that look like a Latin one, and signs written for a letter.
 LOOK_ALIKES = {
     "а": "a", "α": "a", "ɑ": "a", "в": "b", "β": "b", "с": "c", "ϲ": "c", "ԁ": "d", "е": "e", "ε": "e", "ҽ": "e",
     "ɡ": "g", "һ": "h", "н": "h", "η": "n", "і": "i", "ι": "i", "ı": "i", "ј": "j", "к": "k", "κ": "k", "ӏ": "i",
@@ -60,7 +61,7 @@ def fold(text: str) -> str:
         text = text.translate(_WIDTH).lower().translate(_RARE)
     if any(sign in text for sign in SIGNS):
         text = _SIGN.sub(_sign_as_letter, text)
-    words = _WORD.findall(text.replace("l", "i"))
+    words = _WORD.findall(text)
     return f" {' '.join([word if word.isalpha() else _digits_as_letters(word) for word in words])} "
 
 
@@ -85,14 +86,25 @@ class Lexicon:
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for pattern, weight in self.weights.items():
-            found.add_word(pattern, (len(pattern), weight))
+        for term, weight in self.weights.items():
+            for pattern in with_i_for_l(term):
+                if pattern == term or pattern not in self.weights:
+                    found.add_word(pattern, (len(pattern), weight))
         for phrase in self.exceptions:
             found.add_word(phrase, (len(phrase), None))
         found.make_automaton()
         return found
 
 
+def with_i_for_l(term: str, most: int = 4) -> list[str]:
+    """The ways to write i, what 1 and | are folded to, for some of the first ``most`` l."""
+    parts = term.split("l", most)
+    ways = [parts[0]]
+    for part in parts[1:]:
+        ways = [way + letter + part for way in ways for letter in "li"]
+    return ways
+
+
 def matches(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, float]]:
     """(start, end, weight) of the strongest match that starts at a word and isn't inside an exception."""
     hits: dict[int, tuple[int, float]] = {}
@@ -124,7 +136,7 @@ def training_texts(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_RO
     """(text, toxic, part) of at most ``rows`` labelled documents outside the held-out fold.
 
     Of near copies, told by the smallest hash of their word triples, one is kept, or each of their words would look
-    like a term. ``part`` 0 is for the lexicon, 1 for exceptions and coefficients.
+    like a term. ``part`` 0 and 1 are for the lexicon, 2 for the coefficients.
     """
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -137,7 +149,7 @@ def training_texts(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_RO
             yield frame
 
     folded = pairs.mapInPandas(sketch, "doc_id bigint, text string, toxic int, sketch bigint")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("part")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int").alias("part")
     return folded.dropDuplicates(["toxic", "sketch"]).select("text", "toxic", part)
 
 
@@ -170,17 +182,21 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, excep
     """Lexicon, exceptions and coefficients from the labelled rows; at most ``MAX_TERMS`` terms reach the driver."""
     texts = training_texts(documents, labels, rows).persist()
     sizes = {(part, toxic > 0): n for part, toxic, n in texts.groupBy("part", "toxic").count().collect()}
-    toxic, clean = (sum(n for (part, kind), n in sizes.items() if part == 0 and kind == want) for want in (True, False))
+    toxic, clean = (sum(n for (part, kind), n in sizes.items() if part < 2 and kind == want) for want in (True, False))
     if not toxic or not clean:
         raise ValueError("toxic and clean labels are both needed")
+    share, seen = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    ratio = 2 * (
+        F.col("toxic") * F.log(F.col("toxic") / (seen * share))
+        + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (seen * (1 - share)))).otherwise(0.0)
+    )
     terms = (
-        term_counts(texts.filter("part = 0")).filter(F.col("toxic") >= MIN_TOXIC)
-        .withColumns({"weight": odds, "sigma": odds / error}).filter(F.col("sigma") >= MIN_SIGMA)
-        .orderBy(F.desc("sigma"), F.length("term"), "term").limit(MAX_TERMS).collect()
+        term_counts(texts.filter("part < 2")).filter(F.col("toxic") > seen * share)
+        .withColumns({"weight": odds, "ratio": ratio}).filter(F.col("ratio") >= MIN_RATIO)
+        .orderBy(F.desc("ratio"), F.length("term"), "term").limit(MAX_TERMS).collect()
     )
-    lexicon = Lexicon(_without_longer({row["term"]: (row["weight"], row["sigma"]) for row in terms}))
+    lexicon = Lexicon(best_names({row["term"]: (row["weight"], row["toxic"]) for row in terms}))
     lexicon.exceptions = tuple(dict.fromkeys([*map(fold, exceptions), *_clean_phrases(texts, lexicon)]))
     automaton_of = lexicon.automaton
 
@@ -190,20 +206,23 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, excep
             rows = [(*features(text, automaton), float(t > 0)) for text, t in zip(frame["text"], frame["toxic"])]
             yield pd.DataFrame(rows, columns=["total", "rate", "toxic"])
 
-    measured = texts.filter("part = 1").select("text", "toxic").mapInPandas(measure, "total double, rate double, toxic double")
+    measured = texts.filter("part = 2").select("text", "toxic").mapInPandas(measure, "total double, rate double, toxic double")
     lexicon.coefficients = _logistic(measured.toPandas().to_numpy())  # at most ``rows``
     texts.unpersist()
     return lexicon
 
 
-def _without_longer(terms: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """A term that begins with a stem at least as significant adds nothing."""
-    kept = {}
-    for term, (weight, sigma) in terms.items():
-        shorter = [term[:n] for n in range(STEM_LETTERS[0] + 1, len(term))]
-        if not any(s in terms and not s.endswith(" ") and terms[s][1] >= sigma for s in shorter):
-            kept[term] = weight
-    return kept
+def best_names(terms: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """Weights of (weight, number of toxic texts): the longest term for the same texts, and none inside another's."""
+    best = dict(terms)
+    for term, (_, texts) in terms.items():
+        for shorter in (term[:n] for n in range(STEM_LETTERS[0] + 1, len(term))):
+            if shorter in terms and texts >= SAME_TEXTS * terms[shorter][1]:
+                best.pop(shorter, None)
+    return {
+        term: weight for term, (weight, _) in best.items()
+        if not any(term[:n] in best for n in range(STEM_LETTERS[0] + 1, len(term)))
+    }
 
 
 def _clean_phrases(texts: DataFrame, lexicon: Lexicon, least: int = 3) -> list[str]:
