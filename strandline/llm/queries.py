@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog.registry import Catalog
-from strandline.llm import exact_dedup, mixing, pii, simhash, toxicity, warc
+from strandline.llm import decontaminate, exact_dedup, lm_score, mixing, pii, simhash, toxicity, warc
 
 CATALOG = Catalog()
 
@@ -153,3 +153,19 @@ def toxicity_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
 @CATALOG.add("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), toxicity_lexicon(spark, sf_dir))
+
+
+# 6: benchmark decontamination
+
+
+@CATALOG.add("op6_benchmark_copies")
+def op6_benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# 10: language model scores
+
+
+@CATALOG.add("op10_lm_scores")
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
