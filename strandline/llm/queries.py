@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog.registry import Catalog
-from strandline.llm import decontaminate, exact_dedup, lm_score, mixing, pii, simhash, toxicity, warc
+from strandline.llm import decontaminate, exact_dedup, html_text, lm_score, mixing, pii, simhash, toxicity, warc
 
 CATALOG = Catalog()
 
@@ -169,3 +169,12 @@ def op6_benchmark_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.add("op10_lm_scores")
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+# 2: main text of pages
+
+
+@CATALOG.add("op2_main_text")
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), html_text.default_model(spark))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
