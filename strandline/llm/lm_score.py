@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.sharding import column_arrays, shard_count, sharded, slices
+from strandline.llm.sharding import COUNTS, COUNTS_DDL, column_arrays, shard_count, sharded, slices, sum_counts
 
 BACKOFF = 0.4
 #: Bigrams: their tables are about as large as the texts, those of trigrams twice that.
@@ -75,42 +75,26 @@ def _count_shard(buckets: int, order: int):
                     "shard": key[0].as_py(), "n": n, "bucket": bucket, "keys": keys[start:end].tobytes(),
                     "counts": counts[start:end].astype(np.uint32).tobytes(),
                 })
-        return pa.Table.from_pylist(rows, _PACK)
+        return pa.Table.from_pylist(rows, COUNTS)
 
     return count
 
 
-_PACK = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ANSWER = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    """A bucket of one order: the sum over all shards for every key of every slice."""
-    keys = column_arrays(table, "keys", np.uint64)
-    counts = np.concatenate(column_arrays(table, "counts", np.uint32)).astype(np.int64)
-    distinct, entry = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(entry, counts, len(distinct)).astype(np.int64)[entry]
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    answers = [part.tobytes() for part in np.split(totals, cuts)]
-    return table.select(["shard", "n", "bucket"]).append_column(_ANSWER.field("totals"), pa.array(answers, pa.binary())).cast(_ANSWER)
-
-
 def scores(grams: Grams, totals: list[np.ndarray], all_tokens: int) -> np.ndarray:
     """The summed log scores of the texts, given the corpus counts of the sorted distinct n-grams by order."""
-    others, history = [], []  # by order: of a token's n-gram, and of the same n-gram as a history
+    others = []  # by order: how often other documents have the n-gram up to each token
     for n, (keys, _) in enumerate(grams.distinct()):
         if not len(keys):
             others.append(np.zeros(len(grams.place), np.int64))
             continue
         entry = np.searchsorted(keys, grams.keys[n])
-        entry[grams.place < n] = 0
-        pair, own_entry, own = np.unique(
-            grams.document * len(keys) + entry, return_inverse=True, return_counts=True
+        has = grams.place >= n
+        _, pair, own = np.unique(
+            grams.document[has] * len(keys) + entry[has], return_inverse=True, return_counts=True
         )
-        if n:  # texts with a shorter place have no n-gram there; they must not count for entry 0
-            short = np.bincount(own_entry[grams.place < n], minlength=len(pair))
-            own = own - short
-        others.append(np.where(grams.place >= n, totals[n][entry] - own[own_entry], 0))
+        other = np.zeros(len(has), np.int64)
+        other[has] = totals[n][entry[has]] - own[pair]
+        others.append(other)
     outside = all_tokens - grams.sizes[grams.document]
     share = np.where(others[0] > 0, others[0], 1) / (outside + (others[0] == 0))
     for n in range(1, len(others)):
@@ -142,8 +126,7 @@ def lm_scores(documents: DataFrame, order: int = ORDER, shard_bytes: int | None
     counted = F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
     all_tokens = documents.agg(counted).first()[0] or 0
     rows = sharded(documents, shards)
-    pack = "shard int, n int, bucket int, keys binary, counts binary"
-    packs = rows.groupBy("shard").applyInArrow(_count_shard(shards, order), pack)
-    totals = packs.groupBy("n", "bucket").applyInArrow(_add_up, "shard int, n int, bucket int, totals binary")
+    counts = rows.groupBy("shard").applyInArrow(_count_shard(shards, order), COUNTS_DDL)
+    totals = sum_counts(counts)
     both = rows.groupBy("shard").cogroup(totals.groupBy("shard"))
     return both.applyInArrow(_score_shard(order, all_tokens), RESULT)

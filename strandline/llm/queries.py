@@ -3,7 +3,18 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalog.registry import Catalog
-from strandline.llm import decontaminate, exact_dedup, html_text, lm_score, mixing, pii, simhash, toxicity, warc
+from strandline.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    lm_score,
+    mixing,
+    pii,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 
 CATALOG = Catalog()
 
@@ -178,3 +189,11 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages"), html_text.default_model(spark))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+# 8: repeated passages
+
+
+@CATALOG.add("op8_repeated_passages")
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))

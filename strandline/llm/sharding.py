@@ -50,3 +50,26 @@ def slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
 def column_arrays(table: pa.Table, name: str, kind) -> list[np.ndarray]:
     """The arrays of a binary column."""
     return [np.frombuffer(value.as_buffer(), kind) for chunk in table[name].chunks for value in chunk]
+
+
+#: Counts of a shard's keys of kind ``n`` in one bucket, and the sums that a bucket answers with.
+COUNTS = pa.schema([
+    ("shard", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())
+])
+COUNTS_DDL = "shard int, n int, bucket int, keys binary, counts binary"
+_TOTALS = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
+
+
+def sum_counts(counts: DataFrame) -> DataFrame:
+    """(shard, n, bucket, totals): for every key of every slice the sum of its counts over all shards, as int64."""
+    return counts.groupBy("n", "bucket").applyInArrow(_add_up, "shard int, n int, bucket int, totals binary")
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    keys = column_arrays(table, "keys", np.uint64)
+    counts = np.concatenate(column_arrays(table, "counts", np.uint32)).astype(np.int64)
+    distinct, entry = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.bincount(entry, counts, len(distinct)).astype(np.int64)[entry]
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    answers = pa.array([part.tobytes() for part in np.split(totals, cuts)], pa.binary())
+    return pa.table([table["shard"], table["n"], table["bucket"], answers], schema=_TOTALS)
