@@ -238,6 +238,8 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         plain = _PLAIN_AT.match(text[first:last])
         if plain and plain[1].isalpha():  # a name at a site, not an address: "seen at example.com"
             continue
+        if kind == "email" and rewritten.text[start:end].rpartition(".")[2].isdigit():  # "5 at 3.2"
+            continue
         added.append((kind, first, last))
     return added
 
