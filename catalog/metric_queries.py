@@ -19,7 +19,7 @@ from catalog.views import (
     words_sql,
 )
 from strandline.functions.hashing import HASH_RANGE, draw, hash32
-from strandline.operators.encoding import pad_sequence, split_tail
+from strandline.operators.encoding import join_parts, pad_sequence, split_tail
 from strandline.operators.evaluate import (
     auprc,
     auroc,
@@ -268,7 +268,7 @@ model AS (SELECT prev, nxt, n FROM (
 @CATALOG.add("r3_next_event_model", events_sql(_BIGRAM_SQL + 'SELECT prev, nxt AS "next", n FROM model'))
 def bigrams(spark, sf):
     texts = to_text(customer_sequences(routed(spark, sf), part_size=25))
-    return next_event_model(texts, "column1", part="part")
+    return next_event_model(texts, "column1")
 
 
 @CATALOG.add(
@@ -283,6 +283,16 @@ def bigrams(spark, sf):
     LEFT JOIN model d ON d.prev = c.nxt LEFT JOIN model f ON f.prev = d.nxt"""),
 )
 def filled(spark, sf):
-    texts = to_text(customer_sequences(routed(spark, sf)))
-    rows = fill_next(next_event_model(texts, "column1"), split_tail(texts))
+    return _filled(spark, sf)
+
+
+@CATALOG.add("r3_fill_next_in_parts", CATALOG.sql["r3_fill_next"])
+def filled_in_parts(spark, sf):
+    return _filled(spark, sf, part_size=10)
+
+
+def _filled(spark, sf, **options):
+    texts = to_text(customer_sequences(routed(spark, sf), **options))
+    last = join_parts(split_tail(texts, "column1"), "column1", "history", n=1)
+    rows = fill_next(next_event_model(texts, "column1"), last)
     return rows.select("column1", F.array_join("targets", " ").alias("targets"), F.array_join("preds", " ").alias("preds"))

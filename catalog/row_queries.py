@@ -16,20 +16,21 @@ from catalog.views import (
     words_sql,
 )
 from strandline.functions.hashing import hash32
-from strandline.functions.text import spaced_words, strip_underscores
+from strandline.functions.text import spaced_words
 from strandline.operators.encoding import (
     chunk_from_end,
     chunk_parts_from_end,
     copy_labels,
+    decode,
     encode,
     pad_sequence,
     split_tail,
 )
-from strandline.operators.masking import fill_rows, mask_multi, mask_tokens, mask_words
+from strandline.operators.masking import mask_multi, mask_tokens, mask_words
 from strandline.operators.sequences import customer_sequences, labelled_windows, to_text
 from strandline.operators.vocabulary import word_vocabulary
 from strandline.plans.feature_rows import feature_rows
-from strandline.plans.training_rows import event_vocabulary, period_datasets, training_rows
+from strandline.plans.training_rows import event_vocabulary, fill_in_rows, period_datasets, training_rows
 
 CATALOG = Catalog()
 
@@ -179,7 +180,7 @@ def word_masks(spark, sf):
     halves = F.transform(
         spaced_words(F.col("text")),
         lambda w: F.when(
-            F.length(w) > 4, F.array(F.substring(w, 1, 4), F.concat(F.lit("##"), F.substring(w, 5, 1000)))
+            F.length(w) > 4, F.array(F.substring(w, 1, 4), F.concat(F.lit("##"), F.substr(w, F.lit(5))))
         ).otherwise(F.array(w)),
     )
     pieces = documents(spark, sf).select("doc_id", F.flatten(halves).alias("pieces"))
@@ -199,12 +200,24 @@ def word_masks(spark, sf):
     FROM cust WHERE len(ws) > 5"""),
 )
 def held_out(spark, sf):
-    texts, _ = _customers(spark, sf)
-    rows = split_tail(texts).select("column1", "history", F.array_join("targets", " ").alias("targets"))
-    return rows
+    return _held_out(spark, sf)
 
 
-def _fill(name, width):
+@CATALOG.add("k4_split_tail_in_parts", CATALOG.sql["k4_split_tail"])
+def held_out_in_parts(spark, sf):
+    return _held_out(spark, sf, part_size=10)
+
+
+def _held_out(spark, sf, **options):
+    """Histories of several parts are put together, for the comparison only."""
+    texts, _ = _customers(spark, sf, **options)
+    rows = split_tail(texts, "column1").withColumn("targets", F.array_join("targets", " "))
+    parts = F.sort_array(F.collect_list(F.struct("part", "history")))
+    rows = rows.groupBy("column1", "targets").agg(parts.alias("parts"))
+    return rows.select("column1", F.array_join("parts.history", " ").alias("history"), "targets")
+
+
+def _fill(name, width, **options):
     room = width - 7
 
     @CATALOG.add(
@@ -217,14 +230,14 @@ def _fill(name, width):
                  || repeat(',-100', {room} - len(past)) AS labels FROM f"""),
     )
     def run(spark, sf):
-        texts, vocab = _customers(spark, sf)
-        rows = split_tail(texts).withColumn("goal", F.array_join("targets", " "))
-        rows = encode(encode(rows, vocab, "history", "history_ids"), vocab, "goal", "target_ids")
-        return _texts(fill_rows(rows, max_len=width), "input_ids", "labels").select("column1", "input_ids", "labels")
+        texts, vocab = _customers(spark, sf, **options)
+        rows = fill_in_rows(texts, vocab, max_len=width)
+        return _texts(rows, "input_ids", "labels").select("column1", "input_ids", "labels")
 
 
 _fill("k5_fill_rows", 256)
 _fill("k5_fill_rows_narrow", 32)
+_fill("k5_fill_rows_in_parts", 32, part_size=10)
 
 
 @CATALOG.add(
@@ -254,26 +267,25 @@ def multi_rows(spark, sf):
 @CATALOG.add("training_rows_subword")
 def subword_rows(spark, sf):
     vocab = event_vocabulary(events(spark, sf), ROUTES, min_frequency=2)
-    plain = routed(spark, sf).withColumn("evnt", strip_underscores(F.col("evnt")))
-    rows = training_rows(plain, vocab, VOCAB_SIZE, masking="words")
+    rows = training_rows(routed(spark, sf), vocab, VOCAB_SIZE, masking="words")
     return _texts(rows, *_ROW, "labels")
 
 
 @CATALOG.add(
     "period_datasets",
-    events_sql("""SELECT 'week' AS kind, column1, month(column2)::int AS month, weekofyear(column2)::int AS number,
+    events_sql("""SELECT 'week' AS kind, column1, 0::bigint AS part, month(column2)::int AS month, weekofyear(column2)::int AS number,
                     coalesce(string_agg(evnt, ' ' ORDER BY column2, column3, event_id), '') AS evnt
                   FROM routed GROUP BY ALL
                   UNION ALL
-                  SELECT 'month', column1, month(column2)::int AS month, 0::int,
+                  SELECT 'month', column1, 0::bigint, month(column2)::int AS month, 0::int,
                     coalesce(string_agg(evnt, ' ' ORDER BY column2, column3, event_id), '')
                   FROM routed GROUP BY ALL"""),
 )
 def periods(spark, sf):
     week, month = period_datasets(events(spark, sf), ROUTES)
-    week = week.select(F.lit("week").alias("kind"), "column1", "month", F.col("evnt_w").alias("number"), "evnt")
+    week = week.select(F.lit("week").alias("kind"), "column1", "part", "month", F.col("evnt_w").alias("number"), "evnt")
     month = month.select(
-        F.lit("month").alias("kind"), "column1", F.month("date").alias("month"), F.lit(0).alias("number"), "evnt"
+        F.lit("month").alias("kind"), "column1", "part", F.month("date").alias("month"), F.lit(0).alias("number"), "evnt"
     )
     return week.unionByName(month)
 
@@ -297,11 +309,21 @@ def periods(spark, sf):
            {_padded_sql('b')} FROM b"""),
 )
 def with_features(spark, sf):
+    return _with_features(spark, sf)
+
+
+@CATALOG.add("feature_rows_in_parts", CATALOG.sql["feature_rows"])
+def with_features_in_parts(spark, sf):
+    return _with_features(spark, sf, part_size=10)
+
+
+def _with_features(spark, sf, **options):
     _, vocab = _customers(spark, sf)
-    windows = labelled_windows(routed(spark, sf), only_positive=False)
+    windows = labelled_windows(routed(spark, sf), only_positive=False, **options)
     rows = windows.join(features(spark, sf), "column1", "left").select(
         "column1",
         "column2",
+        "part",
         F.concat_ws("/", "column1", F.col("column2").cast("string")).alias("row_key"),
         F.col("x").alias("evnt"),
         F.exists("y", lambda flag: flag > 0).cast("int").alias("label"),
@@ -312,3 +334,22 @@ def with_features(spark, sf):
     names = {f"cust_bin{i}": f"cust_id{i}" for i in range(1, 11)}
     encoded = feature_rows(rows, vocab, names, fractions={0: 0.25, 1: 0.5}, row_key="row_key")
     return _texts(encoded.withColumn("label", F.col("labels")[0]), *_ROW).drop("labels", "column2")
+
+
+@CATALOG.add(
+    "training_rows_subword_text",
+    events_sql("""SELECT column1, coalesce(string_agg(
+                    nullif(replace(regexp_replace(replace(evnt, ' ', ''), '[^가-힣0-9a-zA-Z]', '_', 'g'), '_', ''), ''), ' '
+                    ORDER BY column2, column3, event_id), '') AS evnt
+                  FROM routed WHERE evnt IS NOT NULL GROUP BY column1"""),
+)
+def subword_texts(spark, sf):
+    """Training rows with their labels put back, decoded and joined: the customers' texts again."""
+    vocab = event_vocabulary(events(spark, sf), ROUTES, min_frequency=2)
+    rows = training_rows(routed(spark, sf), vocab, VOCAB_SIZE, masking="words")
+    pairs = F.zip_with("input_ids", "labels", lambda t, label: F.when(label == -100, t).otherwise(label))
+    ids = rows.select("column1", "chunk", F.filter(pairs, lambda t: t >= 5).alias("ids"))
+    parts = F.sort_array(F.collect_list(F.struct((-F.col("chunk")).alias("order"), "ids")))
+    whole = ids.groupBy("column1").agg(parts.alias("parts")).select("column1", F.flatten("parts.ids").alias("ids"))
+    text = F.replace(F.array_join("pieces", " "), F.lit(" ##"), F.lit(""))
+    return decode(whole, vocab, "ids").select("column1", text.alias("evnt"))

@@ -108,9 +108,9 @@ def day_rows_in_parts(spark, sf):
     return to_text(day_sequences(routed(spark, sf), part_size=3))
 
 
-@CATALOG.add("a2_text", events_sql("SELECT column1, column2, txt AS evnt FROM days"))
+@CATALOG.add("a2_text", events_sql("SELECT column1, column2, 0::bigint AS part, txt AS evnt FROM days"))
 def day_texts(spark, sf):
-    return to_text(day_sequences(routed(spark, sf))).drop("part")
+    return to_text(day_sequences(routed(spark, sf)))
 
 
 _RETAIL_AGG = "string_agg(evnt, ' ' ORDER BY column2, column3, l_orderkey, l_linenumber, evnt) AS evnt"

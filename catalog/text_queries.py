@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from catalog.registry import Catalog
 from catalog.views import ROUTES, events, events_sql, routed, words_sql
-from strandline.functions.text import clean_event, last_words, spaced_words, strip_underscores
-from strandline.operators.encoding import encode, encode_by_join
+from strandline.functions.text import clean_event, last_words, spaced_words, strip_underscores, vocabulary_text
+from strandline.operators.encoding import decode, encode, encode_by_join
 from strandline.operators.ordering import with_position
 from strandline.operators.sequences import customer_sequences, to_text
-from strandline.operators.vocabulary import train_wordpiece, word_vocabulary
+from strandline.operators.vocabulary import train_wordpiece, word_counts, word_vocabulary
 from strandline.plans.training_rows import event_vocabulary, vocabulary_events
 from strandline.sources.tables import load, spread
 
@@ -128,13 +128,73 @@ def short_pieces(spark, sf):
     return ids.select("doc_id", F.array_join("input_ids", " ").alias("ids"))
 
 
-@CATALOG.add("v5_encode_subwords")
+@CATALOG.add(
+    "v5_encode_subwords",
+    events_sql("""SELECT column1, 0::bigint AS part, coalesce(string_agg(
+                    nullif(replace(regexp_replace(replace(evnt, ' ', ''), '[^가-힣0-9a-zA-Z]', '_', 'g'), '_', ''), ''), ' '
+                    ORDER BY column2, column3, event_id), '') AS evnt
+                  FROM routed GROUP BY column1"""),
+)
 def subword_ids(spark, sf):
+    """Encoded and decoded again: the texts, as no piece of theirs is unknown."""
     vocab = event_vocabulary(events(spark, sf), ROUTES, min_frequency=2)
-    texts = to_text(customer_sequences(routed(spark, sf)))
-    plain = texts.withColumn("evnt", strip_underscores(F.col("evnt")))
-    ids = encode(plain, vocab, subword=True)
-    return ids.select("column1", "part", F.array_join("input_ids", " ").alias("ids"))
+    cleaned_events = routed(spark, sf).withColumn("evnt", vocabulary_text(F.col("evnt")))
+    ids = encode(to_text(customer_sequences(cleaned_events)), vocab, subword=True)
+    return decode(ids, vocab).select("column1", "part", _joined("pieces").alias("evnt"))
+
+
+def _joined(pieces):
+    """Pieces back to words."""
+    return F.replace(F.array_join(pieces, " "), F.lit(" ##"), F.lit(""))
+
+
+@CATALOG.add("v5_encode_decomposed", words_sql("SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids"))
+def decomposed(spark, sf):
+    """Texts in decomposed form have the ids of the composed ones, as far as these occur in the documents."""
+    return _decomposed(spark, sf, lambda docs, vocab: encode(docs, vocab, "text"))
+
+
+@CATALOG.add("v5_encode_decomposed_by_join", words_sql("SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids"))
+def decomposed_by_join(spark, sf):
+    return _decomposed(spark, sf, lambda docs, vocab: encode_by_join(docs, vocab, "doc_id", "text"))
+
+
+def _decomposed(spark, sf, how):
+    docs = documents(spark, sf)
+    vocab = word_vocabulary(docs, "text")
+    text = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    return how(docs.withColumn("text", text), vocab).select("doc_id", F.array_join("input_ids", " ").alias("ids"))
+
+
+@CATALOG.add("v3_decomposed_vocabulary", CATALOG.sql["v3_word_vocabulary"])
+def decomposed_words(spark, sf):
+    """Half of the documents in decomposed form give the vocabulary of the composed ones."""
+    text = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    docs = documents(spark, sf).withColumn("text", F.when(F.col("doc_id") % 2 == 0, text).otherwise(F.col("text")))
+    return word_vocabulary(docs, "text")
+
+
+@CATALOG.add(
+    "v4_alphabet",
+    words_sql(r"""SELECT c AS piece, sum(freq)::bigint AS freq FROM (
+                    SELECT CASE WHEN i > 1 THEN '##' ELSE '' END || substr(w, i, 1) AS c, freq
+                    FROM (SELECT nfc_normalize(piece) AS w, freq, unnest(range(1, length(nfc_normalize(piece)) + 1)) AS i FROM counts))
+                  GROUP BY c"""),
+)
+def alphabet(spark, sf):
+    """Of a trained vocabulary the pieces of one character that occur as such."""
+    vocab = train_wordpiece(documents(spark, sf), "text", vocab_size=400)
+    one = F.length(F.regexp_replace("piece", "^##(?=.)", "")) == 1
+    return vocab.filter(one & (F.col("freq") > 0)).select("piece", "freq")
+
+
+@CATALOG.add("v4_roundtrip", words_sql("SELECT DISTINCT nfc_normalize(piece) AS word, nfc_normalize(piece) AS joined FROM counts"))
+def roundtrip(spark, sf):
+    """Every word is the sum of its pieces in a trained vocabulary."""
+    docs = documents(spark, sf)
+    vocab = train_wordpiece(docs, "text", vocab_size=400)
+    words_ = word_counts(docs, "text").select("word")
+    return decode(encode(words_, vocab, "word", subword=True), vocab).select("word", _joined("pieces").alias("joined"))
 
 
 @CATALOG.add(

@@ -14,11 +14,12 @@ ROUTES = {
     "signup": Route.pair("col1", "col2"),
     "error": Route.pair("col1", "col3"),
 }
-RULES = [
+RULES = [  # equality is tested first, then containment of every pattern in order
+    ("k4", 4, "equals"),
     ("k1", 1, "contains"),
     ("k2", 2, "contains"),
     ("k3", 3, "contains"),
-    ("k4", 4, "equals"),
+    ("k4", 4, "contains"),
     ("k5", 5, "contains"),
     ("k6", 6, "contains"),
     ("k7", 7, "contains"),
@@ -70,8 +71,8 @@ routed AS (
          END AS evnt
   FROM e WHERE column5 IN ('click', 'view', 'purchase', 'signup', 'error')),
 labelled AS (
-  SELECT *, CASE WHEN contains(evnt, 'k1') THEN 1 WHEN contains(evnt, 'k2') THEN 2
-                 WHEN contains(evnt, 'k3') THEN 3 WHEN evnt = 'k4' THEN 4
+  SELECT *, CASE WHEN evnt = 'k4' THEN 4 WHEN contains(evnt, 'k1') THEN 1 WHEN contains(evnt, 'k2') THEN 2
+                 WHEN contains(evnt, 'k3') THEN 3 WHEN contains(evnt, 'k4') THEN 4
                  WHEN contains(evnt, 'k5') THEN 5 WHEN contains(evnt, 'k6') THEN 6
                  WHEN contains(evnt, 'k7') THEN 7 ELSE 0 END AS label
   FROM routed),

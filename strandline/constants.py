@@ -17,7 +17,6 @@ UNK, PAD, CLS, SEP, MASK = range(5)
 CONTINUATION = "##"
 MIN_FREQUENCY = 20
 MAX_VOCABULARY = 1_000_000
-MAX_WORD_CHARS = 100
 NOT_A_LETTER = "[^가-힣0-9a-zA-Z]"
 
 # Encoded rows.

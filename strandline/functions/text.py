@@ -14,6 +14,11 @@ def strip_underscores(text) -> Column:
     return F.replace(text, F.lit("_"), F.lit(""))
 
 
+def vocabulary_text(text) -> Column:
+    """An event text as vocabularies know it: cleaned, without the marks that stand for other characters."""
+    return strip_underscores(clean_event(text))
+
+
 def words(text) -> Column:
     """Words between single spaces, empty ones left out."""
     return F.filter(F.split(text, " ", -1), lambda w: w != "")

@@ -1,5 +1,8 @@
 """Texts to id arrays, and id arrays to rows of fixed width."""
 
+import unicodedata
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -8,7 +11,6 @@ from strandline.constants import (
     CLS,
     CONTINUATION,
     MAX_VOCABULARY,
-    MAX_WORD_CHARS,
     PAD,
     SEP,
     SPECIAL_PIECES,
@@ -18,9 +20,14 @@ from strandline.constants import (
 )
 from strandline.functions.text import last_items, spaced, spaced_words, words
 from strandline.operators.ordering import split_heavy
+from strandline.operators.vocabulary import with_composed_words
 from strandline.sources.shared import reliable_checkpoint
 
 
+#: Words whose ids a task keeps at hand.
+KNOWN_WORDS = 1_000_000
+
+
 def encode(
     df: DataFrame,
     vocab: DataFrame,
@@ -31,9 +38,10 @@ def encode(
 ) -> DataFrame:
     """Add the ids of the text's words, or of the pieces they split into.
 
-    A vocabulary is capped when it is made. One that keeps to ``max_pieces`` goes to every
-    executor once, so that no text is taken apart and shuffled; words repeat, so each is
-    split once per task. Use ``encode_by_join`` for word vocabularies without a bound.
+    Texts are taken in Unicode normal form C, as vocabularies are made. A vocabulary is capped
+    when it is made. One that keeps to ``max_pieces`` goes to every executor once, so that no
+    text is taken apart and shuffled; words repeat, so each is split once per task. Use
+    ``encode_by_join`` for word vocabularies without a bound.
     """
     rows = vocab.select("piece", "id").limit(max_pieces + 1).collect()
     if len(rows) > max_pieces:
@@ -43,14 +51,15 @@ def encode(
 
 
 def _encoder(lookup, subword: bool):
-    unknown, mark, longest_word = UNK, CONTINUATION, MAX_WORD_CHARS
+    unknown, mark = UNK, CONTINUATION
 
-    def split_word(word: str, ids: dict[str, int]) -> list[int]:
+    def split_word(word: str, ids: dict[str, int], longest: int) -> list[int]:
         """Greedy longest match from the left; one unknown id if any rest does not match."""
         found, start = [], 0
-        while start < len(word) <= longest_word:
+        while start < len(word):
             prefix = mark if start else ""
-            end = next((e for e in range(len(word), start, -1) if prefix + word[start:e] in ids), None)
+            last = min(len(word), start + longest)
+            end = next((e for e in range(last, start, -1) if prefix + word[start:e] in ids), None)
             if end is None:
                 return [unknown]
             found.append(ids[prefix + word[start:end]])
@@ -58,21 +67,25 @@ def _encoder(lookup, subword: bool):
         return found or [unknown]
 
     @F.pandas_udf("array<int>")
-    def encode_texts(texts: pd.Series) -> pd.Series:
+    def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids = lookup.value
+        longest = max(map(len, ids), default=0)
         known: dict[str, list[int]] = {}
 
         def encode_text(text):
-            if text is None:
+            if not text:
                 return []
+            if len(known) > KNOWN_WORDS:
+                known.clear()
             result = []
-            for word in text.split(" "):
+            for word in (text if text.isascii() else unicodedata.normalize("NFC", text)).split(" "):
                 if word not in known:
-                    known[word] = split_word(word, ids) if subword else [ids.get(word, unknown)]
+                    known[word] = split_word(word, ids, longest) if subword else [ids.get(word, unknown)]
                 result += known[word]
-            return result if text else []
+            return result
 
-        return texts.map(encode_text)
+        for texts in batches:
+            yield texts.map(encode_text)
 
     return encode_texts.asNondeterministic()  # or a filter on its result would run it a second time
 
@@ -84,6 +97,7 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "evnt"
     which adaptive execution broadcasts or splits by skew.
     """
     spread = df.select(F.col(key).alias("__key"), F.posexplode_outer(spaced_words(F.col(text))).alias("__i", "__word"))
+    spread = with_composed_words(spread, "__word")
     ids = vocab.select(F.col("piece").alias("__word"), F.col("id").alias("__id"))
     item = F.when(F.col("__i").isNotNull(), F.struct("__i", F.coalesce("__id", F.lit(UNK)).alias("__id")))
     gathered = spread.join(ids, "__word", "left").groupBy("__key").agg(F.sort_array(F.collect_list(item)).alias("__items"))
@@ -155,8 +169,7 @@ def chunk_parts_from_end(df: DataFrame, key: str, part: str = "part", ids: str =
     of the parts are added up per key; every part then cuts itself on the common grid, and
     the few pieces of a chunk, ``size`` ids at most, are joined up.
     """
-    several = reliable_checkpoint(df.filter(F.col(part) > 0).select(F.col(key).alias("__heavy")).distinct())
-    single, rest = split_heavy(df.select(key, part, ids), key, several)
+    single, rest = _parts_apart(df.select(key, part, ids), key, part)
     chunks = chunk_from_end(single.drop(part), ids, size)
     return chunks if rest is None else chunks.unionByName(_chunk_parts(rest, key, part, ids, size))
 
@@ -186,12 +199,72 @@ def copy_labels(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     return df.withColumn("labels", F.col(ids))
 
 
-def split_tail(df: DataFrame, text: str = "evnt", n: int = TAIL_WORDS) -> DataFrame:
-    """Hold out the last n words: text ``history`` and array ``targets``; needs more than n words."""
-    return (
-        df.withColumn("__words", words(F.col(text)))
-        .filter(F.size("__words") > n)
-        .withColumn("history", F.array_join(F.slice("__words", 1, F.size("__words") - n), " "))
-        .withColumn("targets", last_items(F.col("__words"), n))
-        .drop("__words")
+def _parts_apart(df: DataFrame, key: str, part: str) -> tuple[DataFrame, DataFrame | None]:
+    """Sequences in one part, as nearly all are, and the others if there are any."""
+    several = reliable_checkpoint(df.filter(F.col(part) > 0).select(F.col(key).alias("__heavy")).distinct())
+    return split_heavy(df, key, several)
+
+
+def _with_later_words(df: DataFrame, key: str, part: str) -> DataFrame:
+    """Adds ``__after``, the words in later parts, and ``__all``, those of the whole sequence, to rows with ``__words``.
+
+    Only lengths meet in the window: one narrow row per part.
+    """
+    lengths = df.select(F.col(key).alias("__key"), F.col(part).alias("__part"), F.size("__words").alias("__n"))
+    later = Window.partitionBy("__key").orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    lengths = lengths.select(
+        "__key",
+        "__part",
+        F.coalesce(F.sum("__n").over(later), F.lit(0)).alias("__after"),
+        F.sum("__n").over(Window.partitionBy("__key")).alias("__all"),
+    )
+    return df.join(lengths, F.col(key).eqNullSafe(F.col("__key")) & (F.col(part) == F.col("__part"))).drop("__key", "__part")
+
+
+def split_tail(df: DataFrame, key: str, text: str = "evnt", n: int = TAIL_WORDS, part: str = "part") -> DataFrame:
+    """Hold out the last n words of each sequence: text ``history`` and array ``targets``; needs more than n words.
+
+    A sequence in several parts stays in several rows, each with its part of the history and the targets of the
+    whole. Parts that are all targets have no row.
+    """
+    rows = df.withColumn("__words", words(F.col(text)))
+    single, several = _parts_apart(rows, key, part)
+    single = single.filter(F.size("__words") > n).withColumn("targets", last_items(F.col("__words"), n))
+    result = _history(single, F.lit(n))
+    if several is None:
+        return result
+    placed = _with_later_words(several, key, part).filter(F.col("__all") > n)
+    mine = F.greatest(F.lit(0), F.least(F.size("__words").cast("long"), F.lit(n) - F.col("__after"))).cast("int")
+    placed = placed.withColumn("__mine", mine)
+    pieces = placed.filter("__mine > 0").select(
+        F.col(key).alias("__key"), F.struct(F.col(part), last_items(F.col("__words"), F.col("__mine")).alias("__tail")).alias("__piece")
+    )
+    targets = pieces.groupBy("__key").agg(F.sort_array(F.collect_list("__piece")).alias("__pieces"))  # n words at most
+    joined = placed.join(targets, F.col(key).eqNullSafe(F.col("__key")))
+    long = joined.withColumn("targets", F.flatten("__pieces.__tail"))
+    long = _history(long.filter(F.size("__words") > F.col("__mine")), F.col("__mine"))
+    return result.unionByName(long.select(result.columns))
+
+
+def _history(df: DataFrame, n: Column) -> DataFrame:
+    history = F.array_join(F.slice("__words", F.lit(1), F.size("__words") - n), " ")
+    return df.withColumn("history", history).drop("__words")
+
+
+def join_parts(df: DataFrame, key: str, text: str, n: int, part: str = "part") -> DataFrame:
+    """One row per sequence with the last n words of its text; the other columns are those of its last part."""
+    rows = df.withColumn("__words", words(F.col(text)))
+    single, several = _parts_apart(rows, key, part)
+    result = single.withColumn(text, F.array_join(last_items(F.col("__words"), n), " ")).drop("__words", part)
+    if several is None:
+        return result
+    placed = _with_later_words(several, key, part).filter(F.col("__after") < n)
+    tail = last_items(F.col("__words"), (F.lit(n) - F.col("__after")).cast("int"))
+    others = [c for c in result.columns if c not in (key, text)]
+    row = F.struct(F.col(part).alias("__part"), tail.alias("__tail"), *others)
+    gathered = placed.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("__rows"))  # n words at most
+    last = F.element_at("__rows", -1)
+    long = gathered.select(
+        key, F.array_join(F.flatten("__rows.__tail"), " ").alias(text), *[last[c].alias(c) for c in others]
     )
+    return result.unionByName(long.select(result.columns))

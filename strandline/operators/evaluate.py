@@ -73,20 +73,31 @@ def auprc(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred", classes: tuple = (0, 1)) -> DataFrame:
-    """Count and share of all rows for every cell of the grid, empty cells too."""
-    cells = [(a, b) for a in classes for b in classes]
-    counts = [F.count_if((F.col(label) == a) & (F.col(pred) == b)).alias(f"n{i}") for i, (a, b) in enumerate(cells)]
+    """Count and share of all rows for every cell of the grid, empty cells too.
+
+    Values outside ``classes``, nulls too, have cells of their own, as null; these are left out while empty. So the
+    counts add up to all rows.
+    """
+    known = [*classes, None]
+    cells = [(a, b) for a in known for b in known]
+
+    def is_class(col: str, value) -> Column:
+        other = ~F.coalesce(F.col(col).isin(*classes), F.lit(False))
+        return other if value is None else F.col(col) == value
+
+    counts = [F.count_if(is_class(label, a) & is_class(pred, b)).alias(f"n{i}") for i, (a, b) in enumerate(cells)]
     total = F.count("*").alias("total")
     grid = [
         F.struct(
-            F.lit(a).alias(label),
-            F.lit(b).alias(pred),
+            F.lit(a).cast(df.schema[label].dataType).alias(label),
+            F.lit(b).cast(df.schema[pred].dataType).alias(pred),
             F.col(f"n{i}").alias("n"),
             _ratio(F.col(f"n{i}"), F.col("total")).alias("share"),
         )
         for i, (a, b) in enumerate(cells)
     ]
-    return df.agg(*counts, total).select(F.inline(F.array(*grid)))
+    rows = df.agg(*counts, total).select(F.inline(F.array(*grid)))
+    return rows.filter(F.col(label).isNotNull() & F.col(pred).isNotNull() | (F.col("n") > 0))
 
 
 def _kept_pairs(first: str, second: str, keep) -> Column:

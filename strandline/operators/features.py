@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.constants import FEATURE_SIZES
+from strandline.operators.events import join_codes
 
 
 def shift_ids(df: DataFrame, meta_columns: list[str]) -> DataFrame:
@@ -37,7 +38,10 @@ def bucket_ids(df: DataFrame, col: str, edges: list[float], name: str) -> DataFr
 
 
 def join_features(seq: DataFrame, feats: DataFrame, key: str) -> DataFrame:
-    """Features of the customer on every sequence row; unknown customers get 0."""
-    names = [c for c in feats.columns if c != key]
-    joined = seq.join(feats, key, "left")
+    """Features of the customer on every sequence row; unknown customers get 0.
+
+    A customer has one row of features: equal repeats count once, different ones fail.
+    """
+    names = tuple(c for c in feats.columns if c != key)
+    joined = join_codes(seq, feats, key, key, names)
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})

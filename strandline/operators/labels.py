@@ -4,6 +4,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.constants import N_CLASSES
 
+#: Classes are bits of a long; the sign is left alone.
+MAX_CLASS = 63
+
 Rule = tuple[str, int, str]  # pattern, class, 'contains' or 'equals'
 
 
@@ -21,13 +24,17 @@ def label_events(df: DataFrame, rules: list[Rule], default: int = 0, text: str =
 
 
 def label_bit(label: Column) -> Column:
-    """Bit k-1 for class k, no bit for class 0 or null; ``bit_or`` then collects a set."""
-    return F.when(label > 0, F.call_function("shiftleft", F.lit(1).cast("long"), label - 1)).otherwise(F.lit(0).cast("long"))
+    """Bit k-1 for class k, no bit for class 0 or null; ``bit_or`` then collects a set. Classes beyond 63 fail."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), label - 1)
+    too_big = F.raise_error(F.concat(F.lit("no bit for class "), label.cast("string"))).cast("long")
+    return F.when(label > MAX_CLASS, too_big).when(label > 0, bit).otherwise(F.lit(0).cast("long"))
 
 
 def flags(mask: Column, n_classes: int = N_CLASSES) -> Column:
-    """Label set as an array of n 0/1 flags."""
-    return F.array(*[F.shiftright(mask, k).bitwiseAND(F.lit(1)).cast("int") for k in range(n_classes)])
+    """Label set as an array of n 0/1 flags. A set with a class beyond ``n_classes`` fails: it has no flag."""
+    known = F.array(*[F.shiftright(mask, k).bitwiseAND(F.lit(1)).cast("int") for k in range(n_classes)])
+    too_big = F.raise_error(F.lit(f"a label is beyond the {n_classes} classes")).cast("array<int>")
+    return F.when(F.shiftright(mask, n_classes) != 0, too_big).otherwise(known)
 
 
 def multi_hot(df: DataFrame, mask: str = "mask", n_classes: int = N_CLASSES, name: str = "y") -> DataFrame:

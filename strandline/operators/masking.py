@@ -125,10 +125,11 @@ def fill_rows(df: DataFrame, history: str = "history_ids", targets: str = "targe
     """History, one [MASK] per target piece, [SEP]; labels: the target ids and the [SEP].
 
     A history that is too long loses its oldest ids, so masks and labels stay in line. Targets
-    wider than the whole row lose their last ids.
+    wider than the whole row fail.
     """
-    m = F.least(F.size(targets), F.lit(max_len - 2))
-    rows = df.withColumn("__goal", F.slice(targets, 1, m)).withColumn("__past", last_items(F.col(history), F.lit(max_len - 2) - m))
+    m = F.size(targets)
+    too_wide = F.raise_error(F.lit(f"targets don't fit into rows of {max_len} ids")).cast("array<int>")
+    rows = df.withColumn("__goal", F.when(m > max_len - 2, too_wide).otherwise(F.col(targets))).withColumn("__past", last_items(F.col(history), F.lit(max_len - 2) - m))
     used = F.size("__past") + F.size("__goal") + 2
     pads = (F.lit(max_len) - used).cast("int")
     masks = F.transform("__goal", lambda _: F.lit(MASK))

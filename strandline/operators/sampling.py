@@ -13,7 +13,8 @@ def stratified_sample(
 
     Without ``fractions`` a tenth of the classes 0 and 1.
     """
-    fractions = fractions or {0: SAMPLE_SHARE, 1: SAMPLE_SHARE}
+    if fractions is None:
+        fractions = {0: SAMPLE_SHARE, 1: SAMPLE_SHARE}
     share: Column = F.lit(0.0)
     for value, fraction in fractions.items():
         share = F.when(F.col(col) == value, F.lit(float(fraction))).otherwise(share)

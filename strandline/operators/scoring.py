@@ -6,12 +6,13 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.constants import N_CLASSES, TAIL_WORDS
 from strandline.functions.text import words
+from strandline.sources.shared import stored
 
 
 def score(df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
@@ -26,15 +27,18 @@ def score(df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.D
 
 
 def fit_labels(
-    train: DataFrame, text: str = "x", y: str = "y", n_classes: int = N_CLASSES, vocab_size: int = 1 << 16, max_iter: int = 20
+    train: DataFrame, text: str = "x", y: str = "y", n_classes: int = N_CLASSES, hash_bits: int = 18, max_iter: int = 20
 ) -> PipelineModel:
-    """One logistic regression per class on word counts; a class seen with one value only is constant."""
+    """One logistic regression per class on word counts; a class seen with one value only is constant.
+
+    Words are hashed to 2 ** ``hash_bits`` features, so none is left out, however many there are.
+    """
     for k in range(n_classes):
         train = train.withColumn(f"__y{k}", F.col(y)[k].cast("double"))
     counter = Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="__words", pattern=" +", toLowercase=False),
-            CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocab_size),
+            HashingTF(inputCol="__words", outputCol="__counts", numFeatures=1 << hash_bits),
         ]
     ).fit(train)
     counted = counter.transform(train).select("__counts", *[f"__y{k}" for k in range(n_classes)])
@@ -64,22 +68,21 @@ def predict_labels(model: PipelineModel, df: DataFrame, n_classes: int = N_CLASS
     return scored.select(*df.columns, F.array(*probs).alias("probs"), F.array(*preds).alias("preds"))
 
 
-def next_event_model(train: DataFrame, key: str, text: str = "evnt", part: str | None = None) -> DataFrame:
+def next_event_model(train: DataFrame, key: str, text: str = "evnt", part: str = "part") -> DataFrame:
     """Rows (prev, next, n): the event that most often follows, ties to the smaller text.
 
-    With ``part``, the last event of a part is also followed by the first of the next one.
+    The last event of a part is followed by the first of the next one, so a sequence counts alike in one part or many.
     """
-    split = train.select(key, *([part] if part else []), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
+    split = train.select(key, part, words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     follows = F.zip_with(
         F.slice("w", 1, F.size("w") - 1),
         F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))),
         lambda a, b: F.struct(a.alias("prev"), b.alias("next")),
     )
     pairs = split.select(F.inline(follows))
-    if part:
-        ends = split.select(key, part, F.get("w", 0).alias("__head"), F.get("w", F.size("w") - 1).alias("prev"))
-        following = F.lead("__head").over(Window.partitionBy(key).orderBy(part))
-        pairs = pairs.unionByName(ends.select("prev", following.alias("next")).filter("next is not null"))
+    ends = split.select(key, part, F.get("w", 0).alias("__head"), F.get("w", F.size("w") - 1).alias("prev"))
+    following = F.lead("__head").over(Window.partitionBy(key).orderBy(part))
+    pairs = pairs.unionByName(ends.select("prev", following.alias("next")).filter("next is not null"))
     counts = pairs.groupBy("prev", "next").agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("less"), F.col("next")))
     return counts.groupBy("prev").agg(best.alias("b")).select("prev", F.col("b.next"), (-F.col("b.less")).alias("n"))
@@ -88,8 +91,10 @@ def next_event_model(train: DataFrame, key: str, text: str = "evnt", part: str |
 def fill_next(model: DataFrame, df: DataFrame, history: str = "history", n: int = TAIL_WORDS) -> DataFrame:
     """Add ``preds``: the n events the model expects after the history, null once it knows none.
 
-    The chains are made on the model, one row per event, so the histories are joined once.
+    The chains are made on the model, one row per event, so the histories are joined once. The model is stored, or
+    each step of a chain would count the bigrams again. Of a history in several parts, hand over the last one.
     """
+    model = stored(model, "next-events")
     step = model.select(F.col("prev").alias("__at"), F.col("next").alias("__to"))
     chains = model.select("prev", F.array("next").alias("preds"))
     for i in range(1, n):

@@ -2,11 +2,19 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.constants import CHUNK, SEED
-from strandline.functions.text import clean_event, strip_underscores
-from strandline.operators.encoding import chunk_parts_from_end, copy_labels, decode, encode, pad_sequence
+from strandline.constants import CHUNK, SEED, WIDTH
+from strandline.functions.text import clean_event, strip_underscores, vocabulary_text
+from strandline.operators.encoding import (
+    chunk_parts_from_end,
+    copy_labels,
+    decode,
+    encode,
+    join_parts,
+    pad_sequence,
+    split_tail,
+)
 from strandline.operators.events import Route, default_time, route_events
-from strandline.operators.masking import mask_multi, mask_tokens, mask_words
+from strandline.operators.masking import fill_rows, mask_multi, mask_tokens, mask_words
 from strandline.operators.ordering import heavy_keys
 from strandline.operators.sampling import split
 from strandline.operators.sequences import (
@@ -51,8 +59,11 @@ def training_rows(
 ) -> DataFrame:
     """Rows (customer, chunk, split, input_ids, token_type_ids, attention_mask, labels).
 
-    Whole customers go to one split. ``masking``: 'words', 'tokens', 'multi' or 'copy'.
+    Whole customers go to one split. ``masking``: 'words', 'tokens', 'multi' or 'copy'. With ``subword``
+    event texts are cleaned as those of ``event_vocabulary`` are.
     """
+    if subword:
+        routed = routed.withColumn("evnt", vocabulary_text(F.col("evnt")))
     texts = to_text(customer_sequences(routed, customer=customer, **options))
     ids = encode(texts, vocab, subword=subword).select(customer, "part", "input_ids")
     chunks = chunk_parts_from_end(ids, customer, size=CHUNK)
@@ -70,3 +81,23 @@ def training_rows(
         else:
             raise ValueError("masking is 'words', 'tokens', 'multi' or 'copy'")
     return masked.select(customer, "chunk", "split", "input_ids", "token_type_ids", "attention_mask", "labels")
+
+
+def fill_in_rows(
+    texts: DataFrame,
+    vocab: DataFrame,
+    customer: str = "column1",
+    text: str = "evnt",
+    subword: bool = False,
+    max_len: int = WIDTH,
+) -> DataFrame:
+    """Rows (customer, input_ids, token_type_ids, attention_mask, labels): the last events, to be filled in.
+
+    ``texts`` has (customer, part, text). A word has an id at least, so ``max_len`` words of history are enough.
+    """
+    held = split_tail(texts.select(customer, "part", text), customer, text)
+    rows = join_parts(held, customer, "history", max_len).withColumn("__goal", F.array_join("targets", " "))
+    rows = encode(rows, vocab, "history", "__past_ids", subword=subword)
+    rows = encode(rows, vocab, "__goal", "__goal_ids", subword=subword)
+    filled = fill_rows(rows, "__past_ids", "__goal_ids", max_len)
+    return filled.select(customer, "input_ids", "token_type_ids", "attention_mask", "labels")

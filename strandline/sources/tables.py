@@ -40,10 +40,11 @@ def run_sql(
     views: dict[str, DataFrame] | None = None,
     use_regex: bool = False,
 ) -> DataFrame | list[DataFrame]:
-    """Lazy result of one SQL text, or the list of results of several.
+    """Lazy result of one SQL text, or the list of results of several. The views are gone afterwards.
 
     With ``use_regex`` a back-quoted name in a SELECT list is a pattern for column names.
     """
+    shadowed = {name: spark.table(name) if _is_view(spark, name) else None for name in views or {}}
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     flag = "spark.sql.parser.quotedRegexColumnNames"
@@ -53,9 +54,15 @@ def run_sql(
         results = [spark.sql(text) for text in ([sql] if isinstance(sql, str) else sql)]
     finally:
         spark.conf.set(flag, before)
+        for name, kept in shadowed.items():
+            kept.createOrReplaceTempView(name) if kept else spark.catalog.dropTempView(name)
     return results[0] if len(results) == 1 else results
 
 
+def _is_view(spark: SparkSession, name: str) -> bool:
+    return any(table.isTemporary and table.name == name for table in spark.catalog.listTables())
+
+
 def save_table(
     df: DataFrame,
     target: str,

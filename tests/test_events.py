@@ -44,9 +44,9 @@ def test_pair_route_is_null_if_either_is_and_unknown_codes_go(spark):
 
 
 def test_first_rule_wins_and_null_is_class_zero(spark):
-    rules = [("m1", 1, "contains"), ("m4", 4, "equals"), ("m5", 5, "contains")]
+    rules = [("m4", 4, "equals"), ("m1", 1, "contains"), ("m4", 4, "contains"), ("m5", 5, "contains")]
     df = spark.createDataFrame([(1, "xm5m1"), (2, "m4"), (3, "m44"), (4, "m5"), (5, None), (6, "")], "id int, evnt string")
-    assert [r[0] for r in texts(label_events(df, rules), "label")] == [1, 4, 0, 5, 0, 0]
+    assert [r[0] for r in texts(label_events(df, rules), "label")] == [1, 4, 4, 5, 0, 0]
 
 
 def test_flags_and_their_sum(spark):
@@ -56,6 +56,22 @@ def test_flags_and_their_sum(spark):
     assert got == [([1, 0, 0, 0, 0, 0, 1], 2), ([0] * 7, 0), ([0, 1, 0, 0, 0, 0, 0], 1)]
 
 
+def test_labels_beyond_the_classes_fail(spark):
+    df = spark.createDataFrame([(8,)], "label int").select(label_bit(F.col("label")).alias("mask"))
+    with pytest.raises(Exception, match="beyond the 7 classes"):
+        multi_hot(df).collect()
+    with pytest.raises(Exception, match="no bit for class 64"):
+        spark.createDataFrame([(64,)], "label int").select(label_bit(F.col("label"))).collect()
+
+
+def test_features_need_one_row_per_customer(spark):
+    seq = spark.createDataFrame([(1,)], "column1 int")
+    same = spark.createDataFrame([(1, 5), (1, 5)], "column1 int, f int")
+    assert [tuple(r) for r in join_features(seq, same, "column1").collect()] == [(1, 5)]
+    with pytest.raises(Exception, match="two rows for dimension key"):
+        join_features(seq, same.union(spark.createDataFrame([(1, 6)], same.schema)), "column1").collect()
+
+
 def test_cast_priority(spark):
     df = spark.sql("SELECT 1L AS big, 2.5D AS dbl, 3.25BD AS dec, 4BD AS whole, 'x' AS `odd name`, 5 AS int")
     assert dict(cast_columns(df).dtypes) == {

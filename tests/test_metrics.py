@@ -46,6 +46,12 @@ def test_no_positives(spark):
     assert grid == {(0, 0): (2, 1.0), (0, 1): (0, 0.0), (1, 0): (0, 0.0), (1, 1): (0, 0.0)}
 
 
+def test_other_classes_have_cells(spark):
+    df = spark.createDataFrame([(0, 0), (2, 1), (None, 1), (1, None), (7, 9)], "label int, pred int")
+    cells = {(r.label, r.pred): r.n for r in confusion(df).collect()}
+    assert cells == {(0, 0): 1, (0, 1): 0, (1, 0): 0, (1, 1): 0, (None, 1): 2, (1, None): 1, (None, None): 1}
+
+
 def test_decision_is_strict(spark):
     df = spark.createDataFrame([(0.0,), (1e-9,), (-800.0,), (800.0,)], "logit double")
     assert [r.pred for r in decide(df).collect()] == [0, 1, 0, 1]

@@ -12,6 +12,7 @@ from strandline.operators.encoding import (
     encode,
     encode_by_join,
     pad_sequence,
+    join_parts,
     split_tail,
 )
 from strandline.operators.masking import fill_rows, mask_multi, mask_tokens, mask_words
@@ -125,8 +126,46 @@ def test_fill_rows_stay_in_line(spark):
 
 
 def test_split_tail_needs_more_than_n_words(spark):
-    df = spark.createDataFrame([(1, "a b c d e"), (2, "z a b c d e")], "id int, evnt string")
-    assert [(r.id, r.history, r.targets) for r in split_tail(df).collect()] == [(2, "z", list("abcde"))]
+    df = spark.createDataFrame([(1, 0, "a b c d e"), (2, 0, "z a b c d e")], "id int, part int, evnt string")
+    assert [(r.id, r.history, r.targets) for r in split_tail(df, "id").collect()] == [(2, "z", list("abcde"))]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_tails_do_not_depend_on_parts(spark, size):
+    """Sequences of 0 to 12 words, whole and in parts."""
+    texts = {k: [f"w{k}_{i}" for i in range(k)] for k in range(13)}
+    rows = [(k, p, " ".join(w[i : i + size])) for k, w in texts.items() for p, i in enumerate(range(0, max(1, len(w)), size))]
+    df = spark.createDataFrame(rows, "id int, part int, evnt string").withColumn("other", F.col("id") * 2)
+    got = {}
+    for r in split_tail(df, "id").orderBy("id", "part").collect():
+        history, targets = got.setdefault(r.id, ([], r.targets))
+        history += r.history.split()
+        assert targets == r.targets and r.other == 2 * r.id
+    assert got == {k: (w[:-5], w[-5:]) for k, w in texts.items() if k > 5}
+    for n in (1, 4, 20):
+        joined = {r.id: (r.evnt.split(), r.other) for r in join_parts(df, "id", "evnt", n).collect()}
+        assert joined == {k: (w[-n:], 2 * k) for k, w in texts.items()}
+
+
+def test_targets_wider_than_the_row_fail(spark):
+    df = spark.createDataFrame([(list(range(5)), list(range(300)))], "history_ids array<int>, target_ids array<int>")
+    with pytest.raises(Exception, match="don't fit"):
+        fill_rows(df).collect()
+
+
+def test_composed_and_decomposed_words_are_the_same(spark):
+    import unicodedata
+
+    plain = ["각하", "한국어", "é", "Ω", "abc"]
+    odd = [unicodedata.normalize("NFD", w) for w in plain[:3]] + ["\u2126", "abc"]
+    df = spark.createDataFrame([(1, " ".join(plain)), (2, " ".join(odd))], "id int, evnt string")
+    vocab = word_vocabulary(df, min_frequency=2)
+    first, second = encode(df, vocab).orderBy("id").collect()
+    assert first.input_ids == second.input_ids and 0 not in first.input_ids
+    assert [r.input_ids for r in encode_by_join(df, vocab, "id").orderBy("id").collect()] == [first.input_ids] * 2
+    letters = spark.createDataFrame([(c, i) for i, c in enumerate(["[UNK]", *"각하한é", "##하", "##국", "##어"])], "piece string, id int")
+    pieces = encode(df, letters, subword=True).orderBy("id").collect()
+    assert pieces[0].input_ids == pieces[1].input_ids and pieces[0].input_ids[:2] == [1, 5]
 
 
 def test_words_encode_and_decode(spark):
@@ -148,13 +187,13 @@ def test_too_big_a_vocabulary_is_not_broadcast(spark):
 
 def test_subword_encoding_is_greedy(spark):
     vocab = spark.createDataFrame([("[UNK]", 0), ("un", 5), ("##aff", 6), ("##able", 7), ("a", 8), ("##a", 9)], "piece string, id int")
-    df = spark.createDataFrame([(1, "unaffable a unax " + "a" * 101)], "id int, evnt string")
-    assert encode(df, vocab, subword=True).first().input_ids == [5, 6, 7, 8, 0, 0]
+    df = spark.createDataFrame([(1, "unaffable a unax " + "a" * 1500)], "id int, evnt string")
+    assert encode(df, vocab, subword=True).first().input_ids == [5, 6, 7, 8, 0, 8, *[9] * 1499]
 
 
 def test_bigram_model_and_chain(spark):
     df = spark.createDataFrame([(1, 0, "a b a c"), (1, 1, "c b"), (2, 0, "a b")], "k int, part int, evnt string")
-    got = {r.prev: (r.next, r.n) for r in next_event_model(df, "k", part="part").collect()}
+    got = {r.prev: (r.next, r.n) for r in next_event_model(df, "k").collect()}
     assert got == {"a": ("b", 2), "b": ("a", 1), "c": ("b", 1)}
     model = next_event_model(df, "k")
     rows = spark.createDataFrame([(1, "x a"), (2, "q")], "id int, history string")

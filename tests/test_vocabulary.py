@@ -76,7 +76,7 @@ def test_pieces_and_encodings_match_the_library(spark, corpus):
     theirs = set(library.get_vocab())
     assert len(theirs ^ set(ours)) <= 0.1 * len(theirs)  # equal counts are merged in another order
 
-    same = tokenizers.Tokenizer(models.WordPiece(ours, unk_token="[UNK]"))
+    same = tokenizers.Tokenizer(models.WordPiece(ours, unk_token="[UNK]", max_input_chars_per_word=10**6))
     same.normalizer, same.pre_tokenizer = normalizers.NFC(), pre_tokenizers.WhitespaceSplit()
     texts = corpus[:100] + ["unseen shopX 가나 " + "s" * 120]
     rows = encode(spark.createDataFrame(list(enumerate(texts)), "id int, evnt string"), vocab, subword=True).collect()
