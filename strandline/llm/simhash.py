@@ -10,12 +10,13 @@ Null texts count as empty; a text without words has the fingerprint zero, which
 columns of the input are not read. An empty table gives an empty result.
 """
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.llm.common import components, with_group_totals
 from strandline.sources.shared import stored
@@ -23,6 +24,8 @@ from strandline.sources.shared import stored
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 3
+#: Fingerprints with one half in common that are still compared pair by pair.
+CROWD = 1_000
 #: Hashes whose bits are counted at once.
 _BLOCK = 1 << 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -59,8 +62,12 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id bigint, print bigint")
 
 
-def print_links(prints: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints of (print) within ``MAX_BITS`` bits."""
+def print_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(a, b): fingerprints of (print) within ``MAX_BITS`` bits of each other.
+
+    These are all such pairs but for halves that more than ``crowd`` fingerprints share, as those of many copies of a
+    text do: there, fewer links connect the same fingerprints.
+    """
     halves = F.explode(
         F.array(
             F.struct(F.lit(0).alias("half"), F.shiftrightunsigned("print", 32).alias("value")),
@@ -68,14 +75,49 @@ def print_links(prints: DataFrame) -> DataFrame:
         )
     )
     index = prints.select("print", halves.alias("key")).select("print", "key.*")
-    flips = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << bit).cast("long") for bit in range(32)]))
-    ball = index.withColumnRenamed("print", "a").withColumn("flip", flips)
+    ball = index.withColumnRenamed("print", "a").withColumn("flip", F.explode(_masks(1)))
     ball = ball.filter(F.col("value").bitwiseAND(F.col("flip")) == 0).withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
-    found = ball.join(index.withColumnRenamed("print", "b"), ["half", "value"])
+    index = index.withColumnRenamed("print", "b")
+    crowded = stored(
+        index.groupBy("half", "value").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("half", "value"),
+        "crowded-halves",
+    )
+    if crowded.isEmpty():
+        return _verified(ball, index)
+    keys = ["half", "value"]
+    thin = _verified(ball, index.join(crowded, keys, "left_anti"))
+    return thin.unionByName(_crowded_links(ball.join(crowded, keys), index.join(crowded, keys)))
+
+
+def _verified(ball: DataFrame, index: DataFrame) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+    found = ball.join(index, ["half", "value"])
     return found.filter(near & ((F.col("flip") != 0) | (F.col("a") < F.col("b")))).select("a", "b")
 
 
+def _masks(radius: int) -> Column:
+    """All words of 32 bits with at most ``radius`` ones, as one literal."""
+    ones = [sum(1 << bit for bit in bits) for k in range(radius + 1) for bits in itertools.combinations(range(32), k)]
+    return F.split(F.lit(",".join(map(str, ones))), ",").cast("array<bigint>")
+
+
+def _crowded_links(ball: DataFrame, index: DataFrame) -> DataFrame:
+    """Links between fingerprints that meet in a crowded half, in proportion to their number.
+
+    What is left of the three bits, r, is in the other half. Two halves within r bits have a word between them, one
+    bit from b and r - 1 bits from a; and all that have a word in common are linked. So each a is linked to the least b
+    of its words, and each b to the least a. At most some thousand fingerprints are so near to one word.
+    """
+    other = lambda c: F.when(F.col("half") == 0, F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(c, 32))
+    near_a = F.explode(F.when(F.col("flip") == 0, _masks(MAX_BITS - 1)).otherwise(_masks(MAX_BITS - 2)))
+    left = ball.withColumn("mask", near_a).select("half", "value", other("a").bitwiseXOR(F.col("mask")).alias("word"), "a", F.lit(None).cast("long").alias("b"))
+    right = index.withColumn("mask", F.explode(_masks(1))).select("half", "value", other("b").bitwiseXOR(F.col("mask")).alias("word"), F.lit(None).cast("long").alias("a"), "b")
+    together = Window.partitionBy("half", "value", "word")
+    met = left.unionByName(right).select("a", "b", F.min("a").over(together).alias("least_a"), F.min("b").over(together).alias("least_b"))
+    ends = met.select(F.coalesce("a", "least_a").alias("a"), F.coalesce("b", "least_b").alias("b"))
+    return ends.filter("a != b").distinct()
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): hexadecimal fingerprints, and the smallest ``doc_id`` that links reach."""
     rows = stored(fingerprints(documents), "fingerprints")

@@ -120,6 +120,28 @@ def test_links_of_close_prints(spark):
     assert got == {(a, b) for n, a in enumerate(signed) for b in signed[n + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("crowd", [0, 2, 8])
+def test_links_of_crowded_halves(spark, crowd):
+    """Fewer links, all of them true, and the same components."""
+    draw = random.Random(21)
+    centre = [draw.getrandbits(64) for _ in range(6)]
+    values = sorted({c ^ sum({1 << draw.randrange(64) for _ in range(draw.randint(0, 5))}) for c in centre for _ in range(40)})
+    signed = {v: v - (1 << 64) if v >> 63 else v for v in values}
+    prints = spark.createDataFrame([(v,) for v in signed.values()], "print bigint")
+    found = {(r.a % 2**64, r.b % 2**64) for r in simhash.print_links(prints, crowd).collect()}
+    assert all((a ^ b).bit_count() <= 3 for a, b in found)
+    want = slow_components(dict(enumerate(values)))  # in sorted order, so the least number is the least value
+
+    def reach(links):
+        label = {v: v for v in values}
+        for _ in values:
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    assert reach(found) == {values[k]: values[v] for k, v in want.items()}
+
+
 def test_components(spark):
     """Chains, stars and single links, in any order."""
     draw = random.Random(4)
