@@ -20,7 +20,7 @@ from strandline.constants import (
 )
 from strandline.functions.text import last_items, spaced, spaced_words, words
 from strandline.operators.ordering import split_heavy
-from strandline.operators.vocabulary import with_composed_words
+from strandline.operators.vocabulary import with_composed_text
 from strandline.sources.shared import reliable_checkpoint
 
 
@@ -96,8 +96,8 @@ def encode_by_join(df: DataFrame, vocab: DataFrame, key: str, text: str = "evnt"
     Unknown words get the id of [UNK]. The words meet the vocabulary in one equi-join,
     which adaptive execution broadcasts or splits by skew.
     """
-    spread = df.select(F.col(key).alias("__key"), F.posexplode_outer(spaced_words(F.col(text))).alias("__i", "__word"))
-    spread = with_composed_words(spread, "__word")
+    rows = with_composed_text(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__text")
+    spread = rows.select("__key", F.posexplode_outer(spaced_words(F.col("__text"))).alias("__i", "__word"))
     ids = vocab.select(F.col("piece").alias("__word"), F.col("id").alias("__id"))
     item = F.when(F.col("__i").isNotNull(), F.struct("__i", F.coalesce("__id", F.lit(UNK)).alias("__id")))
     gathered = spread.join(ids, "__word", "left").groupBy("__key").agg(F.sort_array(F.collect_list(item)).alias("__items"))

@@ -14,9 +14,13 @@ from strandline.sources.shared import reliable_checkpoint
 
 def word_counts(df: DataFrame, text: str = "evnt", min_frequency: int = 1, limit: int | None = None) -> DataFrame:
     """Rows (word, freq) in Unicode normal form C; ``limit`` keeps the most frequent words, ties by word."""
-    raw = df.select(F.explode(spaced_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    composed = with_composed_words(raw, "word").groupBy("word").agg(F.sum("freq").alias("freq"))
-    counts = composed.filter(F.col("freq") >= min_frequency)
+    counts = (
+        with_composed_text(df.select(text), text)
+        .select(F.explode(spaced_words(F.col(text))).alias("word"))
+        .groupBy("word")
+        .agg(F.count("*").alias("freq"))
+        .filter(F.col("freq") >= min_frequency)
+    )
     if limit is None:
         return counts
     ranked = with_position(counts, F.col("freq").desc(), F.col("word"))
@@ -93,25 +97,23 @@ def _weighted(piece: Column, freq: Column) -> Column:
     return F.struct(piece.alias("piece"), freq.cast("long").alias("freq"))
 
 
-#: Characters that are in normal form C whatever stands beside them: Latin, Greek, Cyrillic and Kana letters and marks
-#: that have no other form, Han and Hangul. Words of these alone need no look by Python.
-SURELY_COMPOSED = r"[\u0000-\u02FF\u0370-\u0373\u0375-\u037D\u0388-\u0482\u048A-\u052F\u2010-\u2027\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3]*"
-
+#: Characters that may not be in normal form C: all but Latin, Greek, Cyrillic and Kana letters and marks that have no
+#: other form, Han and Hangul, whatever stands beside them.
+PERHAPS_DECOMPOSED = (
+    r"[^\u0000-\u02FF\u0370-\u0373\u0375-\u037D\u0388-\u0482\u048A-\u052F\u2010-\u2027\u3041-\u3096\u30A1-\u30FA"
+    r"\u4E00-\u9FFF\uAC00-\uD7A3]"
+)
 
-def with_composed_words(df: DataFrame, word: str) -> DataFrame:
-    """The column of words in Unicode normal form C.
 
-    Only distinct words that may be in another form go through Python, and come back by a join; there are few or none.
-    """
-    odd = df.filter(~F.col(word).rlike(f"^{SURELY_COMPOSED}$")).select(F.col(word).alias("__form")).distinct()
+def with_composed_text(df: DataFrame, text: str) -> DataFrame:
+    """The rows with their text in Unicode normal form C. Only texts that may be in another form go through Python."""
 
     @F.pandas_udf("string")
     def nfc(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: unicodedata.normalize("NFC", text))
+        return texts.map(lambda t: unicodedata.normalize("NFC", t))
 
-    composed = odd.select("__form", nfc("__form").alias("__composed"))
-    joined = df.join(composed, F.col(word) == F.col("__form"), "left")
-    return joined.withColumn(word, F.coalesce("__composed", word)).drop("__form", "__composed")
+    perhaps = F.coalesce(F.col(text).rlike(PERHAPS_DECOMPOSED), F.lit(False))
+    return df.filter(~perhaps).unionByName(df.filter(perhaps).withColumn(text, nfc(text)))
 
 
 def _chars(word) -> Column:
