@@ -10,6 +10,7 @@ from catalog.views import (
     ROUTES,
     RULES,
     draw_sql,
+    flags_sql,
     events,
     events_sql,
     hash_sql,
@@ -242,11 +243,29 @@ def scores(spark, sf):
     return _rounded(score(rows, make_scorer, "doc_id long, prob double"), "prob")
 
 
-@CATALOG.add("r2_label_baseline")
-def label_baseline(spark, sf):
+def _tested(spark, sf):
+    """Fitted on the train and valid parts, which share no customer with the test part."""
     rows = split(window_dataset(events(spark, sf), ROUTES, RULES), "column1")
     model = fit_labels(rows.filter("split <> 'test'"), max_iter=5)
-    tested = predict_labels(model, rows.filter("split = 'test'"))
+    return predict_labels(model, rows.filter("split = 'test'"))
+
+
+@CATALOG.add(
+    "r2_label_rows",
+    events_sql(f"""SELECT column1, column2, {flags_sql('mask')} AS y, true AS valid FROM frames
+                   WHERE mask <> 0 AND {draw_sql('42', "'test'", 'column1')} < 0.2"""),
+)
+def label_rows(spark, sf):
+    """The rows and labels of the test part; predictions are 0 or 1 and agree with probabilities from 0 to 1."""
+    pairs = F.arrays_zip("probs", "preds")
+    valid = F.forall(pairs, lambda p: p["probs"].between(0, 1) & (p["preds"] == (p["probs"] > 0.5).cast("int")))
+    valid = valid & (F.size("probs") == F.size("y")) & (F.size("preds") == F.size("y"))
+    return _tested(spark, sf).select("column1", "column2", F.array_join("y", ",").alias("y"), valid.alias("valid"))
+
+
+@CATALOG.add("r2_label_baseline")
+def label_baseline(spark, sf):
+    tested = _tested(spark, sf)
     return tested.select(
         "column1",
         "column2",

@@ -28,11 +28,15 @@ def _hits(label: Column, pred: Column) -> tuple[Column, Column, Column]:
 
 def binary_prf(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     both, found, real = _hits(F.col(label), F.col(pred))
-    return df.agg(both.alias("tp"), found.alias("found"), real.alias("real")).select(
+    return df.agg(both.alias("tp"), found.alias("found"), real.alias("real")).select(*_precision_recall_f1())
+
+
+def _precision_recall_f1() -> list[Column]:
+    return [
         _ratio(F.col("tp"), F.col("found")).alias("precision"),
         _ratio(F.col("tp"), F.col("real")).alias("recall"),
         _ratio(2 * F.col("tp"), F.col("found") + F.col("real")).alias("f1"),
-    )
+    ]
 
 
 def multilabel_f1(df: DataFrame, n_classes: int, average: str, y: str = "y", pred: str = "pred") -> DataFrame:
@@ -72,6 +76,29 @@ def auprc(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     return groups.agg((steps / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))).alias("auprc"))
 
 
+def areas(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
+    """Both areas from one sort: ``auroc`` takes from all pairs those with the negative above, ties half."""
+    groups = with_running_totals(_score_groups(df, label, prob), F.col("score").desc(), {"tp": "pos", "fp": "neg"})
+    pairs = F.sum("pos").cast("double") * F.sum("neg")
+    wrong = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2))
+    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return groups.agg(
+        ((pairs - wrong) / F.nullif(pairs, F.lit(0.0))).alias("auroc"),
+        (steps / F.nullif(F.sum("pos").cast("double"), F.lit(0.0))).alias("auprc"),
+    )
+
+
+def binary_figures(df: DataFrame, label: str = "label", pred: str = "pred", logit: str = "logit") -> DataFrame:
+    """Accuracy, precision, recall, F1 and cross-entropy from one aggregation."""
+    y, p = F.col(label), F.col(pred)
+    both, found, real = _hits(y, p)
+    sums = df.agg(
+        F.avg((y == p).cast("double")).alias("accuracy"), both.alias("tp"), found.alias("found"), real.alias("real"),
+        F.avg(_binary_loss(F.col(logit), y)).alias("loss"),
+    )
+    return sums.select("accuracy", *_precision_recall_f1(), "loss")
+
+
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred", classes: tuple = (0, 1)) -> DataFrame:
     """Count and share of all rows for every cell of the grid, empty cells too.
 
@@ -140,11 +167,14 @@ def slot_prefix_accuracy(
 
 def bce_from_logits(df: DataFrame, label: str = "label", logit: str = "logit", reduction: str = "mean") -> DataFrame:
     """Binary cross-entropy that does not overflow for big logits."""
-    x, y = F.col(logit), F.col(label)
-    loss = F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+    loss = _binary_loss(F.col(logit), F.col(label))
     return df.agg({"mean": F.avg, "sum": F.sum}[reduction](loss).alias("loss"))
 
 
+def _binary_loss(x: Column, y: Column) -> Column:
+    return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+
+
 def masked_ce(
     df: DataFrame, labels: str = "labels", probs: str = "probs", ignore: int = IGNORE, denom: float | None = None
 ) -> DataFrame:

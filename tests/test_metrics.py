@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators.evaluate import (
+    areas,
     auprc,
     auroc,
     bce_from_logits,
@@ -16,6 +17,7 @@ from strandline.operators.evaluate import (
     slot_prefix_accuracy,
     token_accuracy,
 )
+from strandline.operators.scoring import fit_labels, predict_labels
 
 
 def scored(spark, rows):
@@ -87,3 +89,25 @@ def test_losses(spark):
     assert masked_ce(ce).first().loss == pytest.approx(1.5 * math.log(2))
     assert masked_ce(ce, denom=32).first().loss == pytest.approx(3 * math.log(2) / 32)
     assert masked_ce(ce.limit(0)).first().loss is None
+
+
+def test_label_baseline_beats_the_constant_guess(spark):
+    """Two classes, each told by a word."""
+    words = [["red"], ["blue"], ["red", "blue"], ["green"]]
+    rows = [(" ".join([*words[i % 4], f"w{i}"]), [int("red" in words[i % 4]), int("blue" in words[i % 4])]) for i in range(80)]
+    df = spark.createDataFrame(rows, "x string, y array<int>")
+    got = predict_labels(fit_labels(df, n_classes=2), df, n_classes=2).collect()
+    assert all(list(r.preds) == list(r.y) for r in got)
+
+
+def test_no_word_is_left_out_of_the_features(spark):
+    """70,000 different words: the class hangs on rare ones."""
+    df = spark.range(70_000).selectExpr("concat('w', id, if(id % 2 = 0, ' even', ' odd')) AS x", "array(cast(id % 2 as int)) AS y")
+    got = predict_labels(fit_labels(df, n_classes=1, max_iter=5), df, n_classes=1)
+    assert got.filter("preds[0] <> y[0]").isEmpty()
+
+
+def test_areas_are_those_of_two_sorts(spark):
+    df = scored(spark, [(1, 0.9), (0, 0.9), (1, 0.4), (0, 0.4), (0, 0.4), (1, 0.1), (0, 0.05)])
+    both = areas(df).first()
+    assert both.auroc == pytest.approx(auroc(df).first().auroc) and both.auprc == pytest.approx(auprc(df).first().auprc)
