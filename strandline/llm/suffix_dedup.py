@@ -8,7 +8,7 @@ of contexts: the stretch of bytes whose windows have one seed in common.
    all copies but the first are covered.
 2. The other contexts go to the bucket of their seed, each once per shard. Equal ones are settled by comparison. Of
    different ones with one seed a suffix array (Larsson-Sadakane) and its common prefixes (Kasai) tell which windows
-   are equal; a bucket too large for one array has several, merged by binary search.
+   are equal; a seed with more contexts than one array holds has several arrays, merged by binary search.
 3. Shards cover the windows that are not the first of their kind, and cut out the covered bytes.
 
 A seed with more than ``HOT`` contexts, such as a line that a third of all documents have, would crowd its bucket. Its
@@ -37,7 +37,7 @@ _SPAN = MATCH - SEED + 1  # seeds in a window
 #: Bytes hashed at once; places in a block fit into 20 bits.
 _BLOCK = 1_000_000
 #: Bytes of contexts in one suffix array.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1_000_000
 _PLACE = np.uint64((1 << 20) - 1)
 _RANDOM = np.random.default_rng(20240101).integers(1, 1 << 63, (2, 256), np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -66,6 +66,11 @@ class Hashes:
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_RANDOM[table][data] * _UP[: len(data)], out=self.sums[1:])
 
+    def of_all(self, size: int) -> np.ndarray:
+        """Of the stretch of this size from every place."""
+        n = len(self.sums) - size
+        return _mixed((self.sums[size:] - self.sums[:n]) * _DOWN[:n])
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * _DOWN[start])
 
@@ -119,9 +124,8 @@ class Shard:
         if len(data) < MATCH:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
         hashes = Hashes(data, 0)
-        places = np.arange(len(data) - SEED + 1)
-        seeds = hashes.of(places, places + SEED)
-        least = (seeds & ~_PLACE) | places.astype(np.uint64)  # of equal seeds the first
+        seeds = hashes.of_all(SEED)
+        least = (seeds & ~_PLACE) | np.arange(len(seeds), dtype=np.uint64)  # of equal seeds the first
         width = 1
         while 2 * width <= _SPAN:
             least = np.minimum(least[:-width], least[width:])
@@ -134,7 +138,9 @@ class Shard:
             return begin, begin, begin.astype(np.uint64), begin.astype(np.uint64)
         new = np.flatnonzero((np.diff(place) != 0) | (np.diff(begin) != 1)) + 1
         low, high = begin[np.concatenate([[0], new])], begin[np.concatenate([new - 1, [-1]])]
-        return low + start, high + start, seeds[place[np.concatenate([[0], new])]], hashes.of(low, high + MATCH)
+        # the seeds are small, being the smallest: mixed again they fill the buckets evenly
+        chosen = _mixed(seeds[place[np.concatenate([[0], new])]] * np.uint64(_BASE))
+        return low + start, high + start, chosen, hashes.of(low, high + MATCH)
 
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, place, "right")
@@ -271,7 +277,7 @@ def _settle(array_bytes: int):
         cuts = np.cumsum(per_row)[:-1]
         if key[1].as_py():
             first, second = (np.concatenate(column_arrays(table, name, np.uint64)) for name in ("keys", "seeds"))
-            later = _later_of_equal(np.unique(np.stack([first, second]), axis=1, return_inverse=True)[1].ravel(), _dense_rank(ids, begins))
+            later = _later_of_equal(_numbered(first, second), _dense_rank(ids, begins))
             bits = np.split(later, cuts)
         else:
             sizes = np.concatenate(column_arrays(table, "sizes", np.uint16)).astype(np.int64)
@@ -287,6 +293,16 @@ def _settle(array_bytes: int):
     return settle
 
 
+def _numbered(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A number for each pair, equal for equal pairs."""
+    order = np.lexsort((second, first))
+    new = np.ones(len(order), bool)
+    new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number
+
+
 def _later_of_equal(kind: np.ndarray, rank: np.ndarray) -> np.ndarray:
     least = np.full(kind.max(initial=-1) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, rank)
@@ -311,40 +327,58 @@ def _later_windows(data, sizes, seeds, ids, begins, array_bytes: int) -> np.ndar
     contested = contested[np.argsort(seeds[contested], kind="stable")]
     n = counts[contested]
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = np.repeat(starts[contested], n) + inner  # of each window in data
     rank = _dense_rank(np.repeat(ids[contested], n), np.repeat(begins[contested], n) + inner)
-    equal = _equal_windows(data, starts[contested], sizes[contested], place, array_bytes)
+    equal = _equal_windows(data, starts[contested], sizes[contested], seeds[contested], array_bytes)
     slot = np.repeat((np.cumsum(counts) - counts)[contested], n) + inner
     later[slot] |= _later_of_equal(equal, rank)
     return later
 
 
-def _equal_windows(data, starts, sizes, place, array_bytes: int) -> np.ndarray:
-    """A number for each window, equal for equal windows: from one suffix array, or from several that are merged."""
-    groups, rows, reps = np.empty(len(place), np.int64), [], []
-    per_array = np.concatenate([[0], np.cumsum(sizes + 1)]) // array_bytes
-    done = offset = 0
-    arrays = np.split(np.arange(len(starts)), np.flatnonzero(np.diff(per_array[:-1])) + 1)
-    for members in arrays:
-        joined = np.zeros(int((sizes[members] + 1).sum()), np.uint16)  # 0 ends a context
-        at = np.cumsum(sizes[members] + 1) - sizes[members] - 1
-        filled = np.repeat(at - np.cumsum(sizes[members]) + sizes[members], sizes[members]) + np.arange(sizes[members].sum())
-        source = np.repeat(starts[members] - np.cumsum(sizes[members]) + sizes[members], sizes[members]) + np.arange(sizes[members].sum())
-        joined[filled] = data[source].astype(np.uint16) + 1
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size, end to end."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _equal_windows(data, starts, sizes, seeds, array_bytes: int) -> np.ndarray:
+    """A number for each window of contexts in the order of their seeds, equal for equal windows.
+
+    Contexts of one seed are in one suffix array, if they fit; windows of different seeds are different anyway.
+    """
+    ends = np.cumsum(sizes + 1)
+    own = ends - sizes - 1
+    first = np.flatnonzero(np.concatenate([[True], seeds[1:] != seeds[:-1]]))
+    last = np.concatenate([first[1:], [len(seeds)]]) - 1
+    fits = ends[last] - own[first] <= array_bytes
+    array = np.where(np.repeat(fits, last - first + 1), np.repeat(own[first], last - first + 1), own) // array_bytes
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(array)) + 1, [len(seeds)]])
+    counts = sizes - MATCH + 1
+    before = np.concatenate([[0], np.cumsum(counts)])
+    groups, heads = np.empty(before[-1], np.int64), []  # a window of each group, in sorted order for each array
+    for a, b in zip(cuts, cuts[1:]):
+        at = own[a:b] - own[a]
+        joined = np.zeros(int(ends[b - 1] - own[a]), np.int64)  # 0 ends a context
+        joined[_stretches(at, sizes[a:b])] = data[_stretches(starts[a:b], sizes[a:b])].astype(np.int64) + 1
         order = sa.suffix_array(joined)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(sa.common_prefixes(joined, order, MATCH) < MATCH)
-        counts = sizes[members] - MATCH + 1
-        begin = np.repeat(at - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        mine = slice(done, done + len(begin))
-        _, head, groups[mine] = np.unique(group[begin], return_index=True, return_inverse=True)
-        groups[mine] += offset
-        rows.append(place[mine][head])
-        offset += len(head)
-        done += len(begin)
-    if len(rows) == 1:
-        return groups
-    return _merged([sa.windows(data, row, MATCH) for row in rows])[groups]
+        _, head, number = np.unique(group[_stretches(at, counts[a:b])], return_index=True, return_inverse=True)
+        groups[before[a] : before[b]] = number + sum(map(len, heads))
+        heads.append(before[a] + head)
+    for seed in np.flatnonzero(~fits):
+        _merge_seed(groups, heads, slice(before[first[seed]], before[last[seed] + 1]), data, starts, counts)
+    return groups
+
+
+def _merge_seed(groups, heads, windows: slice, data, starts, counts) -> None:
+    """Gives equal windows of one seed, which is in several arrays, one number."""
+    place = _stretches(starts, counts)
+    mine = [head[(head >= windows.start) & (head < windows.stop)] for head in heads]
+    mine = [head for head in mine if len(head)]
+    number = _merged([sa.windows(data, place[head], MATCH) for head in mine])
+    old = groups[np.concatenate(mine)]
+    new = old[np.unique(number, return_index=True)[1]][number]
+    order = np.argsort(old)
+    groups[windows] = new[order][np.searchsorted(old[order], groups[windows])]
 
 
 def _merged(arrays: list[np.ndarray]) -> np.ndarray:
