@@ -1,8 +1,8 @@
 """Main text of web pages by a graphical model on the tree of their elements.
 
 Every block element is content or not. The words of its class, id and role, and by its kind the length of its text and
-the part of it inside links speak for either; a potential between parent and child says, for the child's tag, how often content lies
-in content and how often it begins or ends there: at a division more than at a paragraph.
+the part of it inside links speak for either; a potential between parent and child says, by the child's tag and whether it is named, how
+often content lies in content and how often it begins or ends there: at a division more than at a paragraph.
 Messages pass from the leaves to the root and back (sum-product), which gives each element's exact marginal, and the
 blocks of elements more likely content than not are the text. All potentials are counted on labelled pages.
 
@@ -29,7 +29,7 @@ HINTS = frozenset(
     " container content cookie copyright disclaimer discussion disqus entry footer form header infobar links login main"
     " maintext masthead menu meta modal nav navbar navigation newsletter notice overlay page pager pagination popup post"
     " promo promoted recommended related reply replies row search share sidebar signup site social sponsor sponsored"
-    " story subscribe tags teaser text toolbar top user widget".split()
+    " story subscribe tags teaser text toolbar top user widget alert complementary lead wrapper".split()
 )
 #: Elements that begin a part of a page rather than a block of text.
 CONTAINERS = frozenset("article aside div footer form header main nav ol section table td ul".split())
@@ -39,20 +39,27 @@ _LENGTHS = (0, 10, 25, 60, 120, 300)
 _SHARES = (0.0, 0.1, 0.3, 0.6, 0.95)
 
 
-def features(node: Node) -> list[str]:
+def hints(node: Node) -> set[str]:
     names = " ".join(node.attributes.get(key, "") for key in ("class", "id", "role", "itemprop"))
-    hints = set(_NAME.findall(_CAMEL.sub(" ", names).lower())) & HINTS
-    share = node.links / node.chars if node.chars else 0.0
+    found = set(_NAME.findall(_CAMEL.sub(" ", names).lower())) & HINTS if names else set()
+    if "hidden" in node.attributes or "display:none" in node.attributes.get("style", "").replace(" ", "").lower():
+        found.add("hidden")
+    return found
+
+
+def border(node: Node) -> str:
+    """What the potential to the parent depends on: the tag, and whether the names say something."""
+    return node.tag + "*" * bool(hints(node))
+
+
+def features(node: Node) -> list[str]:
     kind = node.tag if node.tag in CONTAINERS or node.tag in ("p", "li") else "text"
-    found = [
+    share = node.links / node.chars if node.chars else 0.0
+    return [
         f"own.{kind}={sum(node.own_chars > limit for limit in _LENGTHS)}",
         f"links.{kind}={sum(share > limit for limit in _SHARES) if node.chars else 'none'}",
-        f"named.{kind}={bool(hints)}",
-        *[f"name={hint}" for hint in hints],
+        *[f"name={hint}" for hint in hints(node)],
     ]
-    if "hidden" in node.attributes or "display:none" in node.attributes.get("style", "").replace(" ", "").lower():
-        found.append("name=hidden")
-    return found
 
 
 @dataclass
@@ -60,13 +67,21 @@ class Model:
     """Logarithms of potentials for (not content, content)."""
 
     node: dict[str, tuple[float, float]]
-    edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]  # by the child's tag, "" for any other
+    edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]  # by the child's border, "" for any other
+    child: dict[str, tuple[float, float]]  # how often content and the rest have such a child
     root: tuple[float, float] = (0.0, -12.0)
 
     def potential(self, node: Node) -> tuple[float, float]:
         known = [self.node[f] for f in features(node) if f in self.node]
         return sum(p[0] for p in known), sum(p[1] for p in known)
 
+    def between(self, node: Node, alike: int) -> tuple[tuple[float, float], tuple[float, float]]:
+        """Of the labels of the parent and the node, which has ``alike`` siblings of its kind, itself included."""
+        kind = border(node)
+        (a, b), (c, d) = self.edge.get(kind, self.edge[""])
+        no, yes = self.child.get(kind, (0.0, 0.0))
+        return (a + no / alike, b + no / alike), (c + yes / alike, d + yes / alike)
+
 
 def _kin(node: Node) -> tuple:
     """Siblings of one tag and class repeat one another: together they speak with the weight of one."""
@@ -86,8 +101,7 @@ def marginals(nodes: Sequence[Node], model: Model) -> list[float]:
         no, yes = model.potential(node)
         own.append([no / alike[_kin(node)], yes / alike[_kin(node)]])
     upward = [(0.0, 0.0)] * len(nodes)  # what a node tells its parent
-    any_tag = model.edge[""]
-    edges = [model.edge.get(node.tag, any_tag) for node in nodes]
+    edges = [model.between(node, alike[_kin(node)]) for node in nodes]
     for i in range(len(nodes) - 1, 0, -1):
         (e00, e01), (e10, e11) = edges[i]
         no, yes = own[i]
@@ -113,7 +127,7 @@ def _counts(page: str) -> Counter:
         labels.append(int(node.attributes.get(LABEL, labels[node.parent])))
         for feature in features(node):
             found[feature, labels[-1]] += 1
-        for tag in (node.tag, ""):
+        for tag in (border(node), ""):
             found[f"edge={labels[node.parent]}{tag}", labels[-1]] += 1
     return found
 
@@ -137,10 +151,13 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> Model:
     def logs(numbers: list[float], wholes: list[float], kinds: int = 2) -> tuple[float, float]:
         return tuple(math.log((n + smoothing) / (whole + kinds * smoothing)) for n, whole in zip(numbers, wholes))
 
-    edge = {}
+    edge, child = {}, {}
+    children = [sum(table[f"edge={label}"]) for label in (0, 1)]
     for tag in {feature[6:] for feature in table if feature.startswith("edge=")}:
         pairs = [table[f"edge={label}{tag}"] for label in (0, 1)]
         edge[tag] = tuple(logs(row, [sum(row)] * 2) for row in pairs)
+        child[tag] = logs([sum(row) for row in pairs], children)
+    child.pop("")
     groups: dict[str, list[str]] = defaultdict(list)
     for feature in table:
         groups[feature.partition("=")[0]].append(feature)
@@ -148,7 +165,7 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> Model:
     for group in groups.keys() - {"edge"}:
         wholes = [sum(column) for column in zip(*[table[feature] for feature in groups[group]])]
         node |= {feature: logs(table[feature], wholes, len(groups[group])) for feature in groups[group]}
-    return Model(node, edge)
+    return Model(node, edge, child)
 
 
 def default_model(spark: SparkSession) -> Model:

@@ -11,21 +11,30 @@ _LETTERS = "etaoinshrdlucmfwypvbgkqjxz"
 _MAIN = (
     "<article{}>", "<article class=\"post\"{}>", "<div class=\"post-content\"{}>", "<div id=\"content\"{}>",
     "<div class=\"article-body\"{}>", "<section class=\"story\"{}>", "<div class=\"entry\"{}>", "<main{}>",
-    "<div itemprop=\"articleBody\"{}>", "<td class=\"maintext\"{}>", "<div{}>",
+    "<div itemprop=\"articleBody\"{}>", "<td class=\"maintext\"{}>", "<div{}>", "<div id=\"main\"{}>", "<div role=\"main\"{}>",
+    "<section{}>", "<div class=\"text\"{}>", "<div class=\"page-content\"{}>", "<article id=\"story\"{}>",
 )
-_WRAPPERS = ("", "<div class=\"container\">", "<div id=\"page\"><div class=\"row\">", "<main>", "<table><tr>")
+_WRAPPERS = ("", "<div class=\"container\">", "<div class=\"wrapper\">", "<div id=\"main\">", "<div id=\"page\"><div class=\"row\">", "<main>", "<table><tr>")
 _LINK_LISTS = (
     "<nav{}>", "<div class=\"menu\"{}>", "<ul class=\"navbar\"{}>", "<div id=\"navigation\"{}>",
     "<div class=\"breadcrumb\"{}>", "<div class=\"related-links\"{}>", "<ul class=\"share social\"{}>",
     "<div class=\"pagination\"{}>", "<div class=\"tags\"{}>", "<div{}>",
 )
 _TEXT_JUNK = (
-    "<div class=\"ad\"{}>", "<div class=\"advert banner\"{}>", "<div id=\"ad-slot-1\"{}>", "<aside class=\"promo\"{}>",
+    "<div class=\"ad\"{}>", "<div class=\"advert banner\"{}>", "<div class=\"advertisement\"{}>", "<div class=\"ads\"{}>",
+    "<div class=\"adslot box\"{}>", "<div class=\"promoted\"{}>", "<div class=\"sponsor\"{}>", "<div class=\"teaser\"{}>", "<div id=\"ad-slot-1\"{}>", "<aside class=\"promo\"{}>",
     "<div class=\"sponsored\"{}>", "<div class=\"cookie-notice\"{}>", "<div class=\"notice alert\"{}>",
     "<div class=\"newsletter subscribe\"{}>", "<aside{}>", "<aside class=\"sidebar\"{}>", "<div id=\"sidebar\"{}>",
     "<div class=\"widget\"{}>", "<div class=\"consent popup\"{}>", "<div class=\"copyright\"{}>",
     "<div role=\"alert\"{}>", "<div class=\"disclaimer\"{}>", "<div class=\"modal overlay\"{}>",
+    "<section class=\"related\"{}>", "<div class=\"banner top\"{}>", "<div role=\"complementary\"{}>", "<aside id=\"widget\"{}>",
 )
+#: Junk that is one block of text, also among paragraphs.
+_LINE_JUNK = (
+    "<p class=\"ad\"{}>", "<p class=\"notice\"{}>", "<p class=\"disclaimer\"{}>", "<p class=\"share\"{}>", "<p class=\"copyright\"{}>",
+    "<p class=\"sponsored\"{}>", "<p class=\"newsletter\"{}>", "<p class=\"comment\"{}>", "<p class=\"cookie\"{}>",
+)
+_PARAGRAPHS = ("<p>",) * 12 + ("<p class=\"lead\">", "<p class=\"text\">", "<p id=\"p1\">", "<p style=\"margin:0\">")
 _HEADERS = ("<header{}>", "<div id=\"header\"{}>", "<div class=\"masthead top\"{}>", "<div class=\"site-header\"{}>")
 _FOOTERS = ("<footer{}>", "<div id=\"footer\"{}>", "<div class=\"footer bottom\"{}>", "<div class=\"site-footer\"{}>")
 _COMMENTS = (
@@ -35,7 +44,7 @@ _COMMENTS = (
 _FORMS = ("<form{}>", "<form class=\"search\"{}>", "<div class=\"login form\"{}>", "<form id=\"signup\"{}>")
 
 
-def labelled_pages(count: int = 400, seed: int = 1) -> list[str]:
+def labelled_pages(count: int = 800, seed: int = 1) -> list[str]:
     """``count`` pages, each with a layout of its own; equal for equal arguments."""
     return [_page(random.Random(seed * 1_000_003 + number)) for number in range(count)]
 
@@ -73,7 +82,7 @@ def _paragraph(draw: random.Random) -> str:
     if kind > 0.93:
         return f"<ul><li>{text}</li><li>{_words(draw, 2, 30)}</li></ul>"
     if kind > 0.88:
-        return f"<blockquote><p>{text}</p></blockquote>"
+        return f"<blockquote><p>{text}</p></blockquote>" if draw.random() < 0.5 else f"<blockquote>{text}</blockquote>"
     if kind > 0.84:
         return f"<figure><img src=\"i.jpg\"><figcaption>{_words(draw, 3, 12)}</figcaption></figure>"
     if kind > 0.8:
@@ -84,7 +93,7 @@ def _paragraph(draw: random.Random) -> str:
         return f"<pre>{text}</pre>"
     if kind > 0.72:
         return f"<table><tr><td>{_words(draw, 1, 4)}</td><td>{_words(draw, 1, 4)}</td></tr></table>"
-    return f"<p>{text}</p>" if draw.random() < 0.8 else f"<p><b>{text}<br>"
+    return f"{draw.choice(_PARAGRAPHS)}{text}</p>" if draw.random() < 0.8 else f"<p><b>{text}<br>"
 
 
 def _junk(draw: random.Random) -> str:
@@ -92,6 +101,10 @@ def _junk(draw: random.Random) -> str:
     return _part(draw.choice(_TEXT_JUNK), 0, text)
 
 
+def _line_junk(draw: random.Random) -> str:
+    return _part(draw.choice(_LINE_JUNK), 0, _text(draw))
+
+
 def _comments(draw: random.Random) -> str:
     tag, name = draw.choice((("div", "comment"), ("li", "comment"), ("article", "comment"), ("div", "reply")))
     one = lambda: f'<{tag} class="{name}"><span class="author">{_words(draw, 1, 2)}</span><p>{_text(draw)}</p></{tag}>'
@@ -102,7 +115,7 @@ def _page(draw: random.Random) -> str:
     body = [_paragraph(draw) for _ in range(draw.choice((1, 2, 3, 5, 8, 13)))]
     if draw.random() < 0.75:
         body.insert(0, f"<h1>{_words(draw, 2, 14)}</h1>")
-    for part, chance in ((_junk, 0.35), (lambda d: _part(d.choice(_LINK_LISTS[:-1]), 0, _links(d)), 0.2), (_comments, 0.1)):
+    for part, chance in ((_junk, 0.35), (_line_junk, 0.2), (_form, 0.1), (lambda d: _part(d.choice(_LINK_LISTS[:-1]), 0, _links(d)), 0.2), (_comments, 0.1)):
         if draw.random() < chance:
             body.insert(draw.randint(1, len(body)), part(draw))
     wrapper, main = draw.choice(_WRAPPERS), draw.choice(_MAIN)
@@ -120,6 +133,8 @@ def _page(draw: random.Random) -> str:
     draw.shuffle(after)
     if draw.random() < 0.85:
         after.append(_part(draw.choice(_FOOTERS), 0, _words(draw, 2, 30) + (_links(draw) if draw.random() < 0.4 else "")))
+    if draw.random() < 0.25:  # content right in the body
+        return f"<html><body {LABEL}=\"1\">{''.join(before + body + after)}</body></html>"
     inside = _part(main, 1, "".join(body))
     if wrapper.startswith("<table"):
         return f"<html><body {LABEL}=\"0\">{''.join(before)}{wrapper}{inside}</tr></table>{''.join(after)}</body></html>"
