@@ -8,7 +8,7 @@ replaced, added and left out words -1, and the score is a share of the item's fu
 The benchmark is read in blocks of bounded size, and every block is held against all documents, in two passes without
 a shuffle of texts: one counts the documents of each triple, one aligns.
 
-Words are runs of letters and digits in lower case. Null texts have none. Items of fewer than three words are left out,
+Words are runs of characters other than white space and punctuation, in lower case. Null texts have none. Items of fewer than three words are left out,
 as they can't be told from chance. Rows that repeat an id count each for themselves, null ids too; equal results are
 returned once. Other columns are not read. If either table is empty, so is the result.
 """
@@ -30,12 +30,17 @@ MATCH, CHANGE = 2, -1
 THRESHOLD = 0.65
 BLOCK_BYTES = 4 << 20
 
-_WORD = re.compile(r"[^\W_]+")
+#: ASCII letters in lower case, digits as they are, other ASCII characters as spaces; then punctuation beyond ASCII:
+#: Latin-1 signs, general, CJK and full-width punctuation.
+_ASCII = bytes(ord(c) if (c := chr(i).lower()).isalnum() or i > 127 else 32 for i in range(128)) + bytes(range(128, 256))
+_SIGNS = re.compile(rb"\xc2[\xa0-\xbf]|\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\xbf]|\xef\xbc[\x81-\x8f]")
 RESULT = "doc_id bigint, item_id bigint, score double, window_start int, window_end int"
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words(text: str | None) -> list[bytes]:
+    """In UTF-8. Splitting bytes takes a third of the time of finding words in a text."""
+    data = (text or "").lower().encode().translate(_ASCII)
+    return (data if data.isascii() else _SIGNS.sub(b" ", data)).split()
 
 
 @dataclass
@@ -43,7 +48,7 @@ class Items:
     """A block of the benchmark: words as numbers, and for every triple the items and places that have it."""
 
     ids: list[int | None]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     words: list[np.ndarray]
     codes: np.ndarray  # sorted triples
     item: np.ndarray  # item and place of each of them
@@ -51,7 +56,7 @@ class Items:
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> "Items":
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         ids, texts = [], []
         for item_id, text in rows:
             if len(found := words(text)) >= SEED_WORDS:

@@ -172,8 +172,8 @@ def test_pipeline(spark, monkeypatch):
         reach = {i: min(reach[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3) for i in prints}
     assert set(ids[3]) == set(reach.values())
 
-    items = [" ".join(decontaminate.words(r.text)) for r in queries.table(spark, SF, "benchmark").collect()]
-    assert set(ids[4]) == {i for i in ids[3] if not any(item in " ".join(decontaminate.words(texts[i])) for item in items)}
+    items = [b" ".join(decontaminate.words(r.text)) for r in queries.table(spark, SF, "benchmark").collect()]
+    assert set(ids[4]) == {i for i in ids[3] if not any(item in b" ".join(decontaminate.words(texts[i])) for item in items)}
 
     con = duckdb.connect()
     con.register("last", frames[4].toPandas())

@@ -159,7 +159,7 @@ def test_marginals_are_exact(model):
             labels = [bits >> i & 1 for i in range(len(nodes))]
             weight = model.root[labels[0]]
             for i, node in enumerate(nodes[1:], 1):
-                edge = model.edge.get(node.tag, model.edge[""])
+                edge = model.between(node, alike[html_text._kin(node)])
                 weight += edge[labels[node.parent]][labels[i]] + model.potential(node)[labels[i]] / alike[html_text._kin(node)]
             weights[tuple(labels)] = math.exp(weight)
         total = sum(weights.values())
@@ -191,6 +191,11 @@ def test_pages_query(spark):
         assert found[page.page_id].n_chars == len(found[page.page_id].text)
 
 
+def test_words():
+    assert decontaminate.words("It’s “Éa”, a_b—c 12.5! 「中文」") == [w.encode() for w in ["it", "s", "éa", "a", "b", "c", "12", "5", "中文"]]
+    assert decontaminate.words(None) == decontaminate.words(" .,") == []
+
+
 def slow_align(item, window):
     best, row = 0, [0] * (len(window) + 1)
     for word in item:
@@ -204,8 +209,8 @@ def slow_align(item, window):
 def test_contaminations(spark, odd, none):
     """Copies, edited copies and clean texts; every pair aligned in full."""
     texts = [r.text for r in odd.filter("doc_id < 12").orderBy("doc_id").collect()][:12]
-    items = [(n, " ".join(decontaminate.words(t)[:30])) for n, t in enumerate(texts[:8])] + [(90, None), (91, "a b"), (None, texts[9][:150])]
-    edited = [decontaminate.words(t)[:30] for t in texts[:6]]
+    items = [(n, b" ".join(decontaminate.words(t)[:30]).decode()) for n, t in enumerate(texts[:8])] + [(90, None), (91, "a b"), (None, texts[9][:150])]
+    edited = [[w.decode() for w in decontaminate.words(t)[:30]] for t in texts[:6]]
     for n, words in enumerate(edited):
         for k in range(n % 5, len(words), 6):
             words[k] = "changed"
@@ -231,10 +236,10 @@ def test_contaminations(spark, odd, none):
 def test_benchmark_query(spark):
     """Exactly the documents that hold an item are found in the test tables."""
     found = {(r.doc_id, r.item_id) for r in queries.op6_benchmark_copies(spark, SF).collect()}
-    items = [(r.item_id, " ".join(decontaminate.words(r.text))) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items = [(r.item_id, b" ".join(decontaminate.words(r.text))) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = set()
     for doc in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        text = " ".join(decontaminate.words(doc.text))
+        text = b" ".join(decontaminate.words(doc.text))
         want |= {(doc.doc_id, item_id) for item_id, item in items if item in text}
     assert found == want and want
 
@@ -268,3 +273,24 @@ def test_lm_scores(odd, none, order):
     for a, b in zip(sorted(got), sorted(want), strict=True):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9, abs=1e-9)
     assert lm_score.lm_scores(none, order).count() == 0
+
+
+LONG = "This is a paragraph of the article with a fair number of words in it, so that it looks like prose."
+CHAT = "I really think that this comment is quite long, and it has many words, but it is still only a comment."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<div id="header"><h1>Site</h1></div><div class="menu"><a href=1>One</a> <a href=2>Two</a></div><div id="content"><h1>T</h1>'
+     f'<p>{LONG}</p><p>Short.</p><p class="notice">{CHAT}</p><p>{LONG}</p></div><div id="sidebar"><p>{CHAT}</p></div>'
+     f'<div id="comments"><p>{CHAT}</p><p>{CHAT}</p></div><div id="footer">c</div>', ["T", LONG, "Short.", LONG]),
+    (f'<header><a href=/>Home</a></header><main><h1>T</h1><p>{LONG}</p><div class="advertisement"><p>{CHAT}</p></div><blockquote>{LONG}'
+     f'</blockquote><form><label>Mail</label><p>{CHAT}</p></form></main><aside><p>{CHAT}</p></aside>', ["T", LONG, LONG]),
+    (f'<div class="cookie-banner"><p>{CHAT}</p></div><article><h1>T</h1><p>{LONG}<p>{LONG}</article><section class="comments">'
+     f'<article class="comment"><p>{CHAT}</p></article><article class="comment"><p>{CHAT}</p></article></section>', ["T", LONG, LONG]),
+    (f'<article><h1>T</h1><p>{LONG}</p><div class="comments"><div class="comment"><p>{CHAT}</p></div></div><div class="related"><ul>'
+     f'<li><a href=1>{CHAT}</a></li></ul></div></article>', ["T", LONG]),
+    (f'<nav><a href=1>One</a></nav><article><p>Hi.</p></article><footer>{LONG}</footer>', ["Hi."]),
+    (f'<article><h1>T</h1><ul><li>one</li></ul><table><tr><td>a</td><td>b</td></tr></table><pre>x = 1</pre></article>', ["T", "one", "a", "b", "x = 1"]),
+])
+def test_other_layouts(model, page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>", model).split("\n") == want
