@@ -7,8 +7,8 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from catalog import views
-from strandline.operators.ordering import with_position
-from strandline.operators.sequences import day_masks, future_labels
+from strandline.operators.ordering import heavy_keys, with_position
+from strandline.operators.sequences import customer_sequences, day_masks, future_labels
 from strandline.plans.windows_job import window_dataset
 from strandline.sources.shared import shared_folder
 from strandline.sources.tables import load, save_table, scan_months
@@ -71,3 +71,29 @@ def test_heavy_customers_do_not_meet_in_one_task(spark):
 
 def test_loading_reads_a_whole_table(spark):
     assert load(spark, SF, "nation").count() == 25
+
+
+def test_next_events_are_counted_once(spark):
+    """The bigram model is a stored table by the time its chains are joined."""
+    text = plan(entry.queries()["r3_fill_next"](spark, SF))
+    assert len(re.findall(r"FileScan parquet \[[^\]]*user_id", text)) == 1
+
+
+def test_the_report_sorts_once(spark):
+    text = plan(entry.queries()["evaluation_report"](spark, SF))
+    assert text.count("rangepartitioning") == 0 and len(re.findall(r"FileScan", text)) == 1  # the sorted scores are stored
+
+
+def test_given_heavy_keys_save_the_counting_pass(spark):
+    routed = views.routed(spark, SF)
+    heavy = heavy_keys(routed, "column1", 50_000)
+    context = spark.sparkContext
+
+    def jobs(**options):
+        group = f"jobs-{bool(options)}"
+        context.setJobGroup(group, group)
+        customer_sequences(routed, **options)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return len(context.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(heavy=heavy) < jobs()
