@@ -77,7 +77,10 @@ class Hashes:
 
 @dataclass
 class Contexts:
-    """Contexts of a shard by place: windows start from ``low`` to ``high``; seed and two hashes of the bytes."""
+    """Contexts of a shard by place: windows start from ``low`` to ``high``; the seed, and a hash of the bytes.
+
+    Inside a shard, some hundred thousand contexts, 64 bits stand for the bytes; buckets compare the bytes.
+    """
 
     low: np.ndarray
     high: np.ndarray
