@@ -14,13 +14,9 @@ from strandline.sources.shared import reliable_checkpoint
 
 def word_counts(df: DataFrame, text: str = "evnt", min_frequency: int = 1, limit: int | None = None) -> DataFrame:
     """Rows (word, freq) in Unicode normal form C; ``limit`` keeps the most frequent words, ties by word."""
-    counts = (
-        with_composed_text(df.select(text), text)
-        .select(F.explode(spaced_words(F.col(text))).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("freq"))
-        .filter(F.col("freq") >= min_frequency)
-    )
+    raw = df.select(F.explode(spaced_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    composed = raw.groupBy(_composed()("word").alias("word")).agg(F.sum("freq").alias("freq"))  # distinct words only
+    counts = composed.filter(F.col("freq") >= min_frequency)
     if limit is None:
         return counts
     ranked = with_position(counts, F.col("freq").desc(), F.col("word"))
@@ -107,13 +103,16 @@ PERHAPS_DECOMPOSED = (
 
 def with_composed_text(df: DataFrame, text: str) -> DataFrame:
     """The rows with their text in Unicode normal form C. Only texts that may be in another form go through Python."""
+    perhaps = F.coalesce(F.col(text).rlike(PERHAPS_DECOMPOSED), F.lit(False))
+    return df.filter(~perhaps).unionByName(df.filter(perhaps).withColumn(text, _composed()(text)))
 
+
+def _composed():
     @F.pandas_udf("string")
     def nfc(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFC", t))
+        return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))
 
-    perhaps = F.coalesce(F.col(text).rlike(PERHAPS_DECOMPOSED), F.lit(False))
-    return df.filter(~perhaps).unionByName(df.filter(perhaps).withColumn(text, nfc(text)))
+    return nfc
 
 
 def _chars(word) -> Column:
