@@ -10,6 +10,7 @@ from strandline.sources.shared import stored
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
 _SALT = "__salt"
+_MARK = "__mark"
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -39,6 +40,31 @@ def with_group_totals(
     return salted.join(by_piece, [*keys, _SALT]).drop(_SALT)
 
 
+def drop_rows(documents: DataFrame, mark: Column, lost: DataFrame) -> DataFrame:
+    """The documents without the rows of (doc_id, mark), null ids included; of rows that agree in both one stays.
+
+    ``mark`` tells texts apart, so a row goes only for its own text and never for a ``doc_id`` that others have too.
+    """
+    columns = documents.columns
+    marked = documents.withColumn(_MARK, mark)
+    left = _without(marked, lost.distinct())
+    again = marked.groupBy("doc_id", _MARK).agg(F.count("*").alias("n")).filter("n > 1")
+    again = stored(again.select("doc_id", F.col(_MARK).alias("mark")), "repeated-rows")
+    if again.isEmpty():
+        return left.select(columns)
+    same = again.withColumnRenamed("doc_id", "__doc_id")
+    found = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col(_MARK) == F.col("mark"))
+    copies = left.join(same, found, "left_semi")
+    one = copies.groupBy("doc_id", _MARK).agg(F.min(F.struct(*[c for c in columns])).alias("row")).select("row.*")
+    return _without(left, again).select(columns).unionByName(one)
+
+
+def _without(marked: DataFrame, lost: DataFrame) -> DataFrame:
+    lost = lost.withColumnRenamed("doc_id", "__doc_id")
+    found = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col(_MARK) == F.col("mark"))
+    return marked.join(lost, found, "left_anti")
+
+
 def components(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node in a link.
 

@@ -13,6 +13,7 @@ as they can't be told from chance. Rows that repeat an id count each for themsel
 returned once. Other columns are not read. If either table is empty, so is the result.
 """
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,7 @@ BLOCK_BYTES = 4 << 20
 _ASCII = bytes(ord(c) if (c := chr(i).lower()).isalnum() or i > 127 else 32 for i in range(128)) + bytes(range(128, 256))
 _SIGNS = re.compile(rb"\xc2[\xa0-\xbf]|\xe2[\x80\x81][\x80-\xbf]|\xe3\x80[\x80-\xbf]|\xef\xbc[\x81-\x8f]")
 RESULT = "doc_id bigint, item_id bigint, score double, window_start int, window_end int"
+_FOUND = RESULT + ", text_sha256 string"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -145,6 +147,11 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, block_bytes: int
     The window is the stretch of words that was aligned.
     """
     texts = documents.select(F.col("doc_id").cast("long"), "text")
+    return _found(texts, benchmark, block_bytes).drop("text_sha256").distinct()
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The result with the digest of the text that was read."""
     parts = [_block(texts, Items.of(rows)) for rows in blocks(benchmark, block_bytes)]
     whole = parts[0]
     for part in parts[1:]:
@@ -158,16 +165,16 @@ def _block(texts: DataFrame, items: Items) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (doc_id, seeds.ids[item], score, start, end)
+                (doc_id, seeds.ids[item], score, start, end, hashlib.sha256(text.encode()).hexdigest())
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())
                 for item, score, start, end in find_in_text(seeds, text)
             ]
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
             arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "score", "window_start", "window_end"])
+            yield pa.RecordBatch.from_arrays(arrays, [column.split()[0] for column in _FOUND.split(", ")])
 
-    return texts.mapInArrow(find, RESULT).distinct()
+    return texts.mapInArrow(find, _FOUND)
 
 
 def _document_counts(texts: DataFrame, items: Items) -> dict[int, int]:
@@ -190,6 +197,7 @@ def _document_counts(texts: DataFrame, items: Items) -> dict[int, int]:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a copy of an item, with all their columns."""
-    dropped = contaminations(documents, benchmark).select(F.col("doc_id").alias("__dropped")).distinct()
-    return documents.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped")), "left_anti")
+    """The documents without a copy of an item, with all their columns. A row goes for its own text, whatever its id."""
+    found = _found(documents.select(F.col("doc_id").cast("long"), "text"), benchmark)
+    dropped = found.select(F.col("text_sha256").alias("__dropped")).distinct()
+    return documents.join(dropped, F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("__dropped"), "left_anti")

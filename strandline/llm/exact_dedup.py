@@ -10,7 +10,7 @@ a ``doc_id`` are decided alike. Other columns of the input are not read. An empt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandline.llm.common import text_or_empty, with_group_totals, without_white_space
+from strandline.llm.common import drop_rows, text_or_empty, with_group_totals, without_white_space
 from strandline.sources.shared import stored
 
 #: A chunk ends with a sentence, after 200 characters at least and 2,000 at most.
@@ -30,14 +30,14 @@ def ambiguous_ids(documents: DataFrame) -> DataFrame:
     return distinct.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
 
 
-def recipes(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_points, text_sha256, recipe): the ordered verified identifiers of a text's chunks.
+def recipes(documents: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, n_points, text_sha256, recipe) and ``more`` columns: the ordered verified identifiers of a text's chunks.
 
     An identifier shared by several chunks is replaced by the chunk's SHA-256, beyond ``MAX_LISTED`` of those all are.
     """
     listed = [row[0] for row in ambiguous_ids(documents).limit(MAX_LISTED + 1).collect()]
     norm = documents.select(
-        "doc_id", F.length(text_or_empty()).alias("n_points"), without_white_space(text_or_empty()).alias("norm")
+        "doc_id", F.length(text_or_empty()).alias("n_points"), without_white_space(text_or_empty()).alias("norm"), *more
     )
 
     def identifier(chunk: Column) -> Column:
@@ -49,7 +49,11 @@ def recipes(documents: DataFrame) -> DataFrame:
         return F.when(short.isin(listed), long).otherwise(short.cast("string"))
 
     return norm.select(
-        "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), identifier).alias("recipe")
+        "doc_id",
+        "n_points",
+        F.sha2("norm", 256).alias("text_sha256"),
+        F.transform(chunks(F.col("norm")), identifier).alias("recipe"),
+        *[name for name in norm.columns if name not in ("doc_id", "n_points", "norm")],
     )
 
 
@@ -72,6 +76,14 @@ def exact_groups(documents: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    dropped = exact_groups(documents).filter("not kept").select(F.col("doc_id").alias("__dropped"))
-    return documents.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dropped")), "left_anti")
+    """One row of each group, with all columns: the one that stays by ``exact_groups``, and of several such one.
+
+    Rows are told apart by ``doc_id`` and the digest of the text as it is, so rows that share an id are decided each
+    for their own text.
+    """
+    mark = F.sha2(text_or_empty(), 256)
+    rows = stored(recipes(documents, mark.alias("mark")), "recipes")
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), "doc_id", "mark"))
+    grouped = with_group_totals(rows, ["recipe"], ["doc_id", "mark"], {"best": (best, F.min)})
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    return drop_rows(documents, mark, grouped.filter(~stays).select("doc_id", "mark"))
