@@ -1,12 +1,14 @@
-"""Benchmark decontamination: rare word triples find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word triples find passages, Smith-Waterman alignment scores them.
 
 An alignment that keeps four of five words of an item of 15 words or more has three of them in a row, so triples are
-seeds that no such copy escapes. A triple that many documents have, compared with the other triples of its item, is no
-seed. Where seeds of an item meet in a document, the item is aligned with the words around them: matches count 2,
-replaced, added and left out words -1, and the score is a share of the item's full score.
+seeds that no such copy escapes. All triples are seeds, however many documents have them, so results don't depend on
+the size of the corpus. A score is at most the share of the item's words that the text has, so items and windows below
+the threshold by that share are not aligned: a stem that many documents have costs a look, not an alignment. Where
+seeds of an item meet in a document, the item is aligned with the words around them: matches count 2, replaced, added
+and left out words -1, and the score is a share of the item's full score.
 
-The benchmark is read in blocks of bounded size, and every block is held against all documents, in two passes without
-a shuffle of texts: one counts the documents of each triple, one aligns.
+The benchmark is read in blocks of bounded size, and every block is held against all documents, in one pass without a
+shuffle of texts.
 
 Words are runs of characters other than white space and punctuation, in lower case. Null texts have none. Items of fewer than three words are left out,
 as they can't be told from chance. Rows that repeat an id count each for themselves, null ids too; equal results are
@@ -23,9 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 SEED_WORDS = 3
-#: A seed is in at most so many documents, or in at most so many times the documents of its item's median triple.
-RARE_DOCUMENTS = 50
-RARE_TIMES = 4
 MATCH, CHANGE = 2, -1
 #: One word in five replaced leaves 0.7 of the full score; short items lose a little more by one word.
 THRESHOLD = 0.65
@@ -77,15 +76,6 @@ class Items:
         found, get = words(text), self.vocabulary.get
         return np.fromiter((get(word, -1) for word in found), np.int64, len(found))
 
-    def rare(self, documents: dict[int, int]) -> "Items":
-        """Only the places of seeds, given the number of documents with each triple."""
-        counts = np.array([documents.get(int(code), 0) for code in self.codes], np.int64)
-        keep = counts <= RARE_DOCUMENTS
-        for item in np.unique(self.item[~keep]):
-            own = self.item == item
-            keep |= own & (counts <= RARE_TIMES * np.median(counts[own]))
-        return Items(self.ids, self.vocabulary, self.words, self.codes[keep], self.item[keep], self.place[keep])
-
 
 def triples(numbers: np.ndarray, size: int) -> np.ndarray:
     """A number for each three words in a row; negative if one of them is unknown."""
@@ -121,12 +111,18 @@ def find_in_text(items: Items, text: str | None) -> Iterator[tuple[int, float, i
     item, begins = items.item[entry], np.repeat(at, hits) - items.place[entry]
     order = np.lexsort((begins, item))
     item, begins = item[order], begins[order]
+    present = np.zeros(len(items.vocabulary) + 1, bool)
+    present[numbers] = True
     for one in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
         query = items.words[item[one[0]]]
         size, slack = len(query), len(query) // 4 + 1
         best = (0.0, 0, 0)
+        if present[query].sum() / size < THRESHOLD:
+            continue
         for near in np.split(begins[one], np.flatnonzero(np.diff(begins[one]) > slack) + 1):
             start, end = max(0, int(near[0]) - slack), min(len(numbers), int(near[-1]) + size + slack)
+            if np.isin(query, numbers[start:end]).sum() / size < THRESHOLD:
+                continue
             best = max(best, (align(query, numbers[start:end]) / (MATCH * size), -start, end))
         if best[0] >= THRESHOLD:
             yield int(item[one[0]]), best[0], -best[1], best[2]
@@ -160,14 +156,12 @@ def _found(texts: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTE
 
 
 def _block(texts: DataFrame, items: Items) -> DataFrame:
-    seeds = items.rare(_document_counts(texts, items))
-
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (doc_id, seeds.ids[item], score, start, end, hashlib.sha256(text.encode()).hexdigest())
+                (doc_id, items.ids[item], score, start, end, hashlib.sha256(text.encode()).hexdigest())
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())
-                for item, score, start, end in find_in_text(seeds, text)
+                for item, score, start, end in find_in_text(items, text)
             ]
             columns = list(zip(*rows)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.string())
@@ -177,25 +171,6 @@ def _block(texts: DataFrame, items: Items) -> DataFrame:
     return texts.mapInArrow(find, _FOUND)
 
 
-def _document_counts(texts: DataFrame, items: Items) -> dict[int, int]:
-    """In how many documents each triple of the block is; as many rows as the block has triples at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct = np.unique(items.codes)
-        for batch in batches:
-            seen = np.zeros(len(distinct), np.int64)
-            for text in batch["text"].to_pylist():
-                codes = np.unique(triples(items.numbers(text), len(items.vocabulary)))
-                at = np.minimum(np.searchsorted(distinct, codes), max(0, len(distinct) - 1))
-                if len(distinct):
-                    seen[at[distinct[at] == codes]] += 1
-            arrays = [pa.array(distinct[seen > 0]), pa.array(seen[seen > 0])]
-            yield pa.RecordBatch.from_arrays(arrays, ["code", "n"])
-
-    counted = texts.select("text").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n"))
-    return dict(map(tuple, counted.collect()))
-
-
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a copy of an item, with all their columns. A row goes for its own text, whatever its id."""
     found = _found(documents.select(F.col("doc_id").cast("long"), "text"), benchmark)
