@@ -47,7 +47,7 @@ def drop_rows(documents: DataFrame, mark: Column, lost: DataFrame) -> DataFrame:
     """
     columns = documents.columns
     marked = documents.withColumn(_MARK, mark)
-    left = _without(marked, lost.distinct())
+    left = _without(marked, stored(lost.distinct(), "lost-rows"))
     again = marked.groupBy("doc_id", _MARK).agg(F.count("*").alias("n")).filter("n > 1")
     again = stored(again.select("doc_id", F.col(_MARK).alias("mark")), "repeated-rows")
     if again.isEmpty():

@@ -83,3 +83,13 @@ def test_similar_rows_with_null_ids(spark):
     frame = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id bigint, text string, n int")
     kept = similar.keep_one_of_similar(frame)
     assert sorted(r.n for r in kept.collect()) == [0, 2, 3]
+
+
+def test_sketches_leave_no_similar_pair_out():
+    draw = random.Random(5)
+    for _ in range(300):
+        words = [f"w{draw.randrange(500)}" for _ in range(draw.randint(1, 200))]
+        new = [f"n{n}" if draw.random() < 0.02 else word for n, word in enumerate(words)]
+        a, b = (similar.shingles(" ".join(w)) for w in (words, new))
+        apart = (similar.sketch(a) ^ similar.sketch(b)).tobytes()
+        assert sum(byte.bit_count() for byte in apart) <= len(set(a) ^ set(b))
