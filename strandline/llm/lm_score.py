@@ -5,7 +5,8 @@ A token's score is the share of its n-gram among those with its history; if no o
 whole corpus, less those of the document itself, which would else vouch for all its n-grams.
 
 Shards count the n-grams of their documents. The count tables are partitioned by the hash of the n-gram and joined to
-the shards' n-grams: a bucket adds up what all shards have and answers with totals. Shards then sum up the scores of
+the shards' n-grams: a bucket adds up what all shards have and answers with what the others have,
+which is nothing for an n-gram of one shard. Shards then sum up the scores of
 each document. An n-gram that stands everywhere reaches its bucket once per shard, combined.
 
 Tokens are runs without ASCII white space, in lower case; n-grams are told apart by 64-bit hashes. Null and empty
@@ -20,11 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandline.llm.sharding import COUNTS, COUNTS_DDL, column_arrays, shard_count, sharded, slices, sum_counts
+from strandline.llm.sharding import COUNTS, COUNTS_DDL, column_arrays, shard_count, sharded, slices
 
 BACKOFF = 0.4
-#: Bigrams: their tables are about as large as the texts, those of trigrams twice that.
-ORDER = 2
+#: Trigrams, with bigrams and words to back off to.
+ORDER = 3
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
 RESULT = "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double"
@@ -72,14 +73,55 @@ def _count_shard(buckets: int, order: int):
         for n, (keys, counts) in enumerate(Grams(table["text"].to_pylist(), order).distinct()):
             for bucket, start, end in slices(keys, buckets):
                 rows.append({
-                    "shard": key[0].as_py(), "n": n, "bucket": bucket, "keys": keys[start:end].tobytes(),
-                    "counts": counts[start:end].astype(np.uint32).tobytes(),
+                    "shard": key[0].as_py(), "n": n, "bucket": bucket, "keys": packed_keys(keys[start:end]),
+                    "counts": packed_extra(counts[start:end] - 1),
                 })
         return pa.Table.from_pylist(rows, COUNTS)
 
     return count
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as gaps, in as many bytes as the largest gap takes: the first key, that width, the bytes in planes."""
+    gaps = np.diff(keys)
+    width = (int(gaps.max(initial=0)).bit_length() + 7) // 8
+    planes = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return keys[:1].astype("<u8").tobytes() + bytes([width]) + np.ascontiguousarray(planes.T).tobytes()
+
+
+def unpacked_keys(data: np.ndarray) -> np.ndarray:
+    width = int(data[8])
+    planes = data[9:].reshape(width, -1).T if width else np.empty((0, 0), np.uint8)
+    gaps = np.zeros((len(planes), 8), np.uint8)
+    gaps[:, :width] = planes
+    return np.cumsum(np.concatenate([data[:8].copy().view("<u8"), gaps.reshape(-1).view("<u8")]), dtype=np.uint64)
+
+
+def packed_extra(extra: np.ndarray) -> bytes:
+    """Numbers of which most are zero: a bit for each, then those that are not, as int64."""
+    return np.packbits(extra > 0).tobytes() + extra[extra > 0].astype(np.int64).tobytes()
+
+
+def unpacked_extra(data: np.ndarray, size: int) -> np.ndarray:
+    bits = (size + 7) // 8
+    extra = np.zeros(size, np.int64)
+    extra[np.unpackbits(data[:bits], count=size).astype(bool)] = data[bits:].copy().view(np.int64)
+    return extra
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """For every key of every slice its count in the other shards, which is nothing where only one shard has it."""
+    keys = [unpacked_keys(data) for data in column_arrays(table, "keys", np.uint8)]
+    counts = [1 + unpacked_extra(data, len(k)) for data, k in zip(column_arrays(table, "counts", np.uint8), keys)]
+    distinct, entry = np.unique(np.concatenate(keys), return_inverse=True)
+    own = np.concatenate(counts)
+    totals = np.zeros(len(distinct), np.int64)
+    np.add.at(totals, entry, own)
+    others = np.split(totals[entry] - own, np.cumsum([len(k) for k in keys])[:-1])
+    answers = pa.array([packed_extra(part) for part in others], pa.binary())
+    return pa.table([table["shard"], table["n"], table["bucket"], answers], names=["shard", "n", "bucket", "others"])
+
+
 def scores(grams: Grams, totals: list[np.ndarray], all_tokens: int) -> np.ndarray:
     """The summed log scores of the texts, given the corpus counts of the sorted distinct n-grams by order."""
     others = []  # by order: how often other documents have the n-gram up to each token
@@ -104,14 +146,17 @@ def scores(grams: Grams, totals: list[np.ndarray], all_tokens: int) -> np.ndarra
     return np.bincount(grams.document, np.log(share), len(grams.sizes))
 
 
-def _score_shard(order: int, all_tokens: int):
+def _score_shard(buckets: int, order: int, all_tokens: int):
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(documents["text"].to_pylist(), order)
-        answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
-        parts: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(order)]
-        for n, part in zip(answers["n"].to_pylist(), column_arrays(answers, "totals", np.int64)):
-            parts[n].append(part)
-        sums = scores(grams, [np.concatenate(p) for p in parts], all_tokens)
+        sent = {(n, bucket): data for n, bucket, data in zip(
+            answers["n"].to_pylist(), answers["bucket"].to_pylist(), column_arrays(answers, "others", np.uint8)
+        )}
+        totals = []
+        for n, (keys, counts) in enumerate(grams.distinct()):
+            parts = [unpacked_extra(sent[n, bucket], end - start) for bucket, start, end in slices(keys, buckets)]
+            totals.append(counts + np.concatenate([np.empty(0, np.int64), *parts]))
+        sums = scores(grams, totals, all_tokens)
         means = sums / np.maximum(grams.sizes, 1)
         return pa.table({
             "doc_id": documents["doc_id"], "n_tokens": grams.sizes, "log_score": sums, "mean_log_score": means
@@ -127,6 +172,6 @@ def lm_scores(documents: DataFrame, order: int = ORDER, shard_bytes: int | None
     all_tokens = documents.agg(counted).first()[0] or 0
     rows = sharded(documents, shards)
     counts = rows.groupBy("shard").applyInArrow(_count_shard(shards, order), COUNTS_DDL)
-    totals = sum_counts(counts)
-    both = rows.groupBy("shard").cogroup(totals.groupBy("shard"))
-    return both.applyInArrow(_score_shard(order, all_tokens), RESULT)
+    others = counts.groupBy("n", "bucket").applyInArrow(_answer, "shard int, n int, bucket int, others binary")
+    both = rows.groupBy("shard").cogroup(others.groupBy("shard"))
+    return both.applyInArrow(_score_shard(shards, order, all_tokens), RESULT)
