@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math object select".split())
+#: Of these, elements that can close themselves, and those that are ordinary elements where they have no end tag.
+FOREIGN = frozenset({"svg", "math"})
+ENDED = frozenset({"object", "select"})
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rp rt s samp small span"
     " strike strong sub sup time tt u var wbr br img".split()
@@ -108,10 +111,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
         elif match["start"]:
             tag, rest = match["start"].lower(), match["rest"]
+            if tag in FOREIGN and rest.rstrip().endswith("/"):
+                continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}[\s>/]", re.IGNORECASE).search(page, at)
-                at = len(page) if not end else end.start()
-                continue
+                if end or tag not in ENDED:
+                    at = len(page) if not end else end.start()
+                    continue
             if tag == "br":
                 put(" ")
             if tag in INLINE or tag in VOID:
