@@ -59,7 +59,47 @@ def words(spark, sf):
 
 @CATALOG.add("v4_subword_vocabulary")
 def subwords(spark, sf):
-    return train_wordpiece(documents(spark, sf), "text", vocab_size=400)
+    """30,000 merges at most, of pairs that occur 20 times."""
+    return train_wordpiece(documents(spark, sf), "text", vocab_size=30_000)
+
+
+# Words as pieces between two control characters; one merge of the most frequent pair in each step.
+_MERGES_SQL = r"""
+, spelled AS (
+    SELECT chr(1) || left(w, 1) || regexp_replace(substr(w, 2), '(?s)(.)', chr(2) || chr(1) || '##\1', 'g') || chr(2) AS s, freq
+    FROM (SELECT nfc_normalize(piece) AS w, sum(freq)::bigint AS freq FROM counts GROUP BY 1)),
+merged AS (
+  WITH RECURSIVE step AS (
+    SELECT 0 AS i, s, freq, '' AS piece, 0::bigint AS n FROM spelled
+    UNION ALL
+    SELECT i + 1, replace(s, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || substr(r, 3) || chr(2)), freq,
+           l || substr(r, 3), best.n
+    FROM step, (SELECT l, r, sum(freq)::bigint AS n FROM (
+                  SELECT freq, ps[j] AS l, ps[j + 1] AS r FROM (
+                    SELECT freq, ps, unnest(range(1, len(ps))) AS j FROM (
+                      SELECT freq, string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1)) AS ps FROM step)))
+                GROUP BY l, r HAVING sum(freq) >= 1000 ORDER BY n DESC, l, r LIMIT 1) best)
+  SELECT piece, max(n) AS freq FROM step WHERE i > 0 GROUP BY piece),
+pieces AS (
+  SELECT piece, max(freq) AS freq FROM (
+    SELECT p AS piece, sum(freq)::bigint AS freq
+    FROM (SELECT freq, unnest(string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1))) AS p FROM spelled) GROUP BY p
+    UNION ALL SELECT DISTINCT regexp_replace(p, '^##(.)$', '\1', 's'), 0
+    FROM (SELECT unnest(string_split(substr(s, 2, length(s) - 2), chr(2) || chr(1))) AS p FROM spelled)
+    UNION ALL SELECT piece, freq FROM merged) GROUP BY piece)
+SELECT piece, CAST(4 + row_number() OVER (ORDER BY freq DESC, piece) AS int) AS id, freq FROM pieces
+UNION ALL SELECT unnest(['[UNK]', '[PAD]', '[CLS]', '[SEP]', '[MASK]']), unnest([0, 1, 2, 3, 4]), NULL"""
+
+
+@CATALOG.add("v4_frequent_merges", words_sql(_MERGES_SQL))
+def frequent_merges(spark, sf):
+    """All merges of pairs that occur 1,000 times, in rounds over shards of words."""
+    return train_wordpiece(documents(spark, sf), "text", min_frequency=1_000, small=0)
+
+
+@CATALOG.add("v4_frequent_merges_in_one_task", words_sql(_MERGES_SQL))
+def frequent_merges_in_one_task(spark, sf):
+    return train_wordpiece(documents(spark, sf), "text", min_frequency=1_000)
 
 
 _IDS_SQL = words_sql("SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids")

@@ -1,5 +1,7 @@
 """Masked training rows. Every draw is a hash of seed, row key and position."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.constants import (
@@ -106,10 +108,16 @@ def mask_words(
     pieces: str = "pieces",
     p: float = MASK_PROBABILITY,
     seed: int = SEED,
+    starts: str | None = None,
 ) -> DataFrame:
     """Choose whole words: a first piece together with its continuation pieces. A row may begin
     inside a word; that rest counts as word 0, so the first full word is word 1.
+
+    What belongs together is told by ``starts``, the flags that ``encode`` gives, or else by the marks of ``pieces``.
     """
+    if starts:
+        hits = _word_hits(F.col(starts), lambda number: hit(p, seed, "word", F.col(key), number))
+        return _replace_chosen(df, hits, key, ids, vocab_size, seed)
     glue = "\x01"
     whole = F.split(F.replace(F.array_join(pieces, " "), F.lit(f" {CONTINUATION}"), F.lit(glue)), " ")
     first = F.when(F.get(pieces, 0).startswith(CONTINUATION), 0).otherwise(1)
@@ -121,6 +129,18 @@ def mask_words(
     return _replace_chosen(df, hits, key, ids, vocab_size, seed)
 
 
+def _word_hits(starts: Column, hit_of: Callable[[Column], Column]) -> Column:
+    """For each id the draw of its word, one draw a word: the runs between starts are as long as the words."""
+    places = F.filter(F.transform(starts, lambda flag, i: F.when(flag, i)), lambda i: i.isNotNull())
+    inside = ~F.coalesce(F.get(starts, F.lit(0)), F.lit(True))
+    begins = F.when(inside, F.concat(F.array(F.lit(0)), places)).otherwise(places)
+    ends = F.concat(places, F.array(F.size(starts)))
+    ends = F.when(inside, ends).otherwise(F.slice(ends, F.lit(2), F.greatest(F.size(ends) - 1, F.lit(0))))
+    runs = F.zip_with(begins, ends, lambda a, b: b - a)
+    first = F.when(inside, 0).otherwise(1)
+    return F.flatten(F.transform(runs, lambda run, i: F.array_repeat(hit_of(first + i), run)))
+
+
 def fill_rows(df: DataFrame, history: str = "history_ids", targets: str = "target_ids", max_len: int = WIDTH) -> DataFrame:
     """History, one [MASK] per target piece, [SEP]; labels: the target ids and the [SEP].
 

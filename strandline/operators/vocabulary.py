@@ -1,22 +1,35 @@
 """Word and subword vocabularies as tables (piece, id, freq)."""
 
 import heapq
+import pickle
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.constants import CONTINUATION, MAX_VOCABULARY, MIN_FREQUENCY, SPECIAL_PIECES
 from strandline.functions.text import spaced_words
+from strandline.operators.merging import Shard, finish, first_pieces, joined
 from strandline.operators.ordering import with_position
-from strandline.sources.shared import reliable_checkpoint
+from strandline.sources.shared import reliable_checkpoint, stored
+
+#: Pieces that one task merges one pair at a time, some 200 MB of them.
+SMALL_PIECES = 1_000_000
+#: Pieces of a shard at first, some 20 MB with their index.
+SHARD_PIECES = 250_000
+#: Pairs that a round looks at, the best ones; their places are broadcast.
+ROUND_PAIRS = 20_000
+#: Rounds after which the changes of counts are added up.
+COMPACT_ROUNDS = 8
 
 
 def word_counts(df: DataFrame, text: str = "evnt", min_frequency: int = 1, limit: int | None = None) -> DataFrame:
     """Rows (word, freq) in Unicode normal form C; ``limit`` keeps the most frequent words, ties by word."""
     raw = df.select(F.explode(spaced_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    composed = raw.groupBy(_composed()("word").alias("word")).agg(F.sum("freq").alias("freq"))  # distinct words only
-    counts = composed.filter(F.col("freq") >= min_frequency)
+    same = raw.groupBy(composed(F.col("word")).alias("word")).agg(F.sum("freq").alias("freq"))  # distinct words only
+    counts = same.filter(F.col("freq") >= min_frequency)
     if limit is None:
         return counts
     ranked = with_position(counts, F.col("freq").desc(), F.col("word"))
@@ -50,45 +63,117 @@ def train_wordpiece(
     min_frequency: int = MIN_FREQUENCY,
     limit_alphabet: int = MAX_VOCABULARY,
     specials: tuple[str, ...] = SPECIAL_PIECES,
+    small: int = SMALL_PIECES,
 ) -> DataFrame:
     """Subword vocabulary: single characters, then merges of frequent neighbours.
 
+    Words are counted, and from then on only distinct words matter. They lie in shards, each with an index from pairs
+    to words, so that a merge reads and rewrites the words that have its pair, and sends the changes of the counts.
+
     The textbook way merges the one most frequent pair per round. Here a round merges every
     pair that beats all pairs it overlaps with, wherever it occurs: nothing that the
     textbook way merges earlier can touch it, so it will be merged there with the same
-    count. Thousands of merges then take some dozens of rounds over the table of distinct
-    words. (A piece that arises from two different pairs can still shift a close race.)
-    Once the cap is reached, only pairs more frequent than the last piece inside matter.
+    count. Thousands of merges then take some dozens of rounds. (A piece that arises from two different pairs can
+    still shift a close race.) Once the cap is reached, only pairs more frequent than the last piece inside matter.
+    When the words that are not whole have at most ``small`` pieces, a bound whatever the input, the rest is done one
+    merge at a time in one task.
 
     ``freq`` is how often the piece occurred when it came in. The pairs merged pass through
     the driver, at most ``vocab_size`` of them in a round.
     """
     words = _limit_alphabet(word_counts(df, text), limit_alphabet)
-    words = words.repartition(df.sparkSession.sparkContext.defaultParallelism, "word")  # few bytes, much work
-    words = reliable_checkpoint(words.select("freq", _initial_pieces().alias("pieces")))
+    words = reliable_checkpoint(words.select("word", "freq"))
+    single = words.select("freq", _initial_pieces().alias("pieces"))
     alphabet = (
-        words.select(F.explode("pieces").alias("piece"), "freq")
+        single.select(F.explode("pieces").alias("piece"), "freq")
         .select(F.inline(F.array(_weighted(F.col("piece"), F.col("freq")), _weighted(_bare(F.col("piece")), F.lit(0)))))
         .groupBy("piece")
         .agg(F.sum("freq").alias("freq"))
     )
-    room = vocab_size - len(specials) - alphabet.count()
-    made: dict[str, int] = {}
-    bar = min_frequency
-    while room > 0:
-        merges = _local_best(words, bar, room)
-        if not merges:
-            break
-        for left, right, n in merges:
-            made.setdefault(left + right.removeprefix(CONTINUATION), n)
-        if len(made) >= room:
-            bar = max(min_frequency, heapq.nlargest(room, made.values())[-1])
-        words = reliable_checkpoint(_merge(words, [(left, right) for left, right, _ in merges]))
-    kept = sorted(made.items(), key=lambda item: (-item[1], item[0]))[: max(room, 0)]
+    room = max(0, vocab_size - len(specials) - alphabet.count())
+    made = _merges(words.filter(F.length("word") > 1), room, min_frequency, small) if room else {}
+    kept = sorted(made.items(), key=lambda item: (-item[1], item[0]))[:room]
     pieces = alphabet.unionByName(df.sparkSession.createDataFrame(kept, "piece string, freq long"))
     return _numbered(pieces.groupBy("piece").agg(F.max("freq").alias("freq")), specials)
 
 
+def _merges(words: DataFrame, room: int, min_frequency: int, small: int) -> dict[str, int]:
+    """The pieces that merges make, with their counts; a few more than ``room`` perhaps."""
+    made: dict[str, int] = {}
+    pieces = words.agg(F.sum(F.length("word"))).first()[0] or 0
+    state, bar = None, min_frequency
+    if pieces > small:
+        partitions = max(words.sparkSession.sparkContext.defaultParallelism, -(-pieces // SHARD_PIECES))
+        shard = F.pmod(F.xxhash64("word"), F.lit(partitions)).cast("int").alias("shard")
+        state = stored(words.select(shard, "word", "freq").groupBy("shard").applyInArrow(_build_shard, _STATE), "subwords")
+        counts, rounds = state.filter("left is not null").select(*_TRIPLE, "n"), 0
+        while (state.agg(F.sum("pieces")).first()[0] or 0) > small:
+            if not (merges := _local_best(counts, bar, min(room, ROUND_PAIRS))):
+                return made
+            for left, right, n in merges:
+                made.setdefault(joined(left, right), n)
+            if len(made) >= room:
+                bar = max(min_frequency, heapq.nlargest(room, made.values())[-1])
+            pairs = {(left, right) for left, right, _ in merges}
+            shards = state.filter("state is not null").select("shard", "state")
+            state = stored(shards.mapInArrow(_merge_shards(pairs), _STATE), "subwords")
+            counts, rounds = counts.unionByName(state.filter("left is not null").select(*_TRIPLE, "n")), rounds + 1
+            if rounds % COMPACT_ROUNDS == 0:
+                counts = stored(counts.groupBy(*_TRIPLE).agg(F.sum("n").alias("n")).filter("n != 0"), "triples")
+    rest = words.select(F.lit(None).cast("binary").alias("state"), "word", "freq")
+    if state is not None:
+        rest = state.filter("state is not null").select("state", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("freq"))
+    last = rest.repartition(1).mapInArrow(_finish(made, room, bar), "piece string, n bigint")  # ``small`` pieces at most
+    return dict(map(tuple, last.collect())) | made
+
+
+_TRIPLE = ["before", "left", "right"]
+#: A row with the state of a shard, and rows with what its counts have changed by.
+_STATE = "shard int, state binary, pieces bigint, before string, left string, right string, n bigint"
+
+
+def _state_table(shard: int, words: Shard, changes: Counter) -> pa.Table:
+    size = len(changes)
+    columns = {
+        "shard": pa.array([shard] * (size + 1), pa.int32()),
+        "state": pa.array([words.packed(), *[None] * size], pa.binary()),
+        "pieces": pa.array([words.pieces_left(), *[None] * size], pa.int64()),
+    }
+    for i, name in enumerate(_TRIPLE):
+        columns[name] = pa.array([None, *[triple[i] for triple in changes]], pa.string())
+    return pa.table(columns | {"n": pa.array([None, *changes.values()], pa.int64())})
+
+
+def _build_shard(table: pa.Table) -> pa.Table:
+    words = Shard(table["word"].to_pylist(), table["freq"].to_pylist())
+    return _state_table(table["shard"][0].as_py(), words, words.counts())
+
+
+def _merge_shards(pairs: set[tuple[str, str]]):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, state in zip(batch["shard"].to_pylist(), batch["state"].to_pylist()):
+                words = pickle.loads(state)
+                yield from _state_table(shard, words, words.merge(pairs)).to_batches()
+
+    return merge
+
+
+def _finish(made: dict[str, int], room: int, bar: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, freqs = [], []
+        for batch in batches:
+            for state, word, freq in zip(*[batch[c].to_pylist() for c in ("state", "word", "freq")]):
+                shard = pickle.loads(state) if state else None
+                words += [w.split(" ") for w in shard.words if " " in w] if shard else [first_pieces(word)]
+                freqs += [n for w, n in zip(shard.words, shard.freqs.tolist()) if " " in w] if shard else [freq]
+        found = finish(words, freqs, made, room, bar)
+        columns = [pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["piece", "n"])
+
+    return run
+
+
 def _weighted(piece: Column, freq: Column) -> Column:
     return F.struct(piece.alias("piece"), freq.cast("long").alias("freq"))
 
@@ -102,15 +187,21 @@ PERHAPS_DECOMPOSED = (
 
 
 def with_composed_text(df: DataFrame, text: str) -> DataFrame:
-    """The rows with their text in Unicode normal form C. Only texts that may be in another form go through Python."""
-    perhaps = F.coalesce(F.col(text).rlike(PERHAPS_DECOMPOSED), F.lit(False))
-    return df.filter(~perhaps).unionByName(df.filter(perhaps).withColumn(text, _composed()(text)))
+    """The rows with their text in Unicode normal form C."""
+    return df.withColumn(text, composed(F.col(text)))
 
 
-def _composed():
-    @F.pandas_udf("string")
-    def nfc(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))
+def composed(text: Column) -> Column:
+    """Unicode normal form C. Only texts that may be in another form are handed to Python."""
+    return F.coalesce(_normal_form()(F.when(text.rlike(PERHAPS_DECOMPOSED), text)), text)
+
+
+def _normal_form():
+    @F.arrow_udf("string")
+    def nfc(texts: pa.Array) -> pa.Array:
+        if texts.null_count == len(texts):
+            return texts
+        return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
     return nfc
 
@@ -141,57 +232,18 @@ def _bare(piece: Column) -> Column:
     return F.when(piece.startswith(CONTINUATION) & (F.length(piece) > 2), F.substring(piece, 3, 1)).otherwise(piece)
 
 
-def _local_best(words: DataFrame, bar: int, limit: int) -> list[tuple[str, str, int]]:
-    """Pairs of at least ``bar`` occurrences that are better than every pair they overlap."""
-    n = F.size("pieces")
-    triple = F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.struct(
-            F.get("pieces", i - 2).alias("before"), F.get("pieces", i - 1).alias("left"), F.get("pieces", i).alias("right")
-        ),
-    )
-    triples = (
-        words.filter(n > 1)
-        .select(F.explode(triple).alias("t"), "freq")
-        .groupBy("t.before", "t.left", "t.right")
-        .agg(F.sum("freq").alias("n"))
-        .persist()  # read several times below; small beside the words
-    )
-    pairs = triples.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= bar)
-    rank = F.struct((-F.col("n")).alias("less"), "left", "right")
-    first = pairs.select(F.col("left").alias("before"), F.col("right").alias("left"), rank.alias("first"))
-    second = pairs.select("left", "right", rank.alias("second"))
-    overlaps = triples.select("before", "left", "right").join(first, ["before", "left"]).join(second, ["left", "right"])
-    worse = F.greatest("first", "second")
-    beaten = overlaps.filter(F.col("first") != F.col("second")).select(worse["left"].alias("left"), worse["right"].alias("right"))
-    best = pairs.join(beaten, ["left", "right"], "left_anti").orderBy(F.desc("n"), "left", "right").limit(limit)
-    found = [tuple(row) for row in best.collect()]
-    triples.unpersist()
-    return found
-
-
-def _merge(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """Join the pairs in every word, from left to right; whole words have nothing left to join."""
-    lookup = words.sparkSession.sparkContext.broadcast(set(merges))
-    mark = len(CONTINUATION)
-
-    @F.pandas_udf("string")
-    def join_pairs(texts: pd.Series) -> pd.Series:
-        pairs = lookup.value
-
-        def join(text: str) -> str:
-            done, fresh = [], False
-            for piece in text.split(" "):
-                if done and not fresh and (done[-1], piece) in pairs:
-                    done[-1] += piece[mark:]
-                    fresh = True
-                else:
-                    done.append(piece)
-                    fresh = False
-            return " ".join(done)
-
-        return texts.map(join)
-
-    join_once = join_pairs.asNondeterministic()  # the filter below would run it a second time
-    merged = words.select("freq", F.split(join_once(F.array_join("pieces", " ")), " ").alias("pieces"))
-    return merged.filter(F.size("pieces") > 1)
+def _local_best(counts: DataFrame, bar: int, limit: int) -> list[tuple[str, str, int]]:
+    """Of the ``limit`` best pairs those of at least ``bar`` occurrences that are better than every pair they overlap.
+
+    What beats one of the best pairs is one of them, so the others need not be looked at.
+    """
+    rank = [F.desc("n"), F.col("left"), F.col("right")]
+    pairs = counts.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= bar).orderBy(*rank).limit(limit)
+    best = [tuple(row) for row in pairs.collect()]
+    places = counts.sparkSession.createDataFrame([(left, right, i) for i, (left, right, _) in enumerate(best)], "l string, r string, i int")
+    first = F.broadcast(places.select(F.col("l").alias("before"), F.col("r").alias("left"), F.col("i").alias("first")))
+    second = F.broadcast(places.select(F.col("l").alias("left"), F.col("r").alias("right"), F.col("i").alias("second")))
+    overlaps = counts.join(first, ["before", "left"]).join(second, ["left", "right"]).filter("first != second")
+    still = overlaps.groupBy("first", "second").agg(F.sum("n").alias("n")).filter("n > 0")
+    beaten = {row[0] for row in still.select(F.greatest("first", "second")).distinct().collect()}
+    return [pair for i, pair in enumerate(best) if i not in beaten]

@@ -7,7 +7,6 @@ from strandline.functions.text import clean_event, strip_underscores, vocabulary
 from strandline.operators.encoding import (
     chunk_parts_from_end,
     copy_labels,
-    decode,
     encode,
     join_parts,
     pad_sequence,
@@ -65,15 +64,16 @@ def training_rows(
     if subword:
         routed = routed.withColumn("evnt", vocabulary_text(F.col("evnt")))
     texts = to_text(customer_sequences(routed, customer=customer, **options))
-    ids = encode(texts, vocab, subword=subword).select(customer, "part", "input_ids")
-    chunks = chunk_parts_from_end(ids, customer, size=CHUNK)
+    starts = "starts" if masking == "words" else None
+    ids = encode(texts, vocab, subword=subword, starts=starts)
+    chunks = chunk_parts_from_end(ids, customer, size=CHUNK, starts=starts)
     rows = split(chunks, customer).withColumn("row_key", F.concat_ws("/", customer, "chunk"))
     if masking == "multi":
         masked = mask_multi(rows, "row_key", seed=seed)
     else:
-        rows = pad_sequence(rows)
+        rows = pad_sequence(rows, starts=starts)
         if masking == "words":
-            masked = mask_words(decode(rows, vocab), "row_key", vocab_size, seed=seed)
+            masked = mask_words(rows, "row_key", vocab_size, seed=seed, starts=starts)
         elif masking == "tokens":
             masked = mask_tokens(rows, "row_key", vocab_size, seed=seed)
         elif masking == "copy":

@@ -180,9 +180,16 @@ def test_words_encode_and_decode(spark):
 
 
 def test_too_big_a_vocabulary_is_not_broadcast(spark):
-    df = spark.createDataFrame([(1, "a b")], "id int, evnt string")
-    with pytest.raises(ValueError):
-        encode(df, word_vocabulary(df, min_frequency=1), max_pieces=3)
+    """It meets the distinct words in joins, and the result is the same."""
+    texts = [(1, "a b a\tcb"), (2, None), (3, ""), (4, "cbab zz bbb \u0065\u0301"), (4, "cbab zz bbb \u0065\u0301"), (5, "é" * 40 + " a")]
+    df = spark.createDataFrame(texts, "id int, evnt string")
+    pieces = ["[UNK]", "a", "b", "cb", "##a", "##b", "##bb", "c", "é", "##é", "##éé"]
+    vocab = spark.createDataFrame([(p, i if i < 1 else i + 4) for i, p in enumerate(pieces)], "piece string, id int")
+    for subword in (False, True):
+        many, few = (encode(df, vocab, subword=subword, starts="starts", max_pieces=n) for n in (3, 100))
+        assert sorted(many.collect(), key=str) == sorted(few.collect(), key=str) and many.columns == few.columns
+    unknown = encode(df, vocab, subword=True, max_pieces=3).filter("id = 4").first().input_ids
+    assert unknown == [7, 8, 9, 0, 6, 10, 12]
 
 
 def test_subword_encoding_is_greedy(spark):
