@@ -29,7 +29,7 @@ from strandline.operators.events import (
 from strandline.operators.features import bucket_ids, check_ids, join_features, shift_ids
 from strandline.operators.labels import keep_positive, label_events, label_sum, label_vector, multi_hot
 from strandline.operators.ordering import order_output, preview, union_all
-from strandline.operators.sampling import split, stratified_sample
+from strandline.operators.sampling import split, split_exact, stratified_sample
 from strandline.operators.sequences import day_masks, future_labels
 from strandline.sources.tables import load
 
@@ -273,3 +273,26 @@ _SPLIT_SQL = (
 def splits(spark, sf):
     rows = load(spark, sf, "events").select("event_id", "user_id")
     return split(split(rows, "user_id"), "event_id", name="row_split")
+
+
+@CATALOG.add(
+    "x2_split_exact",
+    """WITH keys AS (SELECT DISTINCT user_id FROM events),
+       first AS (SELECT user_id, row_number() OVER (ORDER BY md5('42:test:' || user_id)) AS r, count(*) OVER () AS n FROM keys),
+       tests AS (SELECT user_id FROM first WHERE r <= ceil(0.2::DOUBLE * n)),
+       rest AS (SELECT user_id, row_number() OVER (ORDER BY md5('42:valid:' || user_id)) AS r, count(*) OVER () AS n
+                FROM keys WHERE user_id NOT IN (SELECT user_id FROM tests)),
+       valids AS (SELECT user_id FROM rest WHERE r <= ceil(0.1::DOUBLE * n)),
+       row_first AS (SELECT event_id, row_number() OVER (ORDER BY md5('42:test:' || event_id)) AS r, count(*) OVER () AS n FROM events),
+       row_rest AS (SELECT event_id, row_number() OVER (ORDER BY md5('42:valid:' || event_id)) AS r, count(*) OVER () AS n
+                    FROM row_first WHERE r > ceil(0.2::DOUBLE * n))
+       SELECT e.event_id, user_id,
+         CASE WHEN user_id IN (SELECT user_id FROM tests) THEN 'test' WHEN user_id IN (SELECT user_id FROM valids) THEN 'valid'
+              ELSE 'train' END AS split,
+         CASE WHEN q.r IS NULL THEN 'test' WHEN q.r <= ceil(0.1::DOUBLE * q.n) THEN 'valid' ELSE 'train' END AS row_split
+       FROM events e LEFT JOIN row_rest q USING (event_id)""",
+)
+def exact_splits(spark, sf):
+    """Customers stay together, and the sizes are those of the shares to the customer, or to the row."""
+    rows = load(spark, sf, "events").select("event_id", "user_id")
+    return split_exact(split_exact(rows, "user_id"), "event_id", name="row_split")

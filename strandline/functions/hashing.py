@@ -16,8 +16,12 @@ def hash_hex(*parts) -> Column:
 
     Their order as text is their order as numbers, so draws compare without a conversion.
     """
-    text = F.concat_ws(":", *[_column(p).cast("string") for p in parts])
-    return F.substring(F.md5(text), 1, 8)
+    return F.substring(whole_hash(*parts), 1, 8)
+
+
+def whole_hash(*parts) -> Column:
+    """All 32 hex digits: different parts don't tie."""
+    return F.md5(F.concat_ws(":", *[_column(p).cast("string") for p in parts]))
 
 
 def hash32(*parts) -> Column:

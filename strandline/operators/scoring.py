@@ -2,16 +2,14 @@
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandline.constants import N_CLASSES, TAIL_WORDS
 from strandline.functions.text import words
+from strandline.operators.label_model import HASH_BITS, LabelModel, fit
 from strandline.sources.shared import stored
 
 
@@ -27,45 +25,26 @@ def score(df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.D
 
 
 def fit_labels(
-    train: DataFrame, text: str = "x", y: str = "y", n_classes: int = N_CLASSES, hash_bits: int = 18, max_iter: int = 20
-) -> PipelineModel:
-    """One logistic regression per class on word counts; a class seen with one value only is constant.
+    train: DataFrame, text: str = "x", y: str = "y", n_classes: int = N_CLASSES, hash_bits: int = HASH_BITS, max_iter: int = 20
+) -> LabelModel:
+    """A logistic regression for each class on word counts, all in the same passes; see ``label_model``.
 
     Words are hashed to 2 ** ``hash_bits`` features, so none is left out, however many there are.
     """
-    for k in range(n_classes):
-        train = train.withColumn(f"__y{k}", F.col(y)[k].cast("double"))
-    counter = Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text, outputCol="__words", pattern=" +", toLowercase=False),
-            HashingTF(inputCol="__words", outputCol="__counts", numFeatures=1 << hash_bits),
-        ]
-    ).fit(train)
-    counted = counter.transform(train).select("__counts", *[f"__y{k}" for k in range(n_classes)])
-    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)  # read once per class
-    models = [
-        LogisticRegression(
-            featuresCol="__counts",
-            labelCol=f"__y{k}",
-            predictionCol=f"__pred{k}",
-            probabilityCol=f"__prob{k}",
-            rawPredictionCol=f"__raw{k}",
-            family="binomial",
-            maxIter=max_iter,
-            regParam=0.01,
-        ).fit(counted)
-        for k in range(n_classes)
-    ]
-    counted.unpersist()
-    return PipelineModel(stages=[*counter.stages, *models])
-
-
-def predict_labels(model: PipelineModel, df: DataFrame, n_classes: int = N_CLASSES) -> DataFrame:
+    return fit(train, text, y, n_classes, hash_bits, max_iter)
+
+
+def predict_labels(model: LabelModel, df: DataFrame, n_classes: int = N_CLASSES, text: str = "x") -> DataFrame:
     """Add arrays ``probs`` and ``preds``, one entry per class."""
-    scored = model.transform(df)
-    probs = [vector_to_array(f"__prob{k}")[1] for k in range(n_classes)]
-    preds = [F.col(f"__pred{k}").cast("int") for k in range(n_classes)]
-    return scored.select(*df.columns, F.array(*probs).alias("probs"), F.array(*preds).alias("preds"))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("array<double>")
+    def probabilities(texts: pa.Array) -> pa.Array:
+        found = shared.value.probabilities(texts)[:, :n_classes]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * n_classes, pa.int32()), pa.array(found.ravel()))
+
+    scored = df.withColumn("probs", probabilities.asNondeterministic()(text))
+    return scored.withColumn("preds", F.transform("probs", lambda p: (p > 0.5).cast("int")))
 
 
 def next_event_model(train: DataFrame, key: str, text: str = "evnt", part: str = "part") -> DataFrame:

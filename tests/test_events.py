@@ -1,3 +1,6 @@
+import hashlib
+import math
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -14,7 +17,8 @@ from strandline.operators.events import (
 from strandline.operators.features import bucket_ids, check_ids, join_features, shift_ids
 from strandline.operators.labels import flags, label_bit, label_events, label_sum, multi_hot
 from strandline.operators.ordering import union_all
-from strandline.operators.sampling import split, stratified_sample
+from strandline.operators import sampling
+from strandline.operators.sampling import split, split_exact, stratified_sample
 from strandline.sources.tables import scan_until
 
 
@@ -134,3 +138,26 @@ def test_stratified_sample_drops_unlisted_classes(spark):
     df = spark.range(10_000).selectExpr("id", "CASE WHEN id % 4 < 3 THEN id % 4 END AS label")
     got = {r.label: r.n for r in stratified_sample(df, "label", {0: 0.1, 1: 1.0}, "id").groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert set(got) == {0, 1} and got[1] == 2500 and abs(got[0] / 2500 - 0.1) < 0.03
+
+
+@pytest.mark.parametrize("few", [1, 4_096])
+def test_exact_split_sizes(spark, monkeypatch, few):
+    """ceil of the share of the keys, then of those that are left; null is a key, and any partitioning gives the same."""
+    monkeypatch.setattr(sampling, "FEW", few)
+    for n in (1, 2, 5, 999, 3_000):
+        df = spark.range(4 * n).select(F.when(F.col("id") % n > 0, F.col("id") % n).alias("customer"), "id")
+        parts = split_exact(df, "customer")
+        sizes = {r.split: r.n for r in parts.select("customer", "split").distinct().groupBy("split").agg(F.count("*").alias("n")).collect()}
+        test = math.ceil(0.2 * n)
+        valid = math.ceil(0.1 * (n - test))
+        assert sizes == {k: v for k, v in {"test": test, "valid": valid, "train": n - test - valid}.items() if v}
+        assert n < 999 or split_exact(df.repartition(13), "customer").exceptAll(parts).isEmpty()
+    assert split_exact(df.limit(0), "customer").count() == 0
+
+
+def test_exact_split_takes_the_smallest_hashes(spark):
+    rows = split_exact(spark.range(500), "id", test=0.3, valid=0.5, seed=7).collect()
+    order = sorted(range(500), key=lambda i: hashlib.md5(f"7:test:{i}".encode()).hexdigest())
+    assert {r.id for r in rows if r.split == "test"} == set(order[:150])
+    rest = sorted(order[150:], key=lambda i: hashlib.md5(f"7:valid:{i}".encode()).hexdigest())
+    assert {r.id for r in rows if r.split == "valid"} == set(rest[:175])
