@@ -2,7 +2,8 @@
 
 Texts are counted once and stored as blocks of sparse rows. Every step of the fit is one pass over the blocks for all
 labels: a task adds up its loss and gradient, a few tasks add those of the others, and the driver takes a step of
-L-BFGS. What moves is the size of the model, 2 ** ``hash_bits`` numbers a label, whatever the size of the table.
+L-BFGS. What moves is a number for each label and word hash that occurs, of which there are 2 ** ``hash_bits`` at most,
+whatever the size of the table.
 """
 
 import math
@@ -97,22 +98,32 @@ def _pack(bits: int):
     return pack
 
 
-def _partial(model, fan: int, n_labels: int, size: int):
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word hashes that a task has."""
+    found = np.empty(0, np.int32)
+    for batch in batches:
+        for blob in batch["block"]:
+            found = np.union1d(found, pickle.loads(blob.as_buffer())[0].columns)
+    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], ["feature"])
+
+
+def _partial(model, fan: int, n_labels: int):
     """One row for each task that has blocks: its loss and gradient as bytes."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        point = model.value.reshape(size + 1, n_labels)
+        features, point = model.value
         total, loss, task = None, np.zeros(n_labels), 0
         for batch in batches:
             for blob in batch["block"]:
                 rows, y = pickle.loads(blob.as_buffer())
-                total = np.zeros_like(point) if total is None else total
+                rows.columns = np.searchsorted(features, rows.columns)
+                if total is None:
+                    total, task = np.zeros_like(point), zlib.crc32(blob.as_buffer())
                 scores = rows.times(point[:-1]) + point[-1]
                 loss += _loss(scores, y).sum(axis=0)
                 error = _sigmoid(scores) - y
                 rows.add_transposed(error, total)
                 total[-1] += error.sum(axis=0)
-                task = zlib.crc32(blob.as_buffer()) if not task else task
         if total is not None:
             whole = np.concatenate([loss[None], total]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([task % fan], pa.int32()), pa.array([whole], pa.binary())], ["slot", "part"])
@@ -136,24 +147,27 @@ def fit(
     n, *ones = blocks.agg(F.sum("n"), *[F.sum(F.get("ones", F.lit(k))) for k in range(n_labels)]).first()
     share = np.array(ones, float) / n if n else np.zeros(n_labels)
     open_ = (share > 0) & (share < 1)
-    start = np.zeros((size + 1, n_labels))
+    features = np.sort(blocks.select("block").mapInArrow(_features, "feature int").distinct().toArrow()["feature"].to_numpy())
+    start = np.zeros((len(features) + 1, n_labels))
     start[-1, open_] = np.log(share[open_] / (1 - share[open_]))
     fan = max(1, math.isqrt(blocks.rdd.getNumPartitions()))
 
     def objective(flat: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = spark.sparkContext.broadcast(flat)
-        partial = blocks.select("block").mapInArrow(_partial(shared, fan, n_labels, size), "slot int, part binary")
+        point = flat.reshape(start.shape)
+        shared = spark.sparkContext.broadcast((features, point))
+        partial = blocks.select("block").mapInArrow(_partial(shared, fan, n_labels), "slot int, part binary")
         added = partial.groupBy("slot").applyInArrow(_add_up, "part binary").toArrow()
         shared.destroy()
-        whole = sum(np.frombuffer(part.as_buffer(), float) for part in added["part"].combine_chunks()).reshape(size + 2, n_labels)
-        point = flat.reshape(size + 1, n_labels)
+        whole = sum(np.frombuffer(part.as_buffer(), float) for part in added["part"].combine_chunks()).reshape(-1, n_labels)
         gradient = whole[1:] / n
         gradient[:-1] += ridge * point[:-1]
         gradient[:, ~open_] = 0
         return float((whole[0] / n)[open_].sum() + ridge / 2 * (point[:-1] ** 2).sum()), gradient.ravel()
 
-    point = minimise(objective, start.ravel(), max_iter).reshape(size + 1, n_labels) if open_.any() else start
-    return LabelModel(point[:-1], point[-1], np.where(open_, np.nan, np.round(share)))
+    point = minimise(objective, start.ravel(), max_iter).reshape(start.shape) if open_.any() else start
+    weights = np.zeros((size, n_labels))
+    weights[features] = point[:-1]
+    return LabelModel(weights, point[-1], np.where(open_, np.nan, np.round(share)))
 
 
 def minimise(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], point: np.ndarray, steps: int, least: float = 1e-7) -> np.ndarray:

@@ -27,9 +27,11 @@ COMPACT_ROUNDS = 8
 
 def word_counts(df: DataFrame, text: str = "evnt", min_frequency: int = 1, limit: int | None = None) -> DataFrame:
     """Rows (word, freq) in Unicode normal form C; ``limit`` keeps the most frequent words, ties by word."""
-    raw = df.select(F.explode(spaced_words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    same = raw.groupBy(composed(F.col("word")).alias("word")).agg(F.sum("freq").alias("freq"))  # distinct words only
-    counts = same.filter(F.col("freq") >= min_frequency)
+    perhaps = F.coalesce(F.col(text).rlike(PERHAPS_DECOMPOSED), F.lit(False))  # hardly any text
+    words_of = F.explode(spaced_words(F.col(text))).alias("word")
+    same = df.filter(~perhaps).select(words_of)
+    other = df.filter(perhaps).select(words_of).select(composed(F.col("word")).alias("word"))
+    counts = same.unionByName(other).groupBy("word").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_frequency)
     if limit is None:
         return counts
     ranked = with_position(counts, F.col("freq").desc(), F.col("word"))
