@@ -9,6 +9,10 @@ the shards' n-grams: a bucket adds up what all shards have and answers with what
 which is nothing for an n-gram of one shard. Shards then sum up the scores of
 each document. An n-gram that stands everywhere reaches its bucket once per shard, combined.
 
+Words and bigrams are joined first. A longer n-gram can only stand in another shard if both n-grams of one token less
+do, the one it begins and the one it ends with; so trigrams are sent when the answers for bigrams are there, and those
+that no other shard can have, over half of them, are counted where they are and never move.
+
 Tokens are runs without ASCII white space, in lower case; n-grams are told apart by 64-bit hashes. Null and empty
 texts have no tokens and the score 0. Rows that repeat a ``doc_id`` are documents of their own, null ids too. Other
 columns are not read. An empty table gives an empty result.
@@ -28,6 +32,7 @@ BACKOFF = 0.4
 ORDER = 3
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
+_ANSWERS = "shard int, n int, bucket int, others binary"
 RESULT = "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double"
 
 
@@ -67,20 +72,67 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _counts_of(shard, n: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[dict]:
+    return [
+        {"shard": shard, "n": n, "bucket": bucket, "keys": packed_keys(keys[start:end]), "counts": packed_extra(counts[start:end] - 1)}
+        for bucket, start, end in slices(keys, buckets)
+    ]
+
+
 def _count_shard(buckets: int, order: int):
+    """The words and bigrams of a shard."""
+
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        rows = []
-        for n, (keys, counts) in enumerate(Grams(table["text"].to_pylist(), order).distinct()):
-            for bucket, start, end in slices(keys, buckets):
-                rows.append({
-                    "shard": key[0].as_py(), "n": n, "bucket": bucket, "keys": packed_keys(keys[start:end]),
-                    "counts": packed_extra(counts[start:end] - 1),
-                })
+        distinct = Grams(table["text"].to_pylist(), min(order, 2)).distinct()
+        rows = [row for n, found in enumerate(distinct) for row in _counts_of(key[0].as_py(), n, *found, buckets)]
         return pa.Table.from_pylist(rows, COUNTS)
 
     return count
 
 
+def _count_longer(buckets: int, n: int):
+    """Of the n-grams of ``n`` + 1 tokens those that another shard may have."""
+
+    def count(key: tuple, documents: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = Grams(documents["text"].to_pylist(), n + 1)
+        before = _answered(grams, answers, buckets, n)[-1]
+        found = np.unique(grams.keys[n][_perhaps_elsewhere(grams, n, before)], return_counts=True)
+        return pa.Table.from_pylist(_counts_of(key[0].as_py(), n, *found, buckets), COUNTS)
+
+    return count
+
+
+def _perhaps_elsewhere(grams: Grams, n: int, before: np.ndarray) -> np.ndarray:
+    """Whether the n-gram of ``n`` + 1 tokens up to each token is sent: ``before`` says which of one token less others have."""
+    has = grams.place >= n
+    if n > 1:
+        has = has & before
+        has[1:] &= before[:-1]
+    return has
+
+
+def _answered(grams: Grams, answers: pa.Table, buckets: int, order: int, totals: list[np.ndarray] | None = None) -> list[np.ndarray]:
+    """By order and token, whether another shard has the n-gram. Adds up ``totals`` of the distinct n-grams, if given."""
+    sent = {(n, bucket): data for n, bucket, data in zip(
+        answers["n"].to_pylist(), answers["bucket"].to_pylist(), column_arrays(answers, "others", np.uint8)
+    )}
+    known: list[np.ndarray] = []
+    for n in range(order):
+        has = _perhaps_elsewhere(grams, n, known[-1] if known else np.empty(0))
+        keys = np.unique(grams.keys[n][has])
+        parts = [unpacked_extra(sent[n, bucket], end - start) for bucket, start, end in slices(keys, buckets)]
+        others = np.concatenate([np.empty(0, np.int64), *parts])
+        at = np.zeros(len(has), bool)
+        if len(keys):
+            at[has] = others[np.searchsorted(keys, grams.keys[n][has])] > 0
+        known.append(at)
+        if totals is not None:
+            distinct, counts = np.unique(grams.keys[n][grams.place >= n], return_counts=True)
+            counts[np.searchsorted(distinct, keys)] += others
+            totals.append(counts)
+    return known
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as gaps, in as many bytes as the largest gap takes: the first key, that width, the bytes in planes."""
     gaps = np.diff(keys)
@@ -97,15 +149,22 @@ def unpacked_keys(data: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([data[:8].copy().view("<u8"), gaps.reshape(-1).view("<u8")]), dtype=np.uint64)
 
 
+_LARGE = 255
+
+
 def packed_extra(extra: np.ndarray) -> bytes:
-    """Numbers of which most are zero: a bit for each, then those that are not, as int64."""
-    return np.packbits(extra > 0).tobytes() + extra[extra > 0].astype(np.int64).tobytes()
+    """Numbers of which most are zero and few are large: a bit for each, a byte for others, int64 where that is full."""
+    some = extra[extra > 0]
+    return np.packbits(extra > 0).tobytes() + np.minimum(some, _LARGE).astype(np.uint8).tobytes() + some[some >= _LARGE].astype(np.int64).tobytes()
 
 
 def unpacked_extra(data: np.ndarray, size: int) -> np.ndarray:
     bits = (size + 7) // 8
+    places = np.flatnonzero(np.unpackbits(data[:bits], count=size))
+    some = data[bits : bits + len(places)].astype(np.int64)
+    some[some == _LARGE] = data[bits + len(places) :].copy().view(np.int64)
     extra = np.zeros(size, np.int64)
-    extra[np.unpackbits(data[:bits], count=size).astype(bool)] = data[bits:].copy().view(np.int64)
+    extra[places] = some
     return extra
 
 
@@ -149,13 +208,8 @@ def scores(grams: Grams, totals: list[np.ndarray], all_tokens: int) -> np.ndarra
 def _score_shard(buckets: int, order: int, all_tokens: int):
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(documents["text"].to_pylist(), order)
-        sent = {(n, bucket): data for n, bucket, data in zip(
-            answers["n"].to_pylist(), answers["bucket"].to_pylist(), column_arrays(answers, "others", np.uint8)
-        )}
-        totals = []
-        for n, (keys, counts) in enumerate(grams.distinct()):
-            parts = [unpacked_extra(sent[n, bucket], end - start) for bucket, start, end in slices(keys, buckets)]
-            totals.append(counts + np.concatenate([np.empty(0, np.int64), *parts]))
+        totals: list[np.ndarray] = []
+        _answered(grams, answers, buckets, order, totals)
         sums = scores(grams, totals, all_tokens)
         means = sums / np.maximum(grams.sizes, 1)
         return pa.table({
@@ -172,6 +226,9 @@ def lm_scores(documents: DataFrame, order: int = ORDER, shard_bytes: int | None
     all_tokens = documents.agg(counted).first()[0] or 0
     rows = sharded(documents, shards)
     counts = rows.groupBy("shard").applyInArrow(_count_shard(shards, order), COUNTS_DDL)
-    others = counts.groupBy("n", "bucket").applyInArrow(_answer, "shard int, n int, bucket int, others binary")
+    others = counts.groupBy("n", "bucket").applyInArrow(_answer, _ANSWERS)
+    for n in range(2, order):
+        more = rows.groupBy("shard").cogroup(others.groupBy("shard")).applyInArrow(_count_longer(shards, n), COUNTS_DDL)
+        others = others.unionByName(more.groupBy("n", "bucket").applyInArrow(_answer, _ANSWERS))
     both = rows.groupBy("shard").cogroup(others.groupBy("shard"))
     return both.applyInArrow(_score_shard(shards, order, all_tokens), RESULT)

@@ -244,7 +244,7 @@ def test_benchmark_query(spark):
     assert found == want and want
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_lm_scores(odd, none, order):
     docs = [(r.doc_id, (r.text or "").lower().encode().split()) for r in odd.collect()]
     counts = [Counter() for _ in range(order)]
