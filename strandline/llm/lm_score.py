@@ -22,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, functions as F
 
 from strandline.llm.sharding import COUNTS, COUNTS_DDL, column_arrays, shard_count, sharded, slices
@@ -44,16 +45,16 @@ class Grams:
     """The n-grams of some texts: ``keys[n - 1][i]`` is that of the n tokens up to token i, 0 where a text has fewer."""
 
     def __init__(self, texts: list[str | None], order: int):
-        known: dict[bytes, int] = {}
-        number, places, sizes = known.setdefault, [], []
-        for text in texts:
-            found = tokens(text)
-            sizes.append(len(found))
-            places.append(np.fromiter((number(token, len(known)) for token in found), np.int64, len(found)))
-        self.sizes = np.array(sizes, np.int64)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(token) for token in known), np.uint64, len(known))
-        words = hashes[np.concatenate(places)] if places else np.empty(0, np.uint64)
-        self.document = np.repeat(np.arange(len(texts)), self.sizes)
+        lowered = pa.array([(text or "").lower() for text in texts], pa.large_string())
+        lists = pc.ascii_split_whitespace(lowered)  # as ``tokens`` does, but for empty ones at the ends
+        flat = lists.flatten()
+        real = pc.binary_length(flat).to_numpy() > 0
+        document = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))[real]
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False)
+        hashes = hash_array(known, categorize=False) if len(known) else np.empty(0, np.uint64)
+        words = hashes[coded.indices.to_numpy()]
+        self.document, self.sizes = document, np.bincount(document, minlength=len(texts))
         self.place = np.arange(len(words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.keys = [words]
         for n in range(2, order + 1):
@@ -61,12 +62,39 @@ class Grams:
             longer[1:] = _mixed(self.keys[-1][:-1] * _MULTIPLIERS[0] + words[1:])
             longer[self.place < n - 1] = 0
             self.keys.append(longer)
+        self._counted: dict[int, Counted] = {}
+
+    def counted(self, n: int) -> "Counted":
+        """The n-grams of ``n`` + 1 tokens, sorted once."""
+        if n not in self._counted:
+            self._counted[n] = Counted(self.keys[n], self.place >= n, self.document)
+        return self._counted[n]
 
     def distinct(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Sorted keys and counts by order. Histories are n-grams that don't end their text, so they are here too."""
         return [np.unique(keys[self.place >= n], return_counts=True) for n, keys in enumerate(self.keys)]
 
 
+class Counted:
+    """The distinct n-grams of one order: ``keys`` and ``counts``; by token the ``entry`` among them (0 where a text has
+    fewer tokens), and how often the token's own document has it (``own``)."""
+
+    def __init__(self, keys: np.ndarray, has: np.ndarray, document: np.ndarray):
+        places = np.flatnonzero(has)
+        order = places[np.argsort(keys[places], kind="stable")]  # equal keys stay in the order of documents
+        keys, document = keys[order], document[order]
+        new = np.ones(len(order), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(new)
+        self.keys, self.counts = keys[first], np.diff(np.append(first, len(order)))
+        self.entry, self.own = np.zeros(len(has), np.int64), np.zeros(len(has), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        new[1:] |= document[1:] != document[:-1]
+        first = np.flatnonzero(new)
+        runs = np.diff(np.append(first, len(order)))
+        self.own[order] = np.repeat(runs, runs)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * _MULTIPLIERS[1]
     return x ^ (x >> np.uint64(32))
@@ -95,13 +123,24 @@ def _count_longer(buckets: int, n: int):
 
     def count(key: tuple, documents: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(documents["text"].to_pylist(), n + 1)
-        before = _answered(grams, answers, buckets, n)[-1]
+        before = np.empty(0)
+        for m in range(1, n):
+            has = _perhaps_elsewhere(grams, m, before)
+            keys = np.unique(grams.keys[m][has])
+            before = has & _among(keys[_answers_to(keys, m, answers, buckets) > 0], grams.keys[m])
         found = np.unique(grams.keys[n][_perhaps_elsewhere(grams, n, before)], return_counts=True)
         return pa.Table.from_pylist(_counts_of(key[0].as_py(), n, *found, buckets), COUNTS)
 
     return count
 
 
+def _among(few: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    if not len(few):
+        return np.zeros(len(keys), bool)
+    return few[np.minimum(np.searchsorted(few, keys), len(few) - 1)] == keys
+
+
 def _perhaps_elsewhere(grams: Grams, n: int, before: np.ndarray) -> np.ndarray:
     """Whether the n-gram of ``n`` + 1 tokens up to each token is sent: ``before`` says which of one token less others have."""
     has = grams.place >= n
@@ -111,26 +150,22 @@ def _perhaps_elsewhere(grams: Grams, n: int, before: np.ndarray) -> np.ndarray:
     return has
 
 
-def _answered(grams: Grams, answers: pa.Table, buckets: int, order: int, totals: list[np.ndarray] | None = None) -> list[np.ndarray]:
-    """By order and token, whether another shard has the n-gram. Adds up ``totals`` of the distinct n-grams, if given."""
-    sent = {(n, bucket): data for n, bucket, data in zip(
-        answers["n"].to_pylist(), answers["bucket"].to_pylist(), column_arrays(answers, "others", np.uint8)
-    )}
-    known: list[np.ndarray] = []
-    for n in range(order):
-        has = _perhaps_elsewhere(grams, n, known[-1] if known else np.empty(0))
-        keys = np.unique(grams.keys[n][has])
-        parts = [unpacked_extra(sent[n, bucket], end - start) for bucket, start, end in slices(keys, buckets)]
-        others = np.concatenate([np.empty(0, np.int64), *parts])
-        at = np.zeros(len(has), bool)
-        if len(keys):
-            at[has] = others[np.searchsorted(keys, grams.keys[n][has])] > 0
-        known.append(at)
-        if totals is not None:
-            distinct, counts = np.unique(grams.keys[n][grams.place >= n], return_counts=True)
-            counts[np.searchsorted(distinct, keys)] += others
-            totals.append(counts)
-    return known
+def _answers_to(keys: np.ndarray, n: int, answers: pa.Table, buckets: int) -> np.ndarray:
+    """How often other shards have the n-grams of ``n`` + 1 tokens that were sent."""
+    of_order = answers.filter(pc.equal(answers["n"], n))
+    parts = dict(zip(of_order["bucket"].to_pylist(), column_arrays(of_order, "others", np.uint8)))
+    found = [unpacked_extra(parts[bucket], end - start) for bucket, start, end in slices(keys, buckets)]
+    return np.concatenate([np.empty(0, np.int64), *found])
+
+
+def _in_other_shards(grams: Grams, answers: pa.Table, buckets: int, n: int, before: np.ndarray) -> np.ndarray:
+    """The same for each distinct n-gram, sent or not."""
+    counted = grams.counted(n)
+    sent = np.zeros(len(counted.keys), bool)
+    sent[counted.entry[_perhaps_elsewhere(grams, n, before)]] = True
+    others = np.zeros(len(counted.keys), np.int64)
+    others[sent] = _answers_to(counted.keys[sent], n, answers, buckets)
+    return others
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -184,18 +219,10 @@ def _answer(table: pa.Table) -> pa.Table:
 def scores(grams: Grams, totals: list[np.ndarray], all_tokens: int) -> np.ndarray:
     """The summed log scores of the texts, given the corpus counts of the sorted distinct n-grams by order."""
     others = []  # by order: how often other documents have the n-gram up to each token
-    for n, (keys, _) in enumerate(grams.distinct()):
-        if not len(keys):
-            others.append(np.zeros(len(grams.place), np.int64))
-            continue
-        entry = np.searchsorted(keys, grams.keys[n])
+    for n, total in enumerate(totals):
+        counted = grams.counted(n)
         has = grams.place >= n
-        _, pair, own = np.unique(
-            grams.document[has] * len(keys) + entry[has], return_inverse=True, return_counts=True
-        )
-        other = np.zeros(len(has), np.int64)
-        other[has] = totals[n][entry[has]] - own[pair]
-        others.append(other)
+        others.append(np.where(has, total[counted.entry] - counted.own, 0) if len(total) else np.zeros(len(has), np.int64))
     outside = all_tokens - grams.sizes[grams.document]
     share = np.where(others[0] > 0, others[0], 1) / (outside + (others[0] == 0))
     for n in range(1, len(others)):
@@ -208,8 +235,11 @@ def scores(grams: Grams, totals: list[np.ndarray], all_tokens: int) -> np.ndarra
 def _score_shard(buckets: int, order: int, all_tokens: int):
     def score(documents: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(documents["text"].to_pylist(), order)
-        totals: list[np.ndarray] = []
-        _answered(grams, answers, buckets, order, totals)
+        totals, before = [], np.empty(0)
+        for n in range(order):
+            others = _in_other_shards(grams, answers, buckets, n, before)
+            before = others[grams.counted(n).entry] > 0 if len(others) else np.zeros(len(grams.place), bool)
+            totals.append(grams.counted(n).counts + others)
         sums = scores(grams, totals, all_tokens)
         means = sums / np.maximum(grams.sizes, 1)
         return pa.table({
