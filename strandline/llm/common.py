@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandline.operators.ordering import broadcast_if_small
 from strandline.sources.shared import stored
 
 #: [\x20\x09-\x0D]
@@ -55,12 +56,14 @@ def drop_rows(documents: DataFrame, mark: Column, lost: DataFrame) -> DataFrame:
     same = again.withColumnRenamed("doc_id", "__doc_id")
     found = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col(_MARK) == F.col("mark"))
     copies = left.join(same, found, "left_semi")
-    one = copies.groupBy("doc_id", _MARK).agg(F.min(F.struct(*[c for c in columns])).alias("row")).select("row.*")
+    row = F.struct(*columns)  # columns may be of kinds that have no order, such as maps
+    one = copies.groupBy("doc_id", _MARK).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return _without(left, again).select(columns).unionByName(one)
 
 
 def _without(marked: DataFrame, lost: DataFrame) -> DataFrame:
-    lost = lost.withColumnRenamed("doc_id", "__doc_id")
+    """Texts stay where they are, unless too many rows are lost to be known everywhere."""
+    lost = broadcast_if_small(lost.withColumnRenamed("doc_id", "__doc_id"))
     found = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col(_MARK) == F.col("mark"))
     return marked.join(lost, found, "left_anti")
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 from conftest import SF
+from test_similar import reached, slow_pairs
 from odd_rows import none, odd  # noqa: F401
 from oracle import connect, differences
 from pyspark.sql import functions as F
@@ -166,11 +167,8 @@ def test_pipeline(spark, monkeypatch):
         groups["".join(texts[i].split())].append(i)
     assert set(ids[2]) == {min(g, key=lambda i: (-len(texts[i]), i)) for g in groups.values()}
 
-    prints = {i: simhash.fingerprint(texts[i]) & (2**64 - 1) for i in ids[2]}
-    reach = {i: i for i in prints}
-    for _ in range(10):
-        reach = {i: min(reach[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3) for i in prints}
-    assert set(ids[3]) == set(reach.values())
+    near = {i: texts[i] for i in sorted(ids[2])}
+    assert set(ids[3]) == {list(near)[n] for n in reached(near, slow_pairs(near)).values()}
 
     items = [b" ".join(decontaminate.words(r.text)) for r in queries.table(spark, SF, "benchmark").collect()]
     assert set(ids[4]) == {i for i in ids[3] if not any(item in b" ".join(decontaminate.words(texts[i])) for item in items)}

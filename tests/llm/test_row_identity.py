@@ -28,3 +28,11 @@ def test_contaminated_rows(spark):
     documents = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], SCHEMA)
     benchmark = spark.createDataFrame([(1, LONG)], "item_id bigint, text string")
     assert sorted(r.n for r in decontaminate.drop_contaminated(documents, benchmark).collect()) == [1, 3, 4, 5]
+
+
+def test_rows_with_maps(spark):
+    """A column without an order doesn't matter, repeated rows or not."""
+    rows = [(1, "same", {"a": 1}), (1, "same", {"b": 2}), (2, "same", None), (3, "other", {})]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, more map<string, int>")
+    kept = exact_dedup.drop_exact_duplicates(documents)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == documents.columns

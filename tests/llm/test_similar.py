@@ -58,6 +58,18 @@ def test_similar_pairs(spark, edited, crowd, monkeypatch):
     assert sum((prints[a] ^ prints[b]).bit_count() > 3 for a, b in want) > 50
     assert got <= want and (got == want or crowd < 200)
     assert reached(edited, got) == reached(edited, want)
+    few = {(r.a, r.b) for r in similar.similar_links(rows, crowd, connecting=True).collect()}
+    assert few <= got and reached(edited, few) == reached(edited, want)
+
+
+def test_a_group_is_not_compared_all_with_all(spark):
+    """Of 60 near copies each is compared once; a text that only resembles some of them is found too."""
+    draw = random.Random(8)
+    base = [f"w{n}" for n in range(200)]
+    texts = [" ".join([*base[:n], "new", *base[n:]]) for n in draw.sample(range(200), 60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    links = similar.similar_links(rows, connecting=True).collect()
+    assert len(links) < 2 * len(texts) and set(reached(range(60), [tuple(r) for r in links]).values()) == {0}
 
 
 def test_stage_keeps_one_of_similar(spark, edited):
