@@ -105,3 +105,13 @@ def test_sketches_leave_no_similar_pair_out():
         a, b = (similar.shingles(" ".join(w)) for w in (words, new))
         apart = (similar.sketch(a) ^ similar.sketch(b)).tobytes()
         assert sum(byte.bit_count() for byte in apart) <= len(set(a) ^ set(b))
+        fine = similar.apart(similar.fine_sketch(a), similar.fine_sketch(b))
+        assert fine <= len(set(a) ^ set(b)) and fine >= similar.apart(similar.sketch(a), similar.sketch(b))
+
+
+def test_fine_sketches_fold():
+    """A wider sketch folded is the narrower one, and it tells sets apart that the 512 bits don't."""
+    a, b = (similar.shingles(" ".join(f"{name}{n % 700 if n < 700 else n}" for n in range(2_000))) for name in "ab")
+    assert similar.apart(similar.fine_sketch(a), similar.sketch(a)) == 0
+    assert 9 * similar.apart(similar.fine_sketch(a), similar.fine_sketch(b)) > len(a) + len(b)
+    assert 9 * similar.apart(similar.sketch(a), similar.sketch(b)) <= len(a) + len(b)
