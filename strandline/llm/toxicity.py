@@ -7,12 +7,14 @@ weights, in total and by length.
 
 A null or empty text has no match and gets the score of such a text. Rows that repeat a ``doc_id`` are scored each for
 itself; a null ``doc_id`` is scored and never learned from. Labels that are null are not used, of several labels of a
-document the largest counts. Only ``doc_id`` and ``text`` are read from the documents. An empty table gives an empty
-result; without labels of both kinds nothing can be learned, which is an error.
+document the largest counts, and of texts that share a ``doc_id`` the least is learned from. Only ``doc_id`` and
+``text`` are read from the documents. An empty table gives an empty result. Without labelled texts of both kinds nothing
+can be told apart: the lexicon is empty, and every text gets the same score, below one half. What is learned depends
+on the rows alone, not on how they are partitioned.
 """
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -25,7 +27,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Labelled rows to learn from at most: those with the smallest hashes of their ``doc_id``.
 TRAIN_ROWS = 12_000
-MAX_TERMS = 4_000
 #: A term's counts in toxic and clean texts differ by a log-likelihood ratio of so much: a chance of 1 in 10 million.
 MIN_RATIO = 28.0
 STEM_LETTERS = (4, 5, 6, 7)
@@ -86,35 +87,37 @@ class Lexicon:
 
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for term, weight in self.weights.items():
-            for pattern in with_i_for_l(term):
-                if pattern == term or pattern not in self.weights:
-                    found.add_word(pattern, (len(pattern), weight))
-        for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), None))
+        alike: dict[str, list[tuple[str, float | None]]] = defaultdict(list)
+        for term, weight in [*self.weights.items(), *((phrase, None) for phrase in self.exceptions)]:
+            alike[_i_for_l(term)].append((term, weight))
+        for pattern, terms in alike.items():
+            found.add_word(pattern, terms)
         found.make_automaton()
         return found
 
 
-def with_i_for_l(term: str, most: int = 4) -> list[str]:
-    """The ways to write i, what 1 and | are folded to, for some of the first ``most`` l."""
-    parts = term.split("l", most)
-    ways = [parts[0]]
-    for part in parts[1:]:
-        ways = [way + letter + part for way in ways for letter in "li"]
-    return ways
+def _i_for_l(text: str) -> str:
+    return text.replace("l", "i")
+
+
+def _written_as(term: str, seen: str) -> bool:
+    """Whether ``seen`` is the term with i, what 1 and | are folded to, for some of its l."""
+    return all(a == b or (a == "l" and b == "i") for a, b in zip(term, seen))
 
 
 def matches(folded: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, float]]:
     """(start, end, weight) of the strongest match that starts at a word and isn't inside an exception."""
     hits: dict[int, tuple[int, float]] = {}
     excused: list[tuple[int, int]] = []
-    for last, (length, weight) in automaton.iter(folded) if len(automaton) else ():
-        start = last + 1 - length
-        if weight is None:
-            excused.append((start, last + 1))
-        elif start not in hits or weight > hits[start][1]:
-            hits[start] = (last + 1, weight)
+    for last, terms in automaton.iter(_i_for_l(folded)) if len(automaton) else ():
+        end = last + 1
+        start = end - len(terms[0][0])
+        seen = folded[start:end]
+        excused += [(start, end) for phrase, weight in terms if weight is None and phrase == seen]
+        weights = {term: weight for term, weight in terms if weight is not None and _written_as(term, seen)}
+        weight = weights.get(seen, max(weights.values(), default=None))
+        if weight is not None and (start not in hits or weight > hits[start][1]):
+            hits[start] = (end, weight)
     return [
         (start, end, weight) for start, (end, weight) in sorted(hits.items())
         if not any(a <= start and end <= b for a, b in excused)
@@ -135,12 +138,13 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
 def training_texts(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """(text, toxic, part) of at most ``rows`` labelled documents outside the held-out fold.
 
-    Of near copies, told by the smallest hash of their word triples, one is kept, or each of their words would look
-    like a term. ``part`` 0 and 1 are for the lexicon, 2 for the coefficients.
+    Of near copies, told by the smallest hash of their word triples, the one with the smallest ``doc_id`` is kept, or
+    each of their words would look like a term. ``part`` 0 and 1 are for the lexicon, 2 for the coefficients.
     """
     known = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    pairs = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    found = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    pairs = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # one a document
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -150,7 +154,8 @@ def training_texts(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_RO
 
     folded = pairs.mapInPandas(sketch, "doc_id bigint, text string, toxic int, sketch bigint")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int").alias("part")
-    return folded.dropDuplicates(["toxic", "sketch"]).select("text", "toxic", part)
+    first = folded.groupBy("toxic", "sketch").agg(F.min(F.struct("doc_id", "text")).alias("row"))
+    return first.select("toxic", "row.*").select("text", "toxic", part)
 
 
 def _sketch(folded: str) -> int:
@@ -179,12 +184,16 @@ def term_counts(texts: DataFrame) -> DataFrame:
 
 
 def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions=DEFAULT_EXCEPTIONS) -> Lexicon:
-    """Lexicon, exceptions and coefficients from the labelled rows; at most ``MAX_TERMS`` terms reach the driver."""
+    """Lexicon, exceptions and coefficients from the labelled rows.
+
+    What reaches the driver is bounded by ``rows``: the terms that pass the test, and three numbers a document.
+    """
     texts = training_texts(documents, labels, rows).persist()
     sizes = {(part, toxic > 0): n for part, toxic, n in texts.groupBy("part", "toxic").count().collect()}
     toxic, clean = (sum(n for (part, kind), n in sizes.items() if part < 2 and kind == want) for want in (True, False))
     if not toxic or not clean:
-        raise ValueError("toxic and clean labels are both needed")
+        texts.unpersist()
+        return Lexicon({})
     share, seen = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     ratio = 2 * (
@@ -194,7 +203,7 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, excep
     terms = (
         term_counts(texts.filter("part < 2")).filter(F.col("toxic") > seen * share)
         .withColumns({"weight": odds, "ratio": ratio}).filter(F.col("ratio") >= MIN_RATIO)
-        .orderBy(F.desc("ratio"), F.length("term"), "term").limit(MAX_TERMS).collect()
+        .orderBy(F.desc("ratio"), F.length("term"), "term").collect()
     )
     lexicon = Lexicon(best_names({row["term"]: (row["weight"], row["toxic"]) for row in terms}))
     lexicon.exceptions = tuple(dict.fromkeys([*map(fold, exceptions), *_clean_phrases(texts, lexicon)]))
@@ -207,7 +216,8 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, excep
             yield pd.DataFrame(rows, columns=["total", "rate", "toxic"])
 
     measured = texts.filter("part = 2").select("text", "toxic").mapInPandas(measure, "total double, rate double, toxic double")
-    lexicon.coefficients = _logistic(measured.toPandas().to_numpy())  # at most ``rows``
+    found = measured.toPandas().to_numpy()  # at most ``rows``; sorted, as sums of fractions hang on their order
+    lexicon.coefficients = _logistic(found[np.lexsort(found.T)])
     texts.unpersist()
     return lexicon
 
@@ -246,7 +256,7 @@ def _clean_phrases(texts: DataFrame, lexicon: Lexicon, least: int = 3) -> list[s
 
     counted = texts.select("text", "toxic").mapInPandas(pairs, "phrase string, toxic int").groupBy("phrase")
     often = counted.agg(F.max("toxic").alias("toxic"), F.count("*").alias("n")).filter(f"toxic = 0 and n >= {least}")
-    return [row[0] for row in often.orderBy(F.desc("n"), "phrase").limit(MAX_TERMS).collect()]
+    return [row[0] for row in often.orderBy(F.desc("n"), "phrase").collect()]
 
 
 def _logistic(rows: np.ndarray, steps: int = 50, ridge: float = 0.1) -> tuple[float, float, float]:

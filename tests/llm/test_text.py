@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -110,10 +112,60 @@ def test_toxicity_of_odd_rows(odd, none):
 
 
 def test_learning_needs_both_labels(spark, odd, none):
-    with pytest.raises(ValueError):
-        toxicity.learn(odd, spark.createDataFrame([], "doc_id bigint, toxic int"))
-    with pytest.raises(ValueError):
-        toxicity.learn(none, spark.createDataFrame([(1, 1), (2, 0), (None, 1), (4, None)], "doc_id bigint, toxic int"))
+    """Without them every text has the same score, below one half."""
+    kind = "doc_id bigint, toxic int"
+    rows = [(odd, []), (odd, [(n, 1) for n in range(12)]), (odd, [(n, 0) for n in range(12)]), (none, [(1, 1), (2, 0), (None, 1), (4, None)])]
+    for documents, labels in rows:
+        lexicon = toxicity.learn(documents, spark.createDataFrame(labels, kind))
+        assert lexicon.weights == {}
+        scored = toxicity.score(odd, lexicon).collect()
+        assert len(scored) == odd.count() and len({r.score for r in scored}) == 1 and {r.predicted for r in scored} == {0}
+
+
+def test_l_written_as_i():
+    """However many l a term has; a term that stands there as it is comes first."""
+    lexicon = toxicity.Lexicon({" lollalill ": 2.0, " foii ": 5.0, " foll ": 3.0, " foil ": 4.0}, (" a foll ",))
+    automaton = lexicon.automaton()
+    found = lambda text: [w for _, _, w in toxicity.matches(toxicity.fold(text), automaton)]
+    assert found("1o11a1i11") == [2.0] and found("lollalill") == [2.0] and found("loiiaiiii iollaiiil") == [2.0, 2.0]
+    assert found("foll") == [3.0] and found("foil") == [4.0] and found("foii fo11") == [5.0, 5.0] and found("fo1l") == [4.0]
+    assert found("lollallll foli") == [3.0] and found("a foll") == [] and found("a fo11") == [5.0]
+
+
+def test_learning_depends_on_rows_only(spark):
+    """Against counts and weights computed one text at a time, for several partitionings."""
+    documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.toxic)
+    least = {}
+    for r in documents.select("doc_id", "text").collect():
+        if r.doc_id in known and r.text is not None:
+            least[r.doc_id] = min(least.get(r.doc_id, r.text), r.text)
+    assert 100 < len(known) <= toxicity.TRAIN_ROWS
+    firsts = {}
+    for doc_id in sorted(least):
+        text = toxicity.fold(least[doc_id])
+        firsts.setdefault((known[doc_id], toxicity._sketch(text)), (doc_id, text))
+    texts = toxicity.training_texts(documents, labels)
+    assert sorted((r.text, r.toxic) for r in texts.collect()) == sorted((text, kind[0]) for kind, (_, text) in firsts.items())
+    parts = [(r.text, r.toxic) for r in texts.filter("part < 2").collect()]
+    counts = [Counter(), Counter()]
+    for text, toxic in parts:
+        counts[toxic].update({f" {w} " for w in text.split()} | {f" {w[:n]}" for w in text.split() for n in toxicity.STEM_LETTERS if len(w) > n})
+    toxic = sum(t for _, t in parts)
+    clean, kept = len(parts) - toxic, {}
+    for term in counts[1]:
+        a, b = counts[1][term], counts[0][term]
+        share = toxic / len(parts)
+        ratio = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
+        if a > (a + b) * share and ratio >= toxicity.MIN_RATIO:
+            kept[term] = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1)), a
+    learned = [toxicity.learn(documents.repartition(n), labels.repartition(n)) for n in (1, 3, 7)]
+    want = toxicity.best_names(kept)
+    assert want and learned[0].weights == pytest.approx(want)
+    assert learned[0] == learned[1] == learned[2]
 
 
 @pytest.fixture(scope="module")
