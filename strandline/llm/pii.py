@@ -1,9 +1,10 @@
 """Personal data in texts, disguised or not, with the place of each find in the source.
 
-Base finds are what four patterns match in the text as it is. For disguised ones a transducer rewrites the text:
-look-alike characters become ASCII, runs of spelled digits become digits, and at/dot disguises become ``@`` and ``.``.
-Every rewritten piece remembers which source characters it stands for, so a match in the rewritten text is mapped back
-to the source. A mapped match is added unless a find of its kind already lies there.
+Base finds are what four patterns match in the text as it is. For disguised ones two transducers rewrite the text one
+after the other: the first makes look-alike characters ASCII, the second reads its result and makes runs of spelled
+digits digits, and at/dot disguises ``@`` and ``.``; so a disguise inside a disguise is undone too. Every rewritten piece
+remembers which characters it stands for, so a match in the last text is mapped back through both to the source. A
+mapped match is added unless a find of its kind already lies there.
 
 Offsets are code points, ends exclusive. A null text counts as empty and has no finds. Rows that repeat a ``doc_id``
 give a row each, null ids too. Only ``doc_id`` and ``text`` are read. An empty table gives an empty result.
@@ -138,6 +139,7 @@ _DOT = (
     re.compile(rf"[\[({{<]\s{{0,3}}(?:\.|{_any(DOT_WORDS)})\s{{0,3}}[\])}}>]", re.IGNORECASE),
     re.compile(rf"{_DOT_PLAIN}(?=\w)", re.IGNORECASE),
 )
+_OPEN_DOT = re.compile(r"[\[({<]\s{0,3}\.")
 #: Digits and spelled digits in a row, with a spelled one among them.
 _SPELLED = re.compile(
     rf"\b(?:[0-9]{_JOINT})*+{_DIGIT_WORD}\b(?:{_JOINT}(?:{_DIGIT_WORD}\b|[0-9]))+", re.IGNORECASE
@@ -148,20 +150,27 @@ _PLUS = re.compile(rf"\bplus[\x20\t](?=[0-9]|{_DIGIT_WORD}\b)", re.IGNORECASE)
 _PLAIN_AT = re.compile(rf"^(\w+){_SPACES}(?:{_any(AT_WORDS)}){_SPACES}[\w.-]+$", re.IGNORECASE)
 
 
-def edits(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, replacement) of what the transducer rewrites, in order and without overlaps.
+def character_edits(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, replacement) of look-alikes, in order; texts without any are told by a cheap search."""
+    if text.isascii() or _SPECIAL.isdisjoint(text):
+        return []
+    return [(*m.span(), _ONE[m[0]]) for m in _ONE_OF.finditer(text)]
+
+
+def word_edits(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, replacement) of words and signs that stand for others, in order and without overlaps.
 
     Whether a text has anything of a kind is asked first, by searches that are cheap for the many that have not.
     """
     found: list[tuple[int, int, str]] = []
-    if not text.isascii() and not _SPECIAL.isdisjoint(text):
-        found += [(*m.span(), _ONE[m[0]]) for m in _ONE_OF.finditer(text)]
     lower = text.lower()
     if "@" in text or any(word in lower for word in AT_WORDS):
         found += [_with_spaces(text, m, "@") for m in _AT[0].finditer(text)]
         found += [(*m.span(), "@") for m in _AT[1].finditer(text) if "@" in m[0] or not m[0].isspace()]
-    if any(word in lower for word in DOT_WORDS) or "[.]" in text or "(.)" in text:
+    dot_words = any(word in lower for word in DOT_WORDS)
+    if dot_words or _OPEN_DOT.search(text):
         found += [_with_spaces(text, m, ".") for m in _DOT[0].finditer(text)]
+    if dot_words:
         found += [(*m.span(), ".") for m in _DOT[1].finditer(text)]
     if not SPELLED.keys().isdisjoint(lower.replace("-", " ").replace(",", " ").replace(".", " ").split()):
         for m in _SPELLED.finditer(text):
@@ -190,9 +199,10 @@ def _with_spaces(text: str, match: re.Match, sign: str) -> tuple[int, int, str]:
 
 
 class Rewritten:
-    """A text after the transducer, and where its characters come from."""
+    """A text after a transducer, and where its characters come from; ``earlier`` is the step that gave the text."""
 
-    def __init__(self, text: str, changes: list[tuple[int, int, str]]):
+    def __init__(self, text: str, changes: list[tuple[int, int, str]], earlier: "Rewritten | None" = None):
+        self.read, self.earlier = text, earlier
         out: list[str] = []
         #: Pieces by start in the result: (start in the result, start and end in the source, copied as it is).
         self.pieces: list[tuple[int, int, int, bool]] = []
@@ -213,20 +223,32 @@ class Rewritten:
         self.text = "".join(out)
         self._starts = [piece[0] for piece in self.pieces]
 
-    def source(self, start: int, end: int) -> tuple[int, int]:
-        """The source characters that the result's characters from ``start`` to ``end`` stand for."""
+    def _span(self, start: int, end: int) -> tuple[int, int]:
+        """The characters of the text that was read that the result's characters from ``start`` to ``end`` stand for."""
         at, source, stop, same = self.pieces[bisect_right(self._starts, start) - 1]
         first = source + start - at if same else source
         at, source, stop, same = self.pieces[bisect_right(self._starts, end - 1) - 1]
         return first, source + end - at if same else stop
 
+    def before(self, start: int, end: int) -> str:
+        """What was read in place of these characters."""
+        first, last = self._span(start, end)
+        return self.read[first:last]
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The characters of the source, through all steps."""
+        span = self._span(start, end)
+        return self.earlier.source(*span) if self.earlier else span
+
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Finds in the rewritten text, mapped back, that touch no base find of their kind."""
-    changes = edits(text)
-    if not changes:
+    in_characters = character_edits(text)
+    plain_text = Rewritten(text, in_characters) if in_characters else None
+    in_words = word_edits(plain_text.text if plain_text else text)
+    if not in_characters and not in_words:
         return []
-    rewritten = Rewritten(text, changes)
+    rewritten = Rewritten(plain_text.text, in_words, plain_text) if plain_text else Rewritten(text, in_words)
     taken = {kind: sorted(span[1:] for span in base if span[0] == kind) for kind in KINDS}
     added = []
     for kind, start, end in base_spans(rewritten.text):
@@ -235,7 +257,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         near = taken[kind][max(0, at - 1) : at + 1]
         if any(a < last and first < b for a, b in near) or text[first:last] == rewritten.text[start:end]:
             continue
-        plain = _PLAIN_AT.match(text[first:last])
+        plain = _PLAIN_AT.match(rewritten.before(start, end))
         if plain and plain[1].isalpha():  # a name at a site, not an address: "seen at example.com"
             continue
         if kind == "email" and rewritten.text[start:end].rpartition(".")[2].isdigit():  # "5 at 3.2"

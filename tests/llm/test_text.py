@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import SF
 from odd_rows import none, odd  # noqa: F401
@@ -51,6 +52,14 @@ def test_base_spans(spark):
     ("one nine two dot one six eight dot one dot two", "ip", "one nine two dot one six eight dot one dot two"),
     ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
     ("card 4111‑1111‑1111‑1111", "card", "4111‑1111‑1111‑1111"),
+    ("to john.doe {at} example {.} com.", "email", "john.doe {at} example {.} com"),
+    ("to john.doe <at> example <.> com,", "email", "john.doe <at> example <.> com"),
+    ("to john.doe[＠]example[.]com!", "email", "john.doe[＠]example[.]com"),
+    ("to john.doe@example[ . ]com", "email", "john.doe@example[ . ]com"),
+    ("john.doe (аt) example (dоt) com", "email", "john.doe (аt) example (dоt) com"),
+    ("jo​hn.d​oe (​at) exаmple dоt com", "email", "jo​hn.d​oe (​at) exаmple dоt com"),
+    ("call plus four nine one fivе two 5 fіve five 1 two three four", "phone", "plus four nine one fivе two 5 fіve five 1 two three four"),
+    ("ip １９２[．]168[.]1（.）10 is", "ip", "１９２[．]168[.]1（.）10"),
 ])
 def test_disguises(text, kind, source):
     added = pii.added_spans(text, pii.base_spans(text))
@@ -285,6 +294,65 @@ def test_contaminations(spark, odd, none):
     assert decontaminate.contaminations(documents, benchmark.limit(0)).count() == 0
 
 
+def test_edited_copies():
+    """Added, left out and replaced words, items of 1 to 60 words: what aligning all words in full gives."""
+    draw = random.Random(5)
+    common = ["of", "the", "in"] + [f"w{n}" for n in range(12)]
+    word = lambda: draw.choice(common) if draw.random() < 0.5 else f"v{draw.randint(0, 400)}"
+    sizes = [*range(1, 13), 20, 25, 40, 60]
+    rows = [(n, " ".join(word() for _ in range(size))) for n, size in enumerate(sizes * 2)]
+    items = decontaminate.Items.of(rows)
+    counts = Counter()
+    texts = []
+    for _, item in rows:
+        for share in (0.0, 0.1, 0.2, 0.35, 0.5, 0.69, 0.8):
+            for kinds in ("r", "d", "i", "rdi", "m"):
+                copy = item.split()
+                for _ in range(round(share * len(copy))):
+                    at, kind = draw.randint(0, max(0, len(copy) - 1)), draw.choice(kinds)
+                    at = len(item.split()) // 2 if kind == "m" else at
+                    if kind in "im":
+                        copy.insert(at, word())
+                    elif kind == "d":
+                        del copy[at : at + 1]
+                    else:
+                        copy[at : at + 1] = [word()]
+                texts.append(" ".join([*(word() for _ in range(draw.choice((0, 5, 80)))), *copy, *(word() for _ in range(draw.choice((0, 7))))]))
+    for text in texts:
+        numbers = items.numbers(text)
+        for kind in items.grams:
+            counts.update((kind.width, c) for c in decontaminate.grams(numbers, kind.width, len(items.vocabulary)).tolist())
+    rare, passed = items.with_rare_seeds(counts), 0
+    assert all(1 <= limit.left and limit.broken < limit.size - limit.width + 1 for limit in rare.limits if limit.size >= 3)
+    for text in texts:
+        found = {item: score for item, score, _, _ in decontaminate.find_in_text(rare, text)}
+        numbers, want = rare.numbers(text), {}
+        for item, own in enumerate(rare.words):
+            if len(own) < 3:
+                score = float(numbers.tolist() == own.tolist())
+            else:
+                score = decontaminate.align(own, numbers) / (2 * len(own))
+            if score >= decontaminate.THRESHOLD:
+                want[item] = score
+        assert found == want
+        passed += len(want)
+    assert passed > 500
+    item = [f"x{n}" for n in range(40)]
+    rare = decontaminate.Items.of([(1, " ".join(item)), (2, "alpha beta gamma delta epsilon")])
+    for added, score in ((12, 0.85), (15, 0.8125), (20, 0.75), (24, 0.7), (27, 0.6625)):
+        text = " ".join([*item[:20], *(f"y{n}" for n in range(added)), *item[20:]])
+        assert [(i, s) for i, s, _, _ in decontaminate.find_in_text(rare, text)] == [(0, score)]
+    assert [(i, s) for i, s, _, _ in decontaminate.find_in_text(rare, "alpha beta ZZZ delta epsilon")] == [(1, 0.7)]
+
+
+def test_alignment_rows():
+    """The row-wise alignment against one cell at a time."""
+    draw = random.Random(9)
+    for _ in range(60):
+        a, b = ([draw.randint(0, 4) for _ in range(draw.randint(1, 25))] for _ in range(2))
+        assert decontaminate.align(np.array(a), np.array(b)) == slow_align(a, b)
+
+
 def test_benchmark_query(spark):
     """Exactly the documents that hold an item are found in the test tables."""
     found = {(r.doc_id, r.item_id) for r in queries.op6_benchmark_copies(spark, SF).collect()}
