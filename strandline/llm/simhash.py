@@ -5,13 +5,15 @@ of every distinct fingerprint is a row of an index; a fingerprint looks up the s
 halves (itself and one bit flipped from 0 to 1, so that a pair is met from one side only), and what it finds is
 verified over all 64 bits.
 
-Null texts count as empty; a text without words has the fingerprint zero, which is linked like any other. A null
-``doc_id`` is left out of the result: it cannot name a component. Rows that repeat a ``doc_id`` give a row each. Other
-columns of the input are not read. An empty table gives an empty result.
+Null texts count as empty; a text without words has the fingerprint zero, which is linked like any other. Rows that
+repeat a ``doc_id`` give a row each, null ids too. A null cannot name a component: it links like any other row, and its
+component is null only if nothing that it reaches has an id. Other columns of the input are not read. An empty table
+gives an empty result.
 """
 
 import itertools
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ MAX_BITS = 3
 CROWD = 1_000
 #: Hashes whose bits are counted at once.
 _BLOCK = 1 << 16
+#: Holds a long and numbers behind all longs.
+_WIDE = "decimal(20,0)"
+_BEHIND_IDS = Decimal(1 << 63)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -58,7 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, print): the fingerprint as a signed long."""
-    rows = documents.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    rows = documents.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(_fingerprints, "doc_id bigint, print bigint")
 
 
@@ -74,7 +79,9 @@ def print_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
             F.struct(F.lit(1).alias("half"), F.col("print").bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")),
         )
     )
-    index = prints.select("print", halves.alias("key")).select("print", "key.*")
+    partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.repartition(partitions, "print")  # a given number: a few bytes become some thirty rows each
+    index = spread.select("print", halves.alias("key")).select("print", "key.*")
     ball = index.withColumnRenamed("print", "a").withColumn("flip", F.explode(_masks(1)))
     ball = ball.filter(F.col("value").bitwiseAND(F.col("flip")) == 0).withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
     index = index.withColumnRenamed("print", "b")
@@ -122,21 +129,28 @@ def near_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id): hexadecimal fingerprints, and the smallest ``doc_id`` that links reach."""
     rows = stored(fingerprints(documents), "fingerprints")
     totals = {"first": (F.min("doc_id"), F.min)}
-    same = stored(with_group_totals(rows, ["print"], ["doc_id"], totals), "same-fingerprint")
-    classes = same.groupBy("print").agg(F.min("first").alias("first"))
+    same = stored(with_group_totals(rows, ["print"], ["doc_id"], totals).withColumn("class", _class()), "same-fingerprint")
+    classes = same.groupBy("print").agg(F.min("class").alias("class"))
     links = print_links(classes.select("print"))
-    named = classes.withColumnRenamed("print", "a").withColumnRenamed("first", "first_a")
-    other = classes.withColumnRenamed("print", "b").withColumnRenamed("first", "first_b")
-    between = links.join(named, "a").join(other, "b").select("first_a", "first_b")
-    groups = components(between, "first_a", "first_b")
-    linked = same.join(groups, same["first"] == groups["node"], "left")
+    named = classes.withColumnRenamed("print", "a").withColumnRenamed("class", "class_a")
+    other = classes.withColumnRenamed("print", "b").withColumnRenamed("class", "class_b")
+    between = links.join(named, "a").join(other, "b").select("class_a", "class_b")
+    groups = components(between, "class_a", "class_b")
+    linked = same.join(groups, same["class"] == groups["node"], "left")
+    component = F.coalesce("component", "class")
     return linked.select(
         "doc_id",
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
-        F.coalesce("component", "first").alias("component_id"),
+        F.when(component < _BEHIND_IDS, component.cast("long")).alias("component_id"),
     )
 
 
+def _class() -> Column:
+    """A number for each fingerprint: its smallest ``doc_id``, or, behind all of these, one of its own without an id."""
+    unnamed = F.col("print").cast(_WIDE) + (2 * _BEHIND_IDS)
+    return F.coalesce(F.col("first").cast(_WIDE), unnamed.cast(_WIDE)).alias("class")
+
+
 def keep_one_of_each(documents: DataFrame) -> DataFrame:
     """The documents but those with a smaller ``doc_id`` in their component, with all columns; null ids stay."""
     dropped = near_groups(documents).filter("doc_id != component_id").select(F.col("doc_id").alias("__dropped"))

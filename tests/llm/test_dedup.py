@@ -95,11 +95,21 @@ def slow_components(prints: dict[int, int]) -> dict[int, int]:
 
 
 def test_near_groups(odd, spark):
-    rows = [(r.doc_id, r.text or "") for r in odd.collect() if r.doc_id is not None]
-    prints = {doc_id: slow_fingerprint(text) for doc_id, text in rows}
-    label = slow_components(prints)
-    want = sorted((i, f"{prints[i]:016x}", label[i]) for i, _ in rows)
-    assert pairs_of(simhash.near_groups(odd), "doc_id", "fingerprint", "component_id") == sorted(want, key=lambda r: tuple((True, str(v)) for v in r))
+    """Rows without an id link like others; their component has an id if a row in it has one."""
+    alone = [(None, "no other row has these words at all", None), (None, "No other row has these words at ALL", None)]
+    alone += [(None, "nor has any row what stands in this one", None), (9_000, "nor has any row what stands in this one", None)]
+    more = odd.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in alone], "doc_id bigint, text string"))
+    rows = [(r.doc_id, r.text or "") for r in more.collect()]
+    prints = {n: slow_fingerprint(text) for n, (_, text) in enumerate(rows)}
+    label, least = slow_components(prints), {}
+    for n, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[label[n]] = min(least.get(label[n], doc_id), doc_id)
+    want = sorted(((i, f"{prints[n]:016x}", least.get(label[n])) for n, (i, _) in enumerate(rows)), key=str)
+    got = simhash.near_groups(more).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == want
+    assert sum(component is None for _, _, component in want) == 2 and (None, f"{prints[len(rows) - 2]:016x}", 9_000) in want
+    label = {i: c for i, _, c in want if i is not None}
     kept = simhash.keep_one_of_each(odd)
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} == {*label.values(), None}
