@@ -30,6 +30,8 @@ ARCHIVE_BYTES = 256 << 20
 #: Unwanted bytes between two records that are read rather than skipped, and the most that one read returns.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
+#: What one task reads at least in a row, and in all.
+RANGE_BYTES, TASK_BYTES = 4 * READ_BYTES, 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 _GZIP = 31
 _URN = "urn:x-page:"
@@ -170,14 +172,22 @@ def coalesce_ranges(rows: Iterator[tuple[str, int, int]], gap: int, most: int) -
         yield archive, start, members
 
 
+def _readers(selected: DataFrame) -> int:
+    """Tasks by the bytes that they read: index rows are small, so adaptive execution would leave all to a few."""
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    return max(int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
 def read_records(selected: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records named by index rows (archive, offset, length), read in the order of the archives.
 
+    An archive is cut into ranges of ``RANGE_BYTES``, so that tasks share a large one. One job sums up the lengths first.
+
     Response payloads are checked against their digest. ``payload`` is null for revisits.
     """
-    ordered = selected.select("archive", "offset", "length").repartition("archive").sortWithinPartitions(
-        "archive", "offset"
-    )
+    rows = selected.select("archive", "offset", "length")
+    share = F.floor(F.col("offset") / RANGE_BYTES)
+    ordered = rows.repartition(_readers(rows), "archive", share).sortWithinPartitions("archive", "offset")
     schema = RECORD + (", payload binary" if with_payload else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,12 +43,17 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
 
 
-def test_archives(spark):
+def test_archives(spark, monkeypatch):
     pages = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id bigint, url string, html string, archive string").repartition(3)
     index = warc.write_archives(pages, shared_folder(spark, "archives"))
     assert rows_of(index) == want_records(PAGES) == rows_of(warc.read_records(index))
     payloads = {(r.page_id, bytes(r.payload).decode()) for r in warc.read_records(index, with_payload=True).collect() if r.payload is not None}
     assert payloads == {(i, h or "") for i, _, h in PAGES} - {(2, "<p>é</p>"), (None, "<p>é</p>"), (4, "")}
+    monkeypatch.setattr(warc, "RANGE_BYTES", 500)
+    monkeypatch.setattr(warc, "TASK_BYTES", 300)
+    spread = warc.read_records(index)
+    assert rows_of(spread) == want_records(PAGES)
+    assert spread.rdd.getNumPartitions() == max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-index.agg({"length": "sum"}).first()[0] // 300))
     some = index.filter("page_id = 6")
     assert [r.url for r in warc.read_records(some).collect()] == ["http://f"]
     assert warc.read_records(index.filter("page_id = 1")).first().url == "http://a/x%20y%0D%0Az"
