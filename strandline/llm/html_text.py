@@ -4,7 +4,10 @@ Every block element is content or not. The words of its class, id and role, and
 the part of it inside links speak for either; a potential between parent and child says, by the child's tag and whether it is named, how
 often content lies in content and how often it begins or ends there: at a division more than at a paragraph.
 Messages pass from the leaves to the root and back (sum-product), which gives each element's exact marginal, and the
-blocks of elements more likely content than not are the text. All potentials are counted on labelled pages.
+blocks of elements more likely content than not are the text. All potentials are counted on labelled pages. A short text
+in unnamed elements has little that speaks for it, so where no block is likely, the page is taken to have some content:
+the blocks that then are more likely content than not are the text, by the same marginals divided by the probability
+that not all elements are without content. If that favours no block either, the text is empty.
 
 A null or empty page has an empty text, and so has one without content. Rows that repeat a ``page_id`` give a row each,
 null ids too; a null URL stays null. Other columns are not read. An empty table gives an empty result.
@@ -33,6 +36,8 @@ HINTS = frozenset(
 )
 #: Elements that begin a part of a page rather than a block of text.
 CONTAINERS = frozenset("article aside div footer form header main nav ol section table td ul".split())
+#: Below this the probability that a page has content at all is lost in rounding: the text is empty.
+LEAST_CHANCE = 1e-6
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NAME = re.compile(r"[a-z]+")
 _LENGTHS = (0, 10, 25, 60, 120, 300)
@@ -95,6 +100,11 @@ def _log_sum(a: float, b: float) -> float:
 
 def marginals(nodes: Sequence[Node], model: Model) -> list[float]:
     """The probability of content for every node; parents stand before their children."""
+    return marginals_and_some(nodes, model)[0]
+
+
+def marginals_and_some(nodes: Sequence[Node], model: Model) -> tuple[list[float], float]:
+    """The probability of content for every node, and that any node has content."""
     alike = Counter(map(_kin, nodes))
     own = [list(model.root)]
     for node in nodes[1:]:
@@ -102,6 +112,7 @@ def marginals(nodes: Sequence[Node], model: Model) -> list[float]:
         own.append([no / alike[_kin(node)], yes / alike[_kin(node)]])
     upward = [(0.0, 0.0)] * len(nodes)  # what a node tells its parent
     edges = [model.between(node, alike[_kin(node)]) for node in nodes]
+    no_content = sum(no for no, _ in own) + sum(edge[0][0] for edge in edges[1:])
     for i in range(len(nodes) - 1, 0, -1):
         (e00, e01), (e10, e11) = edges[i]
         no, yes = own[i]
@@ -109,6 +120,7 @@ def marginals(nodes: Sequence[Node], model: Model) -> list[float]:
         above = own[nodes[i].parent]
         above[0] += upward[i][0]
         above[1] += upward[i][1]
+    some = -math.expm1(min(0.0, no_content - _log_sum(*own[0])))
     for i in range(1, len(nodes)):  # own now holds all evidence from below; add that from above
         no, yes = own[nodes[i].parent]
         no, yes = no - upward[i][0], yes - upward[i][1]
@@ -117,7 +129,7 @@ def marginals(nodes: Sequence[Node], model: Model) -> list[float]:
         high = max(down)
         own[i][0] += down[0] - high
         own[i][1] += down[1] - high
-    return [1 / (1 + math.exp(min(700.0, max(-700.0, no - yes)))) for no, yes in own]
+    return [1 / (1 + math.exp(min(700.0, max(-700.0, no - yes)))) for no, yes in own], some
 
 
 def _counts(page: str) -> Counter:
@@ -178,8 +190,11 @@ def main_text(page: str | None, model: Model) -> str:
     if not page:
         return ""
     nodes, blocks = parse(page)
-    content = marginals(nodes, model)
-    return "\n".join(text for node, text in blocks if content[node] > 0.5)
+    content, some = marginals_and_some(nodes, model)
+    likely = [text for node, text in blocks if content[node] > 0.5]
+    if not likely and some > LEAST_CHANCE:
+        likely = [text for node, text in blocks if content[node] > 0.5 * some]
+    return "\n".join(likely)
 
 
 def extract(pages: DataFrame, model: Model) -> DataFrame:

@@ -210,6 +210,48 @@ def test_held_out_layouts(model):
     assert right / blocks > 0.98
 
 
+def labelled_text(page):
+    nodes, texts = dom.parse(page)
+    labels = [0]
+    for node in nodes[1:]:
+        labels.append(int(node.attributes.get(labelled_pages.LABEL, labels[node.parent])))
+    return "\n".join(text for node, text in texts if labels[node])
+
+
+def test_held_out_pages(model):
+    """Page by page, for layouts that were not trained on; pages of other parts alone have no text."""
+    pages = labelled_pages.labelled_pages(1_200, seed=77)
+    found, want = [html_text.main_text(page, model) for page in pages], [labelled_text(page) for page in pages]
+    equal, empty = sum(a == b for a, b in zip(found, want)), sum(not a for a in found)
+    assert equal >= 0.98 * len(pages) and empty <= 0.01 * len(pages)
+    texts = 0
+    for n in range(300):
+        draw, make = random.Random(n), labelled_pages
+        parts = [make._part(draw.choice(make._HEADERS), 0, make._links(draw)), make._part(draw.choice(make._LINK_LISTS), 0, make._links(draw))]
+        parts += [make._junk(draw), make._form(draw), make._comments(draw), make._part(draw.choice(make._FOOTERS), 0, make._words(draw, 2, 30))]
+        draw.shuffle(parts)
+        texts += html_text.main_text(f"<html><body>{''.join(parts[: draw.randint(1, 5)])}</body></html>", model) != ""
+    assert texts <= 0.05 * 300
+
+
+SHORT = "<p>Some plain words of an article that say a thing or two.</p>"
+CHAT_BLOCK = '<div class="comment"><p>I do not agree with any of this at all.</p></div>'
+
+
+@pytest.mark.parametrize("page, blocks", [
+    (f"<main>{SHORT}</main>", 1),
+    (f'<main>{SHORT * 3}<div class="comment-thread">{CHAT_BLOCK}</div></main>', 3),
+    (f'<h1>Title</h1>{SHORT * 2}<div class="comments">{CHAT_BLOCK}</div>', 3),
+    (SHORT, 1),
+    (f'<div class="comments">{CHAT_BLOCK}</div>', 0),
+    ("<nav><a href=1>x</a></nav><footer>c</footer>", 0),
+    ('<div class="cookie-notice"><p>We use cookies here.</p></div>', 0),
+])
+def test_short_articles(model, page, blocks):
+    found = html_text.main_text(f"<html><body>{page}</body></html>", model)
+    assert len(found.split("\n") if found else []) == blocks and "agree" not in found
+
+
 def test_marginals_are_exact(model):
     """Against all labellings of small trees."""
     for page in ("<div><p>Some text</p><p><a>x</a></p></div>", "<article>" + "<p>Words and words</p>" * 4 + "<ul><li>a</ul></article><nav><a>b</a></nav>"):
@@ -224,6 +266,8 @@ def test_marginals_are_exact(model):
                 weight += edge[labels[node.parent]][labels[i]] + model.potential(node)[labels[i]] / alike[html_text._kin(node)]
             weights[tuple(labels)] = math.exp(weight)
         total = sum(weights.values())
+        some = sum(w for labels, w in weights.items() if any(labels)) / total
+        assert html_text.marginals_and_some(nodes, model)[1] == pytest.approx(some, rel=1e-6)
         for i, got in enumerate(html_text.marginals(nodes, model)):
             assert got == pytest.approx(sum(w for labels, w in weights.items() if labels[i]) / total, rel=1e-6)
 
