@@ -27,7 +27,7 @@ COMPACT_ROUNDS = 8
 
 def word_counts(df: DataFrame, text: str = "evnt", min_frequency: int = 1, limit: int | None = None) -> DataFrame:
     """Rows (word, freq) in Unicode normal form C; ``limit`` keeps the most frequent words, ties by word."""
-    perhaps = F.coalesce(F.col(text).rlike(PERHAPS_DECOMPOSED), F.lit(False))  # hardly any text
+    perhaps = F.coalesce(_perhaps_decomposed(F.col(text)), F.lit(False))  # hardly any text
     words_of = F.explode(spaced_words(F.col(text))).alias("word")
     same = df.filter(~perhaps).select(words_of)
     other = df.filter(perhaps).select(words_of).select(composed(F.col("word")).alias("word"))
@@ -195,7 +195,12 @@ def with_composed_text(df: DataFrame, text: str) -> DataFrame:
 
 def composed(text: Column) -> Column:
     """Unicode normal form C. Only texts that may be in another form are handed to Python."""
-    return F.coalesce(_normal_form()(F.when(text.rlike(PERHAPS_DECOMPOSED), text)), text)
+    return F.coalesce(_normal_form()(F.when(_perhaps_decomposed(text), text)), text)
+
+
+def _perhaps_decomposed(text: Column) -> Column:
+    """A match of the whole text is one loop, and some 20 times as fast as a search for a character of the others."""
+    return ~text.rlike(PERHAPS_DECOMPOSED.replace("[^", r"\A[", 1) + r"*+\z")
 
 
 def _normal_form():
