@@ -1,25 +1,25 @@
 """Word and subword vocabularies as tables (piece, id, freq)."""
 
 import heapq
-import pickle
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.constants import CONTINUATION, MAX_VOCABULARY, MIN_FREQUENCY, SPECIAL_PIECES
 from strandline.functions.text import spaced_words
-from strandline.operators.merging import Shard, finish, first_pieces, joined
+from strandline.operators.merging import NumberedWords, PieceNumbers, finish, first_pieces, joined
 from strandline.operators.ordering import with_position
 from strandline.sources.shared import reliable_checkpoint, stored
 
 #: Pieces that one task merges one pair at a time, some 200 MB of them.
 SMALL_PIECES = 1_000_000
-#: Pieces of a shard at first, some 20 MB with their index.
-SHARD_PIECES = 250_000
-#: Pairs that a round looks at, the best ones; their places are broadcast.
+#: Pieces of a shard at first: 2 MB, and some twenty times that while a round goes over it.
+SHARD_PIECES = 500_000
+#: Pairs that a round looks at, the best ones; every task gets them.
 ROUND_PAIRS = 20_000
 #: Rounds after which the changes of counts are added up.
 COMPACT_ROUNDS = 8
@@ -69,8 +69,8 @@ def train_wordpiece(
 ) -> DataFrame:
     """Subword vocabulary: single characters, then merges of frequent neighbours.
 
-    Words are counted, and from then on only distinct words matter. They lie in shards, each with an index from pairs
-    to words, so that a merge reads and rewrites the words that have its pair, and sends the changes of the counts.
+    Words are counted, and from then on only distinct words matter. They lie in shards, as arrays of numbers of pieces.
+    A round is a few passes over these arrays, and sends the changes of the counts of pairs.
 
     The textbook way merges the one most frequent pair per round. Here a round merges every
     pair that beats all pairs it overlaps with, wherever it occurs: nothing that the
@@ -102,73 +102,98 @@ def train_wordpiece(
 def _merges(words: DataFrame, room: int, min_frequency: int, small: int) -> dict[str, int]:
     """The pieces that merges make, with their counts; a few more than ``room`` perhaps."""
     made: dict[str, int] = {}
+    numbers = PieceNumbers()
     pieces = words.agg(F.sum(F.length("word"))).first()[0] or 0
     state, bar = None, min_frequency
     if pieces > small:
         partitions = max(words.sparkSession.sparkContext.defaultParallelism, -(-pieces // SHARD_PIECES))
         shard = F.pmod(F.xxhash64("word"), F.lit(partitions)).cast("int").alias("shard")
         state = stored(words.select(shard, "word", "freq").groupBy("shard").applyInArrow(_build_shard, _STATE), "subwords")
-        counts, rounds = state.filter("left is not null").select(*_TRIPLE, "n"), 0
-        while (state.agg(F.sum("pieces")).first()[0] or 0) > small:
-            if not (merges := _local_best(counts, bar, min(room, ROUND_PAIRS))):
-                return made
-            for left, right, n in merges:
-                made.setdefault(joined(left, right), n)
+        counts, rounds = state.filter("pair is not null").select("pair", "n"), 0
+        while best := _best(counts, numbers, bar, min(room, ROUND_PAIRS)):
+            shards = state.filter("pieces is not null").select("pieces", "freqs")
+            seen = [tuple(row) for row in shards.mapInArrow(_look(np.array([key for key, _ in best])), "place int, left bigint").collect()]
+            if sum(left for _, left in seen if left is not None) <= small:
+                break
+            beaten = {place for place, left in seen if left is None}
+            merges = {}
+            for key, n in (pair for place, pair in enumerate(best) if place not in beaten):
+                piece = joined(numbers.text(key >> 32), numbers.text(key & 0xFFFFFFFF))
+                made.setdefault(piece, n)
+                merges[key] = numbers.number(piece)
             if len(made) >= room:
                 bar = max(min_frequency, heapq.nlargest(room, made.values())[-1])
-            pairs = {(left, right) for left, right, _ in merges}
-            shards = state.filter("state is not null").select("shard", "state")
-            state = stored(shards.mapInArrow(_merge_shards(pairs), _STATE), "subwords")
-            counts, rounds = counts.unionByName(state.filter("left is not null").select(*_TRIPLE, "n")), rounds + 1
+            state = stored(shards.mapInArrow(_merge_shards(merges), _STATE), "subwords")
+            counts, rounds = counts.unionByName(state.filter("pair is not null").select("pair", "n")), rounds + 1
             if rounds % COMPACT_ROUNDS == 0:
-                counts = stored(counts.groupBy(*_TRIPLE).agg(F.sum("n").alias("n")).filter("n != 0"), "triples")
-    rest = words.select(F.lit(None).cast("binary").alias("state"), "word", "freq")
+                counts = stored(counts.groupBy("pair").agg(F.sum("n").alias("n")).filter("n != 0"), "pairs")
+        else:
+            return made
+    none = F.lit(None)
+    rest = words.select(none.cast("binary").alias("pieces"), none.cast("binary").alias("freqs"), "word", "freq")
     if state is not None:
-        rest = state.filter("state is not null").select("state", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("freq"))
-    last = rest.repartition(1).mapInArrow(_finish(made, room, bar), "piece string, n bigint")  # ``small`` pieces at most
+        shards = state.filter("pieces is not null").select("pieces", "freqs")
+        rest = shards.select("*", none.cast("string").alias("word"), none.cast("long").alias("freq"))
+    last = rest.repartition(1).mapInArrow(_finish(numbers, made, room, bar), "piece string, n bigint")  # ``small`` pieces at most
     return dict(map(tuple, last.collect())) | made
 
 
-_TRIPLE = ["before", "left", "right"]
-#: A row with the state of a shard, and rows with what its counts have changed by.
-_STATE = "shard int, state binary, pieces bigint, before string, left string, right string, n bigint"
+#: A row with the words of a shard, and rows with what the counts of its pairs have changed by.
+_STATE = "pieces binary, freqs binary, pair bigint, n bigint"
 
 
-def _state_table(shard: int, words: Shard, changes: Counter) -> pa.Table:
-    size = len(changes)
-    columns = {
-        "shard": pa.array([shard] * (size + 1), pa.int32()),
-        "state": pa.array([words.packed(), *[None] * size], pa.binary()),
-        "pieces": pa.array([words.pieces_left(), *[None] * size], pa.int64()),
-    }
-    for i, name in enumerate(_TRIPLE):
-        columns[name] = pa.array([None, *[triple[i] for triple in changes]], pa.string())
-    return pa.table(columns | {"n": pa.array([None, *changes.values()], pa.int64())})
+def _state_table(words: NumberedWords, changes: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    state = pa.table({"pieces": pa.array([words.pieces.tobytes()], pa.binary()), "freqs": pa.array([words.freqs.tobytes()], pa.binary())})
+    return pa.concat_tables([state, pa.table(dict(zip(("pair", "n"), changes)))], promote_options="default")
+
+
+def _read_shards(batch: pa.RecordBatch) -> Iterator[NumberedWords]:
+    for pieces, freqs in zip(batch["pieces"], batch["freqs"]):
+        yield NumberedWords(np.frombuffer(pieces.as_buffer(), np.int32), np.frombuffer(freqs.as_buffer(), np.int64))
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
-    words = Shard(table["word"].to_pylist(), table["freq"].to_pylist())
-    return _state_table(table["shard"][0].as_py(), words, words.counts())
+    words = NumberedWords.of(table["word"].to_pylist(), table["freq"].to_pylist())
+    return _state_table(words, words.counts())
+
+
+def _look(ranked: np.ndarray):
+    """Rows (place, null) of pairs that overlap with a better one, and for each shard (null, pieces left)."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in _read_shards(batch):
+                places = [*words.beaten(ranked).tolist(), None]
+                left = [*[None] * (len(places) - 1), words.pieces_left()]
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(left, pa.int64())], ["place", "left"])
 
+    return look
+
+
+def _merge_shards(merges: dict[int, int]):
+    pairs = np.array(sorted(merges), np.int64)
+    new = np.array([merges[pair] for pair in pairs.tolist()], np.int32)
 
-def _merge_shards(pairs: set[tuple[str, str]]):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, state in zip(batch["shard"].to_pylist(), batch["state"].to_pylist()):
-                words = pickle.loads(state)
-                yield from _state_table(shard, words, words.merge(pairs)).to_batches()
+            for words in _read_shards(batch):
+                changes = words.merge(pairs, new)
+                yield from _state_table(words, changes).to_batches()
 
     return merge
 
 
-def _finish(made: dict[str, int], room: int, bar: int):
+def _finish(numbers: PieceNumbers, made: dict[str, int], room: int, bar: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, freqs = [], []
         for batch in batches:
-            for state, word, freq in zip(*[batch[c].to_pylist() for c in ("state", "word", "freq")]):
-                shard = pickle.loads(state) if state else None
-                words += [w.split(" ") for w in shard.words if " " in w] if shard else [first_pieces(word)]
-                freqs += [n for w, n in zip(shard.words, shard.freqs.tolist()) if " " in w] if shard else [freq]
+            for word, freq in zip(batch["word"].to_pylist(), batch["freq"].to_pylist()):
+                if word is not None:
+                    words.append(first_pieces(word))
+                    freqs.append(freq)
+            for shard in _read_shards(batch.filter(pc.is_valid(batch["pieces"]))):
+                words += [list(map(numbers.text, word)) for word in shard.words()]
+                freqs += shard.freqs.tolist()
         found = finish(words, freqs, made, room, bar)
         columns = [pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["piece", "n"])
@@ -239,18 +264,18 @@ def _bare(piece: Column) -> Column:
     return F.when(piece.startswith(CONTINUATION) & (F.length(piece) > 2), F.substring(piece, 3, 1)).otherwise(piece)
 
 
-def _local_best(counts: DataFrame, bar: int, limit: int) -> list[tuple[str, str, int]]:
-    """Of the ``limit`` best pairs those of at least ``bar`` occurrences that are better than every pair they overlap.
+def _best(counts: DataFrame, numbers: PieceNumbers, bar: int, limit: int) -> list[tuple[int, int]]:
+    """The ``limit`` best pairs of at least ``bar`` occurrences, (pair, n), ties by text.
 
-    What beats one of the best pairs is one of them, so the others need not be looked at.
+    What beats one of them is one of them, so whether they overlap with a better pair can be told among them.
     """
-    rank = [F.desc("n"), F.col("left"), F.col("right")]
-    pairs = counts.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= bar).orderBy(*rank).limit(limit)
-    best = [tuple(row) for row in pairs.collect()]
-    places = counts.sparkSession.createDataFrame([(left, right, i) for i, (left, right, _) in enumerate(best)], "l string, r string, i int")
-    first = F.broadcast(places.select(F.col("l").alias("before"), F.col("r").alias("left"), F.col("i").alias("first")))
-    second = F.broadcast(places.select(F.col("l").alias("left"), F.col("r").alias("right"), F.col("i").alias("second")))
-    overlaps = counts.join(first, ["before", "left"]).join(second, ["left", "right"]).filter("first != second")
-    still = overlaps.groupBy("first", "second").agg(F.sum("n").alias("n")).filter("n > 0")
-    beaten = {row[0] for row in still.select(F.greatest("first", "second")).distinct().collect()}
-    return [pair for i, pair in enumerate(best) if i not in beaten]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = batch["pair"].to_numpy()
+            texts = [pa.array(list(map(numbers.text, half.tolist())), pa.string()) for half in (pairs >> 32, pairs & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays([batch["pair"], batch["n"], *texts], ["pair", "n", "left", "right"])
+
+    pairs = counts.groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= bar)
+    texts = pairs.mapInArrow(named, "pair bigint, n bigint, left string, right string")
+    return [(row[0], row[1]) for row in texts.orderBy(F.desc("n"), "left", "right").limit(limit).collect()]
