@@ -1,7 +1,8 @@
 """Near copies by the share of five-word shingles two texts have in common, 0.8 or more (Jaccard).
 
-Fingerprints of 64 bits don't reach such pairs: at 0.8 they are some ten bits apart, and unrelated texts often not much
-further. So the pairs are found exactly, by prefixes: in any fixed order of all shingles, two texts that share so much
+SimHash comes first: texts whose fingerprints (``simhash``) are linked are compared by their whole sets, and those that
+are similar are connected. Fingerprints don't reach all pairs: at 0.8 they are some ten bits apart, and unrelated texts often
+not much further. So what they have not connected is found by prefixes: in any fixed order of all shingles, two texts that share so much
 also share one of the first shingles of each, about a fifth of it. Shingles are ordered by their hash, common ones last;
 which are common is taken from a sample, and only the effort depends on it. What shares a shingle of its prefixes and
 is not too different in size and in a sketch, which can only rule out, is compared by the whole sets, first each text with
@@ -23,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandline.llm import simhash
 from strandline.llm.common import components, drop_rows, text_or_empty
 from strandline.llm.sharding import column_arrays, shard_count, slices
 from strandline.operators.ordering import broadcast_if_small
@@ -250,27 +252,52 @@ def _alike() -> Column:
     return F.col("shared") * WHOLE >= F.col("either") * PART
 
 
-def connecting_links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Similar pairs among stored (a, b) that connect the same texts as all similar ones do.
+def fingerprint_links(texts: DataFrame) -> DataFrame:
+    """(a, b): similar texts among those whose SimHash fingerprints are equal or linked.
+
+    Texts of one fingerprint are compared with the least of them, and the least ones of linked fingerprints with each other.
+    """
+    prints = simhash.fingerprints(texts.withColumnRenamed("node", "doc_id")).select(F.col("doc_id").alias("node"), "print")
+    prints = stored(prints.dropDuplicates(["node"]), "fingerprints")
+    least = stored(prints.groupBy("print").agg(F.min("node").alias("least")), "least-of-fingerprints")
+    same = prints.join(least, "print").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    sides = [least.toDF(f"print_{end}", f"node_{end}") for end in ("a", "b")]
+    linked = simhash.print_links(least.select("print")).toDF("print_a", "print_b").join(sides[0], "print_a").join(sides[1], "print_b")
+    linked = linked.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    pairs = stored(same.filter("a != b").unionByName(linked).distinct(), "fingerprint-pairs")
+    sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    pairs = stored(finely_possible(sets, pairs), "fingerprint-near")
+    return similarities(sets, pairs).filter(_alike()).select("a", "b")
+
+
+def _between(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs (a, b) that stored links don't connect."""
+    groups = broadcast_if_small(stored(components(links, "a", "b"), "groups"))
+    for end in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"group_{end}")), end, "left")
+    return pairs.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
+
+
+def connecting_links(sets: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Similar pairs among stored (a, b) that, with the stored ``known`` ones, connect what all similar ones do.
 
     Each text is compared with the least of its partners first. What that connects needs no further look, so of a group
     of k near copies some k pairs are compared, not k * k; all pairs that are left between groups follow.
     """
     first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
     links = stored(similarities(sets, first).filter(_alike()).select("a", "b"), "first-links")
-    groups = broadcast_if_small(stored(components(links, "a", "b"), "first-groups"))
-    named = pairs.join(first, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        named = named.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"group_{end}")), end, "left")
-    rest = named.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
+    rest = _between(pairs.join(first, ["a", "b"], "left_anti"), links if known is None else links.unionByName(known))
     rest = stored(rest, "other-pairs")
     return links.unionByName(similarities(sets, rest).filter(_alike()).select("a", "b"))
 
 
-def similar_links(texts: DataFrame, crowd: int = CROWD, connecting: bool = False) -> DataFrame:
+def similar_links(
+    texts: DataFrame, crowd: int = CROWD, connecting: bool = False, known: DataFrame | None = None
+) -> DataFrame:
     """(a, b): pairs of (node, text) that are similar; all pairs but in crowds, where fewer connect the same texts.
 
-    With ``connecting`` fewer pairs are compared elsewhere too, and those found connect the same texts.
+    With ``connecting`` fewer pairs are compared elsewhere too, and those found connect the same texts, together with
+    the stored links that are ``known`` already.
     """
     buckets, common = shard_count(texts, BUCKET_BYTES), common_shingles(texts)
     sent = texts.mapInArrow(_send(common, buckets), "bucket int, keys binary, nodes binary, sizes binary")
@@ -278,11 +305,12 @@ def similar_links(texts: DataFrame, crowd: int = CROWD, connecting: bool = False
     drawn = stored(sketches(texts), "sketches")
     crowds = met.filter("key is not null")
     ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    near = stored(possible(drawn, met.filter("key is null").select("a", "b").distinct()), "near-pairs")
+    met_pairs = met.filter("key is null").select("a", "b").distinct()
+    near = stored(possible(drawn, met_pairs if known is None else _between(met_pairs, known)), "near-pairs")
     if crowds.isEmpty():
         sets = shingle_sets(texts, near.select(F.explode(F.array("a", "b")).alias("node")))
         near = stored(finely_possible(sets, near), "nearer-pairs")
-        return connecting_links(sets, near) if connecting else similarities(sets, near).filter(_alike()).select("a", "b")
+        return connecting_links(sets, near, known) if connecting else similarities(sets, near).filter(_alike()).select("a", "b")
     firsts = stored(crowds.filter("a != b").select(*ends).distinct(), "first-of-crowds")
     sets = shingle_sets(texts, near.unionByName(firsts).select(F.explode(F.array("a", "b")).alias("node")))
     with_firsts = stored(similarities(sets, firsts), "similarities")
@@ -300,14 +328,17 @@ def similar_links(texts: DataFrame, crowd: int = CROWD, connecting: bool = False
     rest = rest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     rest = near.unionByName(possible(drawn, rest)).distinct().join(firsts, ["a", "b"], "left_anti")
     rest = stored(finely_possible(sets, stored(rest, "met-in-crowds")), "crowd-pairs")
-    more = connecting_links(sets, rest) if connecting else similarities(sets, rest).filter(_alike()).select("a", "b")
+    found = links if known is None else links.unionByName(known)
+    more = connecting_links(sets, rest, found) if connecting else similarities(sets, rest).filter(_alike()).select("a", "b")
     return links.unionByName(more)
 
 
 def keep_one_of_similar(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Of all documents that links connect, the row with the smallest ``doc_id``, nulls first, with all columns."""
-    links = stored(similar_links(_texts(documents), crowd, connecting=True), "similar")
-    groups = components(links, "a", "b")
+    texts = _texts(documents)
+    known = stored(fingerprint_links(texts), "similar-fingerprints")
+    links = stored(similar_links(texts, crowd, connecting=True, known=known), "similar")
+    groups = components(links.unionByName(known), "a", "b")
     rows = documents.select("doc_id", F.xxhash64(text_or_empty()).alias("node")).join(groups, "node", "left")
     rows = stored(rows.select("doc_id", "node", F.coalesce("component", "node").alias("component")), "similar-rows")
     best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("best"))
