@@ -52,17 +52,30 @@ def encode(
     return found.withColumns(columns).drop("__found")
 
 
-def _encoder(lookup, subword: bool):
-    def composed(texts: pa.Array) -> pa.Array:
-        if pc.all(pc.string_is_ascii(texts)).as_py() is not False:
-            return texts
-        return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+#: Text that is encoded at once; arrays over its words take some thirty times as much. A longer text comes alone.
+SLICE_BYTES = 2 << 20
+
+
+def encode_batch(trie: Trie, texts: pa.Array, subword: bool) -> pa.StructArray:
+    """Ids and starts of a batch in Unicode normal form C, a few texts after the other."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(texts)]
+    parts = [trie.encode(_composed(texts[a:b]), subword) for a, b in zip(cuts, cuts[1:])]
+    return pa.StructArray.from_arrays([pa.concat_arrays(column) for column in zip(*parts)], ["ids", "starts"])
+
 
+def _composed(texts: pa.Array) -> pa.Array:
+    if pc.all(pc.string_is_ascii(texts)).as_py() is not False:
+        return texts
+    return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+
+def _encoder(lookup, subword: bool):
     @F.arrow_udf("struct<ids:array<int>,starts:array<boolean>>")
     def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = lookup.value
         for texts in batches:
-            yield pa.StructArray.from_arrays(trie.encode(composed(texts), subword), ["ids", "starts"])
+            yield encode_batch(trie, texts, subword)
 
     return encode_texts.asNondeterministic()  # or a filter on its result would run it a second time
 
