@@ -4,11 +4,30 @@ Every stage decides over all rows that its predecessor kept: toxic documents go,
 document stays, documents that hold a benchmark item go, and from the rest tokens are drawn by the target weights.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import decontaminate, exact_dedup, queries, similar, toxicity
 from strandline.sources.shared import stored
 
+#: Text of an Arrow batch; it lies outside the heap, once on the way to Python and several times in a worker.
+ARROW_BYTES = 4 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    """A stage may be run by itself, so each one sees to the setting."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The lexicon is learned from the labelled rows among ``docs``."""
@@ -39,6 +58,7 @@ STAGES = [
     ("benchmark decontamination", drop_benchmark_copies),
     ("mixing sources to target weights", draw_mix),
 ]
+STAGES = [(name, _in_small_batches(stage)) for name, stage in STAGES]
 
 #: Fingerprints and alignments have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None

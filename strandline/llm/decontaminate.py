@@ -31,12 +31,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strandline.operators.ordering import broadcast_if_small
+from strandline.sources.shared import stored
+
 #: Items of fewer words have no seeds.
 LEAST_WORDS = 3
 MATCH, CHANGE = 2, -1
 #: One word in five replaced leaves 0.7 of the full score; short items lose a little more by one word.
 THRESHOLD = 0.65
 BLOCK_BYTES = 4 << 20
+#: Words that are counted at once; arrays over them take some ten times eight bytes. A longer text comes alone.
+COUNTED_WORDS = 1 << 18
+#: Texts to drop that every executor is told; more of them meet the documents in a shuffle.
+TOLD_TEXTS = 200_000
 
 #: ASCII letters in lower case, digits as they are, other ASCII characters as spaces; then punctuation beyond ASCII:
 #: Latin-1 signs, general, CJK and full-width punctuation.
@@ -261,9 +268,7 @@ def with_corpus_counts(texts: DataFrame, items: Items) -> Items:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(len(codes), np.int64) for _, codes in distinct]
-        for batch in batches:
-            apart = np.array([-1])
-            numbers = np.concatenate([part for text in batch["text"].to_pylist() for part in (items.numbers(text), apart)] or [apart])
+        for numbers in _few_at_once(items, batches):
             for (width, codes), total in zip(distinct, totals):
                 found = grams(numbers, width, len(items.vocabulary))
                 at = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
@@ -277,12 +282,26 @@ def with_corpus_counts(texts: DataFrame, items: Items) -> Items:
     return items.with_rare_seeds({(r.width, r.code): r.n for r in counted.agg(F.sum("n").alias("n")).toLocalIterator()})
 
 
+def _few_at_once(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The words of some texts after each other, as numbers; -1 stands behind every text."""
+    held, size, apart = [], 0, np.array([-1])
+    for batch in batches:
+        for text in batch["text"]:
+            held += [items.numbers(text.as_py()), apart]
+            size += len(held[-2]) + 1
+            if size >= COUNTED_WORDS:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def _block(texts: DataFrame, items: Items) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
                 (doc_id, items.ids[item], score, start, end, hashlib.sha256(text.encode()).hexdigest())
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())
+                for doc_id, text in zip(batch["doc_id"].to_pylist(), (text.as_py() for text in batch["text"]))
                 for item, score, start, end in find_in_text(items, text)
             ]
             columns = list(zip(*rows)) or [()] * 6
@@ -294,7 +313,11 @@ def _block(texts: DataFrame, items: Items) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a copy of an item, with all their columns. A row goes for its own text, whatever its id."""
+    """The documents without a copy of an item, with all their columns. A row goes for its own text, whatever its id.
+
+    Texts stay where they are, unless too many are dropped to be known everywhere.
+    """
     found = _found(documents.select(F.col("doc_id").cast("long"), "text"), benchmark)
-    dropped = found.select(F.col("text_sha256").alias("__dropped")).distinct()
-    return documents.join(dropped, F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("__dropped"), "left_anti")
+    dropped = stored(found.select(F.unhex("text_sha256").alias("__dropped")).distinct(), "dropped-texts")
+    told = broadcast_if_small(dropped, TOLD_TEXTS)
+    return documents.join(told, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("__dropped"), "left_anti")

@@ -57,7 +57,7 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(text) for text in batch["text"].to_pylist()]
+        prints = [fingerprint(text.as_py()) for text in batch["text"]]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.int64())], ["doc_id", "print"])
 
 

@@ -305,6 +305,6 @@ def keep_clean(documents: DataFrame, lexicon: Lexicon) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = _linear(lexicon)
         for batch in batches:
-            yield batch.filter(pa.array([measure(text) < 0 for text in batch["text"].to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([measure(text.as_py()) < 0 for text in batch["text"]], pa.bool_()))
 
     return documents.mapInArrow(clean, documents.schema)
