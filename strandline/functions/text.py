@@ -1,9 +1,17 @@
 """Text clean-up and word lists."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from strandline.constants import NOT_A_LETTER, WIDTH
 
+#: What ``(?U)\s`` of Java stands for, but the space.
+_OTHER_SPACE = r"\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: White space that is not a single space: hardly any of it is replaced.
+_NOT_ONE_SPACE = f" [ {_OTHER_SPACE}]+|[{_OTHER_SPACE}][ {_OTHER_SPACE}]*"
+
 
 def clean_event(text) -> Column:
     """Drop spaces, then turn all but Hangul, digits and Latin letters into '_'."""
@@ -41,5 +49,17 @@ def spaced(text) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def spaced_texts(texts: pa.Array) -> pa.Array:
+    """``spaced`` of an Arrow array."""
+    return pc.ascii_trim(pc.replace_substring_regex(texts, _NOT_ONE_SPACE, " "), " ")
+
+
+def text_slices(texts: pa.Array, slice_bytes: int) -> list[pa.Array]:
+    """The array in stretches of some ``slice_bytes`` of text; a longer text comes alone."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // slice_bytes)) + 1).tolist(), len(texts)]
+    return [texts[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def spaced_words(text) -> Column:
     return F.filter(F.split(text, r"(?U)\s+", -1), lambda w: w != "")

@@ -20,7 +20,7 @@ from strandline.constants import (
     UNK,
     WIDTH,
 )
-from strandline.functions.text import last_items, spaced, spaced_words, words
+from strandline.functions.text import last_items, spaced_texts, spaced_words, text_slices, words
 from strandline.operators.ordering import split_heavy
 from strandline.operators.trie import Trie
 from strandline.operators.vocabulary import with_composed_text
@@ -47,7 +47,7 @@ def encode(
     if table.num_rows > max_pieces:
         return _encode_by_lookup(df, vocab, text, name, subword, starts)
     lookup = df.sparkSession.sparkContext.broadcast(Trie.of(table))
-    found = df.withColumn("__found", _encoder(lookup, subword)(spaced(F.col(text))))
+    found = df.withColumn("__found", _encoder(lookup, subword)(F.col(text).cast("string")))
     columns = {name: F.col("__found.ids")} | ({starts: F.col("__found.starts")} if starts else {})
     return found.withColumns(columns).drop("__found")
 
@@ -58,9 +58,7 @@ SLICE_BYTES = 2 << 20
 
 def encode_batch(trie: Trie, texts: pa.Array, subword: bool) -> pa.StructArray:
     """Ids and starts of a batch in Unicode normal form C, a few texts after the other."""
-    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
-    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(texts)]
-    parts = [trie.encode(_composed(texts[a:b]), subword) for a, b in zip(cuts, cuts[1:])]
+    parts = [trie.encode(_composed(some), subword) for some in text_slices(texts, SLICE_BYTES)]
     return pa.StructArray.from_arrays([pa.concat_arrays(column) for column in zip(*parts)], ["ids", "starts"])
 
 
@@ -75,7 +73,7 @@ def _encoder(lookup, subword: bool):
     def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         trie = lookup.value
         for texts in batches:
-            yield encode_batch(trie, texts, subword)
+            yield encode_batch(trie, spaced_texts(texts), subword)
 
     return encode_texts.asNondeterministic()  # or a filter on its result would run it a second time
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandline.constants import CONTINUATION, MAX_VOCABULARY, MIN_FREQUENCY, SPECIAL_PIECES
-from strandline.functions.text import spaced_words
+from strandline.functions.text import spaced_texts, text_slices
 from strandline.operators.merging import NumberedWords, PieceNumbers, finish, first_pieces, joined
 from strandline.operators.ordering import with_position
 from strandline.sources.shared import reliable_checkpoint, stored
@@ -23,21 +23,32 @@ SHARD_PIECES = 500_000
 ROUND_PAIRS = 20_000
 #: Rounds after which the changes of counts are added up.
 COMPACT_ROUNDS = 8
+#: Text whose words are counted at once; a longer text comes alone.
+COUNTED_BYTES = 8 << 20
 
 
 def word_counts(df: DataFrame, text: str = "evnt", min_frequency: int = 1, limit: int | None = None) -> DataFrame:
-    """Rows (word, freq) in Unicode normal form C; ``limit`` keeps the most frequent words, ties by word."""
-    perhaps = F.coalesce(_perhaps_decomposed(F.col(text)), F.lit(False))  # hardly any text
-    words_of = F.explode(spaced_words(F.col(text))).alias("word")
-    same = df.filter(~perhaps).select(words_of)
-    other = df.filter(perhaps).select(words_of).select(composed(F.col("word")).alias("word"))
-    counts = same.unionByName(other).groupBy("word").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_frequency)
+    """Rows (word, freq) in Unicode normal form C; ``limit`` keeps the most frequent words, ties by word.
+
+    Words are counted in stretches of texts first, so that a row is made for a word of a stretch and not for each one.
+    """
+    some = df.select(F.col(text).cast("string").alias("text")).mapInArrow(_count_words, "word string, freq bigint")
+    some = some.select(composed(F.col("word")).alias("word"), "freq")
+    counts = some.groupBy("word").agg(F.sum("freq").alias("freq")).filter(F.col("freq") >= min_frequency)
     if limit is None:
         return counts
     ranked = with_position(counts, F.col("freq").desc(), F.col("word"))
     return ranked.filter(F.col("position") < limit).drop("position")
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for texts in text_slices(batch["text"], COUNTED_BYTES):
+            counted = pc.split_pattern(spaced_texts(texts), " ").flatten().value_counts()
+            found = pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts").cast(pa.int64())], ["word", "freq"])
+            yield found.filter(pc.not_equal(found["word"], ""))  # of empty texts
+
+
 def word_vocabulary(
     df: DataFrame,
     text: str = "evnt",
