@@ -18,7 +18,7 @@ from strandline.constants import (
     TOKEN_MASK_PROBABILITY,
     WIDTH,
 )
-from strandline.functions.hashing import draw, hash_hex, hex_bar, hit
+from strandline.functions.hashing import draw, hash_hex, hex_bar, hit, hits
 from strandline.functions.text import last_items
 from strandline.operators.encoding import pad_sequence
 
@@ -96,8 +96,8 @@ def mask_tokens(
     df: DataFrame, key: str, vocab_size: int, ids: str = "input_ids", p: float = TOKEN_MASK_PROBABILITY, seed: int = SEED
 ) -> DataFrame:
     """Choose every id by itself."""
-    hits = F.transform(ids, lambda _, i: hit(p, seed, "token", F.col(key), i))
-    return _replace_chosen(df, hits, key, ids, vocab_size, seed)
+    chosen = F.transform(ids, lambda _, i: hit(p, seed, "token", F.col(key), i))
+    return _replace_chosen(df, chosen, key, ids, vocab_size, seed)
 
 
 def mask_words(
@@ -116,17 +116,17 @@ def mask_words(
     What belongs together is told by ``starts``, the flags that ``encode`` gives, or else by the marks of ``pieces``.
     """
     if starts:
-        hits = _word_hits(F.col(starts), lambda number: hit(p, seed, "word", F.col(key), number))
-        return _replace_chosen(df, hits, key, ids, vocab_size, seed)
+        chosen = _word_hits(F.col(starts), lambda number: hit(p, seed, "word", F.col(key), number))
+        return _replace_chosen(df, chosen, key, ids, vocab_size, seed)
     glue = "\x01"
     whole = F.split(F.replace(F.array_join(pieces, " "), F.lit(f" {CONTINUATION}"), F.lit(glue)), " ")
     first = F.when(F.get(pieces, 0).startswith(CONTINUATION), 0).otherwise(1)
 
-    def hits_of(word: Column, i: Column) -> Column:
-        return F.array_repeat(hit(p, seed, "word", F.col(key), first + i), F.size(F.split(word, glue)))
-
-    hits = F.flatten(F.transform(whole, hits_of))
-    return _replace_chosen(df, hits, key, ids, vocab_size, seed)
+    rows = df.withColumn("__words", whole)
+    rows = rows.withColumn("__drawn", hits(p, F.size("__words") + first, seed, "word", F.col(key)))
+    drawn = F.slice("__drawn", first + 1, F.size("__words"))
+    chosen = F.flatten(F.zip_with("__words", drawn, lambda word, one: F.array_repeat(one, F.size(F.split(word, glue)))))
+    return _replace_chosen(rows, chosen, key, ids, vocab_size, seed).drop("__words", "__drawn")
 
 
 def _word_hits(starts: Column, hit_of: Callable[[Column], Column]) -> Column:
