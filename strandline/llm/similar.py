@@ -270,25 +270,88 @@ def fingerprint_links(texts: DataFrame) -> DataFrame:
     return similarities(sets, pairs).filter(_alike()).select("a", "b")
 
 
-def _between(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs (a, b) that stored links don't connect."""
-    groups = broadcast_if_small(stored(components(links, "a", "b"), "groups"))
-    for end in ("a", "b"):
-        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("component").alias(f"group_{end}")), end, "left")
-    return pairs.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
+def _shared(table: pa.Table) -> pa.Table:
+    """A row for each text of a shingle that several texts have, with the least of these; pairs come later."""
+    keys = np.concatenate(column_arrays(table, "keys", np.uint64))
+    nodes = np.concatenate(column_arrays(table, "nodes", np.int64))
+    sizes = np.concatenate(column_arrays(table, "sizes", np.uint32)).astype(np.int32)
+    order = np.lexsort((nodes, keys))
+    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]
+    keys, nodes, sizes = keys[new], nodes[new], sizes[new]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    times = np.diff(np.r_[starts, len(keys)])
+    first, first_size, texts = (np.repeat(x, times) for x in (nodes[starts], sizes[starts], times))
+    columns = {"key": keys.view(np.int64), "node": nodes, "size": sizes, "first": first, "first_size": first_size, "texts": texts}
+    return pa.table(columns).filter(pa.array(texts > 1))
+
+
+def _sizes_near(size: str, other: str) -> Column:
+    return PART * F.greatest(size, other) <= WHOLE * F.least(size, other)
+
+
+def _with_bits(rows: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Rows of (node, size) with the words of their sketches in columns, so that a join can count bits before it makes a row."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.int64).reshape(-1, len(_BITS))
+            columns = [pa.array(np.ascontiguousarray(column)) for column in bits.T]
+            yield pa.RecordBatch.from_arrays([batch["node"], *columns], ["node", *_BITS])
+
+    words = drawn.mapInArrow(split, "node bigint, " + ", ".join(f"{name} bigint" for name in _BITS))
+    return rows.join(words, "node")
+
 
+_BITS = [f"bits_{n}" for n in range(8)]
 
-def connecting_links(sets: DataFrame, pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Similar pairs among stored (a, b) that, with the stored ``known`` ones, connect what all similar ones do.
 
-    Each text is compared with the least of its partners first. What that connects needs no further look, so of a group
-    of k near copies some k pairs are compared, not k * k; all pairs that are left between groups follow.
+def _between_groups(met: DataFrame, drawn: DataFrame, links: DataFrame, done: DataFrame) -> DataFrame:
+    """(node, other, other_group, apart): texts of a shingle that may be similar, are not ``done`` and not connected by links.
+
+    A row comes once a shingle. In a shingle the texts outside its largest group meet all others.
     """
-    first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    links = stored(similarities(sets, first).filter(_alike()).select("a", "b"), "first-links")
-    rest = _between(pairs.join(first, ["a", "b"], "left_anti"), links if known is None else links.unionByName(known))
-    rest = stored(rest, "other-pairs")
-    return links.unionByName(similarities(sets, rest).filter(_alike()).select("a", "b"))
+    groups = broadcast_if_small(stored(components(stored(links, "connected"), "a", "b"), "groups"))
+    rows = met.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).select("key", "node", "size", "group")
+    sizes = rows.groupBy("key", "group").agg(F.count("*").alias("n")).groupBy("key")
+    mixed = sizes.agg(F.count("*").alias("groups"), F.max(F.struct("n", "group"))["group"].alias("largest")).filter("groups > 1")
+    rows = stored(_with_bits(rows.join(mixed.select("key", "largest"), "key"), drawn), "met-between-groups")
+    others = rows.drop("largest").toDF(*[f"other_{name}" for name in rows.columns if name != "largest"])
+    apart = sum((F.bit_count(F.col(name).bitwiseXOR(F.col(f"other_{name}"))) for name in _BITS), F.lit(0))
+    once = (F.col("other_group") == F.col("largest")) | (F.col("node") < F.col("other_node"))
+    near = _sizes_near("size", "other_size") & ((WHOLE + PART) * apart <= (WHOLE - PART) * (F.col("size") + F.col("other_size")))
+    found = rows.filter("group != largest").join(others, (F.col("key") == F.col("other_key")) & (F.col("group") != F.col("other_group")) & once & near)
+    found = found.select("node", F.col("other_node").alias("other"), "other_group", apart.alias("apart"))
+    known = broadcast_if_small(done.select("a", "b"))
+    return found.join(known, (F.least("node", "other") == F.col("a")) & (F.greatest("node", "other") == F.col("b")), "left_anti")
+
+
+def _compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``similarities`` of the pairs that their fine sketches don't rule out."""
+    pairs = stored(pairs.distinct(), "near-pairs")
+    sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    pairs = stored(finely_possible(sets, pairs), "nearer-pairs")
+    return stored(similarities(sets, pairs), "similarities")
+
+
+def connecting_links(texts: DataFrame, met: DataFrame, drawn: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Similar pairs (a, b) that, with the stored ``known`` ones, connect what all similar ones do.
+
+    ``met``: the stored rows of ``_shared``. Texts of a shingle are compared with the least of them. What that connects
+    needs no further look; then a text is compared with the most alike, by their sketches, of each other group that it meets,
+    and at last all pairs that are left between groups. So of k near copies some k pairs are made, not k * k.
+    """
+    firsts = met.filter((F.col("node") != F.col("first")) & _sizes_near("size", "first_size"))
+    done = _compared(texts, possible(drawn, firsts.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()))
+    met = met.filter("texts > 2").select("key", "node", "size")  # two have been compared
+    for last in (False, True):
+        links = done.filter(_alike()).select("a", "b")
+        pairs = _between_groups(met, drawn, links if known is None else links.unionByName(known), done)
+        if not last:
+            pairs = pairs.groupBy("node", "other_group").agg(F.min(F.struct("apart", "other"))["other"].alias("other"))
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        done = done.unionByName(_compared(texts, pairs))
+    return done.filter(_alike()).select("a", "b")
 
 
 def similar_links(
@@ -296,21 +359,23 @@ def similar_links(
 ) -> DataFrame:
     """(a, b): pairs of (node, text) that are similar; all pairs but in crowds, where fewer connect the same texts.
 
-    With ``connecting`` fewer pairs are compared elsewhere too, and those found connect the same texts, together with
-    the stored links that are ``known`` already.
+    With ``connecting`` fewer pairs are made everywhere, and those found connect the same texts, together with the stored
+    links that are ``known`` already.
     """
     buckets, common = shard_count(texts, BUCKET_BYTES), common_shingles(texts)
-    sent = texts.mapInArrow(_send(common, buckets), "bucket int, keys binary, nodes binary, sizes binary")
-    met = stored(sent.groupBy("bucket").applyInArrow(_meet(crowd), "a bigint, b bigint, key bigint"), "met")
+    sent = texts.mapInArrow(_send(common, buckets), "bucket int, keys binary, nodes binary, sizes binary").groupBy("bucket")
     drawn = stored(sketches(texts), "sketches")
+    if connecting:
+        met = sent.applyInArrow(_shared, "key bigint, node bigint, size int, first bigint, first_size int, texts bigint")
+        return connecting_links(texts, stored(met, "met"), drawn, known)
+    met = stored(sent.applyInArrow(_meet(crowd), "a bigint, b bigint, key bigint"), "met")
     crowds = met.filter("key is not null")
     ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    met_pairs = met.filter("key is null").select("a", "b").distinct()
-    near = stored(possible(drawn, met_pairs if known is None else _between(met_pairs, known)), "near-pairs")
+    near = stored(possible(drawn, met.filter("key is null").select("a", "b").distinct()), "near-pairs")
     if crowds.isEmpty():
         sets = shingle_sets(texts, near.select(F.explode(F.array("a", "b")).alias("node")))
         near = stored(finely_possible(sets, near), "nearer-pairs")
-        return connecting_links(sets, near, known) if connecting else similarities(sets, near).filter(_alike()).select("a", "b")
+        return similarities(sets, near).filter(_alike()).select("a", "b")
     firsts = stored(crowds.filter("a != b").select(*ends).distinct(), "first-of-crowds")
     sets = shingle_sets(texts, near.unionByName(firsts).select(F.explode(F.array("a", "b")).alias("node")))
     with_firsts = stored(similarities(sets, firsts), "similarities")
@@ -328,9 +393,7 @@ def similar_links(
     rest = rest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     rest = near.unionByName(possible(drawn, rest)).distinct().join(firsts, ["a", "b"], "left_anti")
     rest = stored(finely_possible(sets, stored(rest, "met-in-crowds")), "crowd-pairs")
-    found = links if known is None else links.unionByName(known)
-    more = connecting_links(sets, rest, found) if connecting else similarities(sets, rest).filter(_alike()).select("a", "b")
-    return links.unionByName(more)
+    return links.unionByName(similarities(sets, rest).filter(_alike()).select("a", "b"))
 
 
 def keep_one_of_similar(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
