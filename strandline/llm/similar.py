@@ -211,18 +211,23 @@ def finely_possible(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return sides.join(drawn.toDF("b", "size_b", "sketch_b"), "b").mapInArrow(hold, "a bigint, b bigint")
 
 
-def shingle_sets(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, size, sketch, keys): the sets of the texts of (node), each once, as bytes, and their fine sketches."""
+def shingle_sets(texts: DataFrame, nodes: DataFrame, whole: bool = True) -> DataFrame:
+    """(node, size, sketch, keys): the sets of the texts of (node), each once, as bytes, and their fine sketches.
+
+    Without ``whole`` there are no ``keys``, thirty times the size of a sketch.
+    """
+    names = ["node", "size", "sketch", "keys"][: 4 if whole else 3]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few_at_once(batches, 100):
             found = [shingles(text) for text in batch["text"].to_pylist()]
-            drawn, keys = (pa.array([f(x).tobytes() for x in found], pa.binary()) for f in (fine_sketch, np.asarray))
+            drawn = [pa.array([f(x).tobytes() for x in found], pa.binary()) for f in (fine_sketch, np.asarray)[: len(names) - 2]]
             sizes = pa.array(list(map(len, found)), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["node"], sizes, drawn, keys], ["node", "size", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["node"], sizes, *drawn], names)
 
     wanted = broadcast_if_small(stored(nodes.distinct(), "wanted"))
-    found = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node bigint, size int, sketch binary, keys binary")
+    found = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    found = found.mapInArrow(sets, "node bigint, size int, sketch binary" + ", keys binary" * whole)
     return stored(found, "shingle-sets")
 
 
@@ -326,12 +331,18 @@ def _between_groups(met: DataFrame, drawn: DataFrame, links: DataFrame, done: Da
     return found.join(known, (F.least("node", "other") == F.col("a")) & (F.greatest("node", "other") == F.col("b")), "left_anti")
 
 
-def _compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``similarities`` of the pairs that their fine sketches don't rule out."""
+def _compared(texts: DataFrame, pairs: DataFrame, fine: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``similarities`` of the pairs that their fine sketches don't rule out, and these with those drawn before.
+
+    Sets are made only for the pairs that are left: long texts meet many others that the narrow sketches can't tell apart.
+    """
     pairs = stored(pairs.distinct(), "near-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    drawn = shingle_sets(texts, nodes if fine is None else nodes.join(fine.select("node"), "node", "left_anti"), whole=False)
+    fine = drawn if fine is None else fine.unionByName(drawn)
+    pairs = stored(finely_possible(fine, pairs), "nearer-pairs")
     sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    pairs = stored(finely_possible(sets, pairs), "nearer-pairs")
-    return stored(similarities(sets, pairs), "similarities")
+    return stored(similarities(sets, pairs), "similarities"), fine
 
 
 def connecting_links(texts: DataFrame, met: DataFrame, drawn: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -342,7 +353,8 @@ def connecting_links(texts: DataFrame, met: DataFrame, drawn: DataFrame, known:
     and at last all pairs that are left between groups. So of k near copies some k pairs are made, not k * k.
     """
     firsts = met.filter((F.col("node") != F.col("first")) & _sizes_near("size", "first_size"))
-    done = _compared(texts, possible(drawn, firsts.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()))
+    firsts = firsts.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    done, fine = _compared(texts, possible(drawn, firsts))
     met = met.filter("texts > 2").select("key", "node", "size")  # two have been compared
     for last in (False, True):
         links = done.filter(_alike()).select("a", "b")
@@ -350,7 +362,8 @@ def connecting_links(texts: DataFrame, met: DataFrame, drawn: DataFrame, known:
         if not last:
             pairs = pairs.groupBy("node", "other_group").agg(F.min(F.struct("apart", "other"))["other"].alias("other"))
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        done = done.unionByName(_compared(texts, pairs))
+        more, fine = _compared(texts, pairs, fine)
+        done = done.unionByName(more)
     return done.filter(_alike()).select("a", "b")
 
 
