@@ -10,7 +10,8 @@ one other, and then what that has not connected.
 
 Where more than ``CROWD`` texts share a shingle, all are compared with one of them, and then only those that are not
 similar to it with the others. Distances (one less the similarity) obey the triangle inequality, so pairs whose
-distances to that one differ by more than the limit are left out, and no group is compared all with all for being large.
+distances to that one differ by more than the limit are left out, and no group is compared all with all for being large. Where only what is connected
+is asked for (``connecting_links``), no pairs are made inside of groups at all.
 
 Words are those of ``simhash``; a text of fewer words than a shingle is one shingle. Null texts count as empty, and
 texts without words are equal. Texts and shingles are told apart by 64-bit hashes. Rows are decided one by one: repeated
