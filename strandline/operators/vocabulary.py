@@ -1,16 +1,19 @@
 """Word and subword vocabularies as tables (piece, id, freq)."""
 
-import heapq
+import base64
+import pickle
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import BarrierTaskContext, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandline.constants import CONTINUATION, MAX_VOCABULARY, MIN_FREQUENCY, SPECIAL_PIECES
 from strandline.functions.text import spaced_texts, text_slices
+from strandline.operators.merge_rounds import LinkedWords, merge_rounds, risen_bar
 from strandline.operators.merging import NumberedWords, PieceNumbers, finish, first_pieces, joined
 from strandline.operators.ordering import with_position
 from strandline.sources.shared import reliable_checkpoint, stored
@@ -21,6 +24,10 @@ SMALL_PIECES = 1_000_000
 SHARD_PIECES = 500_000
 #: Pairs that a round looks at, the best ones; every task gets them.
 ROUND_PAIRS = 20_000
+#: Pieces that a task holds in memory for all rounds, some 25 bytes each, and how many of them are a shard.
+ROUND_PIECES, LINKED_PIECES = 20_000_000, 4_000_000
+#: Tasks at most that agree on the merges of a round; what one tells, all of them read.
+ROUND_TASKS = 32
 #: Rounds after which the changes of counts are added up.
 COMPACT_ROUNDS = 8
 #: Text whose words are counted at once; a longer text comes alone.
@@ -80,8 +87,10 @@ def train_wordpiece(
 ) -> DataFrame:
     """Subword vocabulary: single characters, then merges of frequent neighbours.
 
-    Words are counted, and from then on only distinct words matter. They lie in shards, as arrays of numbers of pieces.
-    A round is a few passes over these arrays, and sends the changes of the counts of pairs.
+    Words are counted, and from then on only distinct words matter. They lie in shards, as arrays of numbers of pieces,
+    which stay in the memory of tasks that run at the same time and agree on every round; with ``ROUND_PIECES`` pieces left,
+    of one task (``merge_rounds``). Where tasks can't wait for each other, or there are too many words for their memory,
+    shards are stored, and a round is jobs over them.
 
     The textbook way merges the one most frequent pair per round. Here a round merges every
     pair that beats all pairs it overlaps with, wherever it occurs: nothing that the
@@ -94,8 +103,9 @@ def train_wordpiece(
     ``freq`` is how often the piece occurred when it came in. The pairs merged pass through
     the driver, at most ``vocab_size`` of them in a round.
     """
-    words = _limit_alphabet(word_counts(df, text), limit_alphabet)
-    words = reliable_checkpoint(words.select("word", "freq"))
+    counts = stored(word_counts(df, text), "words")
+    words = _limit_alphabet(counts, limit_alphabet)
+    words = counts if words is counts else stored(words.select("word", "freq"), "words")
     single = words.select("freq", _initial_pieces().alias("pieces"))
     alphabet = (
         single.select(F.explode("pieces").alias("piece"), "freq")
@@ -114,41 +124,135 @@ def _merges(words: DataFrame, room: int, min_frequency: int, small: int) -> dict
     """The pieces that merges make, with their counts; a few more than ``room`` perhaps."""
     made: dict[str, int] = {}
     numbers = PieceNumbers()
+    none = F.lit(None)
     pieces = words.agg(F.sum(F.length("word"))).first()[0] or 0
-    state, bar = None, min_frequency
+    rest = words.select(none.cast("binary").alias("pieces"), none.cast("binary").alias("freqs"), "word", "freq")
     if pieces > small:
-        partitions = max(words.sparkSession.sparkContext.defaultParallelism, -(-pieces // SHARD_PIECES))
-        shard = F.pmod(F.xxhash64("word"), F.lit(partitions)).cast("int").alias("shard")
-        state = stored(words.select(shard, "word", "freq").groupBy("shard").applyInArrow(_build_shard, _STATE), "subwords")
-        counts, rounds = state.filter("pair is not null").select("pair", "n"), 0
-        while best := _best(counts, numbers, bar, min(room, ROUND_PAIRS)):
-            shards = state.filter("pieces is not null").select("pieces", "freqs")
-            seen = [tuple(row) for row in shards.mapInArrow(_look(np.array([key for key, _ in best])), "place int, left bigint").collect()]
-            if sum(left for _, left in seen if left is not None) <= small:
-                break
-            beaten = {place for place, left in seen if left is None}
-            merges = {}
-            for key, n in (pair for place, pair in enumerate(best) if place not in beaten):
-                piece = joined(numbers.text(key >> 32), numbers.text(key & 0xFFFFFFFF))
-                made.setdefault(piece, n)
-                merges[key] = numbers.number(piece)
-            if len(made) >= room:
-                bar = max(min_frequency, heapq.nlargest(room, made.values())[-1])
-            state = stored(shards.mapInArrow(_merge_shards(merges), _STATE), "subwords")
-            counts, rounds = counts.unionByName(state.filter("pair is not null").select("pair", "n")), rounds + 1
-            if rounds % COMPACT_ROUNDS == 0:
-                counts = stored(counts.groupBy("pair").agg(F.sum("n").alias("n")).filter("n != 0"), "pairs")
+        tasks = _tasks_at_once(words.sparkSession)
+        if pieces <= ROUND_PIECES or 1 < tasks and pieces <= tasks * ROUND_PIECES:
+            shards = _rounds_in_memory(rest, pieces, tasks, made, room, min_frequency, small)
         else:
+            shards = _rounds_by_jobs(words, pieces, made, numbers, room, min_frequency, small)
+        if shards is None:
             return made
-    none = F.lit(None)
-    rest = words.select(none.cast("binary").alias("pieces"), none.cast("binary").alias("freqs"), "word", "freq")
-    if state is not None:
-        shards = state.filter("pieces is not null").select("pieces", "freqs")
+        for piece in made:
+            numbers.number(piece)
         rest = shards.select("*", none.cast("string").alias("word"), none.cast("long").alias("freq"))
+    bar = risen_bar(made, room, min_frequency)
     last = rest.repartition(1).mapInArrow(_finish(numbers, made, room, bar), "piece string, n bigint")  # ``small`` pieces at most
     return dict(map(tuple, last.collect())) | made
 
 
+def _tasks_at_once(spark: SparkSession) -> int:
+    """How many tasks can wait for each other."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 1
+    context = spark.sparkContext._jsc.sc()
+    return min(ROUND_TASKS, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
+def _rounds_in_memory(
+    rest: DataFrame, pieces: int, tasks: int, made: dict[str, int], room: int, bar: int, small: int
+) -> DataFrame | None:
+    """Fill in what rounds make; the words that are left, None if no merges are.
+
+    More pieces than one task holds are first in several, which wait for each other twice in a round, a second or so each time.
+    """
+    for together in [tasks, 1] if pieces > ROUND_PIECES else [1]:
+        stop = max(small, ROUND_PIECES) if together > 1 else small
+        run = _run_rounds(made, room, bar, min(room, ROUND_PAIRS), stop, together > 1)
+        state = stored(rest.repartition(together).mapInArrow(run, _ROUNDS, barrier=together > 1), "subwords")
+        told = sorted(map(tuple, state.filter("place is not null").select("place", "piece", "n").collect()))
+        made |= {piece: n for _, piece, n in told if piece is not None}
+        if not told or told[-1][2]:
+            return None
+        shards = state.filter("pieces is not null").select("pieces", "freqs")
+        rest = shards.select("*", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("freq"))
+        if stop == small:
+            break
+    return shards
+
+
+#: A row with a shard of what is left, or what was made, by place; the last one has no piece and says whether that is all.
+_ROUNDS = "pieces binary, freqs binary, place int, piece string, n bigint"
+_ROUND_TYPES = {"pieces": pa.binary(), "freqs": pa.binary(), "place": pa.int32(), "piece": pa.string(), "n": pa.int64()}
+
+
+def _run_rounds(made: dict[str, int], room: int, bar: int, limit: int, small: int, together: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = list(_linked(batches))
+        pieces = dict(made)
+        gather = _gather if together else lambda value: [value]
+        ended = merge_rounds(shards, gather, pieces, room, bar, limit, small)
+        if not ended:
+            for shard in shards:
+                parts = (pa.array([part.tobytes()], pa.binary()) for part in shard.rest())
+                yield _rows(**dict(zip(("pieces", "freqs"), parts)))
+        if not TaskContext.get().partitionId():
+            columns = {"place": range(len(pieces) + 1), "piece": [*pieces, None], "n": [*pieces.values(), int(ended)]}
+            yield _rows(**{name: pa.array(values, _ROUND_TYPES[name]) for name, values in columns.items()})
+
+    return run
+
+
+def _gather(value) -> list:
+    """The value of every task that runs at the same time, in the order of tasks."""
+    told = BarrierTaskContext.get().allGather(base64.b64encode(pickle.dumps(value)).decode())
+    return [pickle.loads(base64.b64decode(each)) for each in told]
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[LinkedWords]:
+    """Shards of words, or of what is left of them; one at least."""
+    some: list[NumberedWords] = [NumberedWords.of([], [])]
+    for batch in batches:
+        whole = batch.filter(pc.is_valid(batch["word"]))
+        some.append(NumberedWords.of(whole["word"].to_pylist(), whole["freq"].to_pylist()))
+        some += _read_shards(batch.filter(pc.is_valid(batch["pieces"])))
+        if sum(len(words.pieces) for words in some) >= LINKED_PIECES:
+            yield _one_shard(some)
+            some = some[:1]
+    yield _one_shard(some)
+
+
+def _one_shard(some: list[NumberedWords]) -> LinkedWords:
+    return LinkedWords(*(np.concatenate([getattr(words, part) for words in some]) for part in ("pieces", "freqs")))
+
+
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    """A batch with the columns that are given, the others null."""
+    n = len(next(iter(columns.values())))
+    arrays = [columns.get(name, pa.nulls(n, kind)) for name, kind in _ROUND_TYPES.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(_ROUND_TYPES))
+
+
+def _rounds_by_jobs(
+    words: DataFrame, pieces: int, made: dict[str, int], numbers: PieceNumbers, room: int, min_frequency: int, small: int
+) -> DataFrame | None:
+    """The same with a few jobs a round, which need no more memory with more words."""
+    bar = min_frequency
+    partitions = max(words.sparkSession.sparkContext.defaultParallelism, -(-pieces // SHARD_PIECES))
+    shard = F.pmod(F.xxhash64("word"), F.lit(partitions)).cast("int").alias("shard")
+    state = stored(words.select(shard, "word", "freq").groupBy("shard").applyInArrow(_build_shard, _STATE), "subwords")
+    counts, rounds = state.filter("pair is not null").select("pair", "n"), 0
+    while best := _best(counts, numbers, bar, min(room, ROUND_PAIRS)):
+        shards = state.filter("pieces is not null").select("pieces", "freqs")
+        seen = [tuple(row) for row in shards.mapInArrow(_look(np.array([key for key, _ in best])), "place int, left bigint").collect()]
+        if sum(left for _, left in seen if left is not None) <= small:
+            return shards
+        beaten = {place for place, left in seen if left is None}
+        merges = {}
+        for key, n in (pair for place, pair in enumerate(best) if place not in beaten):
+            piece = joined(numbers.text(key >> 32), numbers.text(key & 0xFFFFFFFF))
+            made.setdefault(piece, n)
+            merges[key] = numbers.number(piece)
+        bar = risen_bar(made, room, min_frequency)
+        state = stored(shards.mapInArrow(_merge_shards(merges), _STATE), "subwords")
+        counts, rounds = counts.unionByName(state.filter("pair is not null").select("pair", "n")), rounds + 1
+        if rounds % COMPACT_ROUNDS == 0:
+            counts = stored(counts.groupBy("pair").agg(F.sum("n").alias("n")).filter("n != 0"), "pairs")
+    return None
+
+
 #: A row with the words of a shard, and rows with what the counts of its pairs have changed by.
 _STATE = "pieces binary, freqs binary, pair bigint, n bigint"
 
